@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import small_batches, table
+from vocalis.llm.common import table
 
 A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -28,5 +28,40 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM m GROUP BY r
 """
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
-ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP2_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bk AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM bk)),
+ks AS (SELECT DISTINCT k FROM g),
+dg AS (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT r, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ks WHERE len(ws) >= k)),
+m AS (SELECT r, dg.k, i, item_id FROM dg JOIN g ON dg.k = g.k AND dg.gram = g.gram),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
