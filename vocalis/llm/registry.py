@@ -51,6 +51,12 @@ FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.jaccard_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -63,5 +69,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
