@@ -57,6 +57,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.language import identify, learn
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 3 = 1"))
+    model = learn(docs.where("not coalesce(held_out, false)").select("text", "lang"))
+    return identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -69,5 +77,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
