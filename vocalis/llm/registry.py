@@ -28,6 +28,12 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM m GROUP BY r
 """
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.secrets import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.decontaminate import contamination
 
@@ -77,5 +83,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
