@@ -57,6 +57,12 @@ FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.pii import find_pii, pii_digest
+
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.jaccard_join import similar_groups
 
@@ -83,5 +89,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op4_pii_boosting": op4_pii_boosting, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
