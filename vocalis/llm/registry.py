@@ -57,6 +57,44 @@ FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op3_sql() -> str:
+    step = """s{k} AS (SELECT z.way, z.host, z.seed, (15 * z.seed + 85 * coalesce(g.given, 0)) // 100 AS score FROM z LEFT JOIN
+  (SELECT s.way, e.dst AS host, sum(s.score * e.share // 1000000)::BIGINT AS given FROM s{j} s JOIN e ON s.way = e.way AND s.host = e.src GROUP BY 1, 2) g ON z.way = g.way AND z.host = g.host)"""
+    steps = ",\n".join(step.format(k=k, j=k - 1) for k in range(1, 11))
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html,
+  translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), {A_Z}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN host LIKE '%.net' AND path LIKE '/es/%' OR host = 'net' AND path LIKE '/es/%' THEN 'net/es/'
+  WHEN host LIKE '%.net' AND path LIKE '/fr/%' OR host = 'net' AND path LIKE '/fr/%' THEN 'net/fr/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p),
+j AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM q),
+hosts AS (SELECT DISTINCT host FROM j WHERE host <> ''),
+u1 AS (SELECT host AS src, regexp_extract(host, '^[^.]*\\.(.+)', 1) AS dst FROM hosts),
+u2 AS (SELECT dst AS src, regexp_extract(dst, '^[^.]*\\.(.+)', 1) AS dst FROM u1 WHERE contains(dst, '.')),
+up AS (SELECT DISTINCT src, dst FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2) WHERE contains(dst, '.')),
+known AS (SELECT host FROM hosts UNION SELECT dst FROM up),
+named AS (SELECT DISTINCT r, host AS src, unnest(regexp_extract_all(html, '[a-z0-9-]+(?:\\.[a-z0-9-]+)+')) AS dst FROM j WHERE host <> ''),
+w AS (SELECT src, dst, sum(n)::BIGINT AS weight FROM (SELECT src, dst, count(*) AS n FROM named WHERE src <> dst AND dst IN (SELECT host FROM known) GROUP BY 1, 2 UNION ALL SELECT src, dst, 1 FROM up) GROUP BY 1, 2),
+b AS (SELECT 't' AS way, src, dst, weight FROM w UNION ALL SELECT 'd', dst, src, weight FROM w),
+e AS (SELECT way, src, dst, (weight * 1000000 // sum(weight) OVER (PARTITION BY way, src))::BIGINT AS share FROM b),
+c AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' GROUP BY 1),
+v AS (SELECT k.host, coalesce(good * 100000 // n, 0)::BIGINT AS trust, coalesce(bad * 100000 // n, 0)::BIGINT AS distrust FROM known k LEFT JOIN c USING (host)),
+z AS (SELECT host, 't' AS way, trust AS seed FROM v UNION ALL SELECT host, 'd', distrust FROM v),
+s0 AS (SELECT way, host, seed, seed AS score FROM z),
+{steps},
+f AS (SELECT host, sum(score) FILTER (way = 't') AS t, sum(score) FILTER (way = 'd') AS d FROM s10 GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d > t AND d >= 7500 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN f ON j.host = f.host
+"""
+
+
 def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.pii import find_pii, pii_digest
 
@@ -69,6 +107,22 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.chat import render_chats
+
+    return render_chats(table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, max(k)::BIGINT AS n_turns, list({'r': role, 't': text} ORDER BY k) AS ts FROM t GROUP BY 1),
+p AS (SELECT DISTINCT ts[1:i] AS ts FROM (SELECT ts, unnest(range(1, n_turns)) AS i FROM c)),
+m AS (SELECT min(conv_id) AS conv_id FROM c WHERE ts NOT IN (SELECT ts FROM p) GROUP BY ts)
+SELECT conv_id, n_turns, array_to_string(list_transform(ts, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '') AS text FROM c JOIN m USING (conv_id)
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.language import identify, learn
 
@@ -83,11 +137,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.merkle import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op4_pii_boosting": op4_pii_boosting, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_pii_boosting": op4_pii_boosting, "op5_jaccard_join": op5_jaccard_join, "op6_chat_snapshots": op6_chat_snapshots, "op7_language_id": op7_language_id, "op8_merkle_fingerprint": op8_merkle_fingerprint, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_url_filter": _op3_sql(), "op6_chat_snapshots": OP6_SQL, "op10_line_dedup": OP10_SQL}
