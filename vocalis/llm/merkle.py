@@ -63,7 +63,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     k = min(BUCKETS, n // BUCKET_ROWS)
     bounds = []
     if k:
-        got = docs.agg(F.percentile_approx("doc_id", [F.lit(i / (k + 1)) for i in range(1, k + 1)], F.lit(20_000)).alias("q")).first()["q"]
+        got = docs.agg(F.percentile_approx("doc_id", [i / (k + 1) for i in range(1, k + 1)], 20_000).alias("q")).first()["q"]
         bounds = sorted(set(got or []))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
     rows = docs.withColumn("bucket", bucket.cast("int"))
