@@ -17,7 +17,7 @@ LIMIT = 999_999_999
 _LETTER = "A-Za-z\u00c0-\u024f\u0400-\u052f"
 _MARK = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: Nothing that would make the number longer may follow.
-BORDER = f"(?![0-9_{_LETTER}{_MARK}]|[.,:/%=*#+\u2010-\u2015\u2212-]+[0-9{_LETTER}]|%)"
+BORDER = f"(?![0-9_{_LETTER}{_MARK}]|[.,:/%=*#+\u2010-\u2015\u2212-]+[0-9{_LETTER}]|\\s?%)"
 #: Where a number can begin: a currency sign, a sign or a digit, not inside a word or after a number's separator.
 START = re.compile(f"(?<![0-9_{_LETTER}{_MARK}])(?<![0-9][.,:/%=*#+\u2010-\u2015\u2212-])(?:[$€£¥₽]\\s?[+\u2212-]?|[+\u2212-]?[$€£¥₽]?)[0-9]")
 #: All that clings to a number which no reader accepts.
@@ -183,7 +183,7 @@ READERS = {"english": ENGLISH, "russian": RUSSIAN}
 ABBREVIATIONS = (re.compile(f"(?<![{_LETTER}])т\\.д\\."), "так далее"), (re.compile(f"(?<![{_LETTER}])т\\.п\\."), "тому подобное")
 #: A number glued to a word's end by a slash, and the surface of a code: digits with Latin letters, which is no number.
 GLUED = re.compile(f"[{_LETTER}{_MARK}]/$")
-CODE = re.compile("[0-9]+[A-Za-z]+")
+CODE = re.compile("[0-9]+(?!(?:st|nd|rd|th)$)[A-Za-z]+")
 DOTTED_DATE = re.compile(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])")
 
 
