@@ -6,7 +6,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from vocalis.kernel import english, readers, russian, technical
-from vocalis.kernel.text import HAS_CYRILLIC, HAS_LATIN, WORD, Origin, cleaned, folded, tokens
+from vocalis.kernel.text import HAS_CYRILLIC, HAS_LATIN, WORD, Origin, Places, cleaned, folded, tokens
 
 READINGS = {"english": english.INITIAL_READINGS, "russian": russian.INITIAL_READINGS}
 PRESERVED = "Unable to parse number"
@@ -62,11 +62,11 @@ def dominant(text: str, shields: list[tuple[int, int]], mixed: str) -> tuple[str
         outside.append(text[at:a])
         at = b
     rest = "".join(outside)
+    if mixed != "segment":
+        both = HAS_CYRILLIC.search(rest) is not None and HAS_LATIN.search(rest) is not None
+        return ("russian" if HAS_CYRILLIC.search(text) else "english"), both
     cyrillic, latin = len(HAS_CYRILLIC.findall(rest)), len(HAS_LATIN.findall(rest))
-    both = bool(cyrillic and latin)
-    if mixed == "segment":
-        return ("russian" if cyrillic and cyrillic >= latin else "english"), both
-    return ("russian" if HAS_CYRILLIC.search(text) else "english"), both
+    return ("russian" if cyrillic and cyrillic >= latin else "english"), bool(cyrillic and latin)
 
 
 def _beside(text: str, end: int, default: str) -> str:
@@ -79,23 +79,17 @@ def _beside(text: str, end: int, default: str) -> str:
 
 
 class Reading:
-    """One pass over a cleaned text: pieces of output, and for each output character its place in the cleaned text."""
+    """One pass over a cleaned text: pieces of output, and the spans that stayed."""
 
-    def __init__(self, text: str, language: str, segments: bool):
+    def __init__(self, text: str, language: str, segments: bool, shields: list[tuple[int, int]]):
         self.text, self.language, self.segments = text, language, segments
-        self.shields = technical.spans(text)
+        self.shields = shields
         self.kept: list[tuple[int, int]] = []
         self.out: list[str] = []
-        self.at: list[int] = []
         self._read()
 
     def _copy(self, a: int, b: int) -> None:
         self.out.append(self.text[a:b])
-        self.at.extend(range(a, b))
-
-    def _say(self, spoken: str, a: int) -> None:
-        self.out.append(spoken)
-        self.at.extend([a] * len(spoken))
 
     def _fixed(self) -> list[tuple[int, int, str | None]]:
         """Spans that are decided before numbers: technical ones, kept ones, abbreviations."""
@@ -143,7 +137,7 @@ class Reading:
                         self.kept.append((begin, end))
                     self._copy(begin, end)
                 else:
-                    self._say(said, begin)
+                    self.out.append(said)
                 at = end
             if at > a:
                 if at < b and spoken is None:
@@ -154,27 +148,30 @@ class Reading:
             if spoken is None:
                 self._copy(a, b)
             else:
-                self._say(spoken, a)
+                self.out.append(spoken)
             at = b
 
 
 def process(original: str, options: Options = Options()) -> Result:
     """The whole treatment of one text."""
     out = Result(original)
-    bytes_of = Origin(original)
-    text, place = cleaned(original) if options.cleanup else (original, list(range(len(original))))
+    bytes_of: Origin | None = None
+    text, spots = cleaned(original) if options.cleanup else (original, [])
     shields = technical.spans(text)
     language, both = dominant(text, shields, options.mixed)
     auto = options.language == "auto"
     if not auto:
         language = options.language
     if auto and (both if options.mixed == "segment" else HAS_CYRILLIC.search(text) and HAS_LATIN.search(text)):
+        bytes_of = Origin(original)
         out.warnings.append(("ambiguous_normalization", MIXED[options.mixed], 0, bytes_of.start[-1]))
     normalized = text
     if options.normalize:
         segments = auto and options.mixed == "segment" and HAS_CYRILLIC.search(text) is not None
-        reading = Reading(text, language, segments)
+        reading = Reading(text, language, segments, shields)
+        place = Places(spots)
         for a, b in sorted(set(reading.kept)):
+            bytes_of = bytes_of or Origin(original)
             out.warnings.append(("unresolved_number", PRESERVED, *bytes_of.span(place[a], place[b - 1] + 1)))
         normalized = "".join(reading.out)
     if options.cleanup:
@@ -209,7 +206,7 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
         found.sort(key=lambda f: -f[0])
 
     edits: list[tuple[int, int, str, str, Entry | None]] = []
-    k = 0
+    k = 0 if entries or options.initialisms else len(spans)
     while k < len(spans):
         a, b = spans[k]
         word = text[a:b]
@@ -231,7 +228,7 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
             edits.append((a, b, russian.INITIALISMS[word], "initialism", None))
         k += 1
     taken = [(a, b) for a, b, *_ in edits]
-    if options.use_dictionary:
+    if options.use_dictionary and technical.READABLE.search(text):
         closed = [(a, b) for kind, a, b in technical.by_class(text) if kind in ("url", "email")]
         for m in technical.READABLE.finditer(text):
             a, b = m.span()
@@ -256,6 +253,10 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
     out.pronunciation = "".join([*pieces, text[at:]])
 
     starts = [e[0] for e in edits]
+    if not edits and not options.diagnostics:
+        at = offset.start
+        out.words = [(word := text[a:b], word, at[a], None, None, False, False) for a, b in spans]
+        return
     for a, b in spans:
         i = bisect_right(starts, a) - 1
         inside = edits[i] if i >= 0 and a < edits[i][1] else None

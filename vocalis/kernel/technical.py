@@ -17,12 +17,20 @@ CLASSES = {
     "csharp": r"C#",
 }
 _COMPILED = {k: re.compile(p, re.ASCII) for k, p in CLASSES.items()}
+_DIGIT = re.compile("[0-9]")
 READABLE = re.compile(r"(?<![A-Za-z0-9_@./-])(?:RTX 4090(?! Ti)|C\+\+|HTTP/2)(?![A-Za-z0-9_@/-]|\.[A-Za-z0-9])")
 
 
+def _possible(text: str) -> list[tuple[str, re.Pattern]]:
+    """Classes whose marks a text has at all."""
+    number = _DIGIT.search(text) is not None
+    marks = {"url": "://" in text, "email": "@" in text, "identifier": "#" in text or "-" in text or "+" in text or "$" in text, "cpp": "C++" in text, "csharp": "C#" in text, "http": "HTTP/" in text}
+    return [(k, p) for k, p in _COMPILED.items() if marks.get(k, number)]
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """All technical spans, touching ones merged, in order."""
-    found = sorted(m.span() for p in _COMPILED.values() for m in p.finditer(text))
+    found = sorted(m.span() for _, p in _possible(text) for m in p.finditer(text))
     out: list[list[int]] = []
     for a, b in found:
         if out and a <= out[-1][1]:
@@ -33,4 +41,4 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 
 def by_class(text: str) -> list[tuple[str, int, int]]:
-    return [(k, *m.span()) for k, p in _COMPILED.items() for m in p.finditer(text)]
+    return [(k, *m.span()) for k, p in _possible(text) for m in p.finditer(text)]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from bisect import bisect_right
+
+import numpy as np
 
 SPACES = " \t\n\r\v\f\u00a0\u202f"
 _TIGHT = ",.;:!?"
@@ -22,28 +24,51 @@ class Origin:
     """Byte offsets of the characters of a text; start[i] is where character i begins, start[-1] the length."""
 
     def __init__(self, text: str):
-        self.start = list(accumulate((len(c.encode("utf-8", "surrogatepass")) for c in text), initial=0)) if not text.isascii() else range(len(text) + 1)
+        if text.isascii():
+            self.start = range(len(text) + 1)
+            return
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        self.start = [0, *np.cumsum(widths).tolist()]
 
     def span(self, begin: int, end: int) -> tuple[int, int]:
         return self.start[begin], self.start[end] - self.start[begin]
 
 
-def cleaned(text: str) -> tuple[str, list[int]]:
-    """Spacing cleanup: runs of space become one, none at the ends or before closing punctuation. With each kept
-    character's index in text."""
-    out, at = [], []
-    gap = -1
-    for i, c in enumerate(text):
-        if c in SPACES:
-            gap = i if gap < 0 else gap
-            continue
-        if gap >= 0 and out and c not in _TIGHT:
-            out.append(" ")
-            at.append(gap)
-        gap = -1
-        out.append(c)
-        at.append(i)
-    return "".join(out), at
+_LOOSE = re.compile(f"^[{SPACES}]+|[{SPACES}]+\\Z|[{SPACES}]+(?=[,.;:!?])|[{SPACES}]{{2,}}|[\t\n\r\v\f\u00a0\u202f]")
+
+
+def _spots(text: str) -> list[tuple[int, int, str]]:
+    """Where cleanup changes a text: (begin, end, what stands there then)."""
+    return [(a, b, "" if a == 0 or b == len(text) or text[b] in ",.;:!?" else " ") for a, b in (m.span() for m in _LOOSE.finditer(text))]
+
+
+def cleaned(text: str) -> tuple[str, list[tuple[int, int, str]]]:
+    """Spacing cleanup: runs of space become one, none at the ends or before closing punctuation. With the changes."""
+    spots = _spots(text)
+    if not spots:
+        return text, spots
+    out, at = [], 0
+    for a, b, now in spots:
+        out += [text[at:a], now]
+        at = b
+    return "".join([*out, text[at:]]), spots
+
+
+class Places:
+    """From indexes of a cleaned text to those of the text it came from."""
+
+    def __init__(self, spots: list[tuple[int, int, str]]):
+        self.cut, self.shift = [], []
+        moved = 0
+        for a, b, now in spots:
+            moved += b - a - len(now)
+            self.cut.append(b - moved)
+            self.shift.append(moved)
+
+    def __getitem__(self, i: int) -> int:
+        k = bisect_right(self.cut, i) - 1
+        return i + (self.shift[k] if k >= 0 else 0)
 
 
 def tokens(text: str) -> list[tuple[int, int]]:

@@ -6,15 +6,19 @@ is written by hand, checked by the loader and at most MAX_ENTRIES long, which bo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.functions.text import case_fold
+from vocalis.functions.text import TOKEN, case_fold
+from vocalis.kernel.text import CYRILLIC, LATIN
 from vocalis.operators.spans import match_spans
-from vocalis.functions.text import TOKEN
 
 #: About 10 MB; larger dictionaries are joined by shuffle.
 MAX_ENTRIES = 100_000
+#: Up to so many phrases are searched for as one pattern.
+REGEX_PHRASES = 500
 
 
 def _sized(entries: DataFrame) -> DataFrame:
@@ -34,6 +38,16 @@ def lookup_tokens(words: DataFrame, entries: DataFrame, token: str = "token") ->
     return both.withColumn("_hit", hit).withColumns({"pronunciation": F.col("_hit.pronunciation"), "stressed_vowel": F.col("_hit.stressed_vowel"), "entry": F.col("_hit.ord")}).drop("_x", "_f", "ex", "ef", "_hit")
 
 
+def _by_pattern(df: DataFrame, phrases: DataFrame, patterns: list[str], key: str, text: str) -> DataFrame:
+    """Few phrases are one alternation, the longest first, between token borders."""
+    inside = f"{LATIN}{CYRILLIC}+#_0-9"
+    quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in sorted(patterns, key=len, reverse=True))
+    found = match_spans(F.col(text), f"(?<![{inside}])(?<![0-9]\\.)(?:{quoted})(?![{inside}]|\\.[0-9])")
+    first = phrases.groupBy(F.col("pattern").alias("phrase")).agg(F.min_by("pronunciation", "ord").alias("pronunciation"))
+    hits = df.select(key, F.explode(found).alias("s")).select(key, "s.begin", "s.end", F.col("s.hit").alias("phrase"))
+    return hits.join(F.broadcast(first), "phrase").select(key, "begin", "end", "phrase", "pronunciation")
+
+
 def match_phrases(df: DataFrame, entries: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, begin, end, phrase, pronunciation): at each place the longest phrase, left to right, without overlap.
 
@@ -41,6 +55,9 @@ def match_phrases(df: DataFrame, entries: DataFrame, key: str, text: str = "text
     the greedy choice runs over each text's few hits.
     """
     phrases = entries.where("match = 'phrase'").withColumn("n", F.size(F.regexp_extract_all("pattern", F.lit(TOKEN), F.lit(0))))
+    few = phrases.where("n > 0").select("pattern").distinct().limit(REGEX_PHRASES + 1).collect()
+    if 0 < len(few) <= REGEX_PHRASES:
+        return _by_pattern(df, phrases, [r["pattern"] for r in few], key, text)
     lengths = sorted(r["n"] for r in phrases.select("n").distinct().collect() if r["n"] > 0)
     if not lengths:
         return df.select(key, F.lit(0).cast("bigint").alias("begin"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("phrase"), F.lit("").alias("pronunciation")).limit(0)

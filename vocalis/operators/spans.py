@@ -35,8 +35,13 @@ def match_spans(text: Column, pattern: str) -> Column:
 
 
 def token_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, begin, end, token) of each word token."""
-    return df.select(key, F.posexplode(match_spans(F.col(text), TOKEN)).alias("pos", "s")).select(key, "pos", "s.begin", "s.end", F.col("s.hit").alias("token"))
+    """(key, pos, begin, end, token) of each word token. Texts have many tokens, so places are running sums over the
+    exploded tokens of a row and not a fold over one array."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.octet_length(g).alias("gap"), h.alias("token")))
+    each = df.select(key, F.monotonically_increasing_id().alias("_row"), pairs.alias("_p")).select(key, "_row", F.posexplode("_p").alias("pos", "_p"))
+    end = F.sum(F.col("_p.gap") + F.octet_length("_p.token")).over(W.partitionBy("_row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return each.select(key, "pos", (end - F.octet_length("_p.token")).alias("begin"), end.alias("end"), F.col("_p.token").alias("token"))
 
 
 def technical_spans(df: DataFrame, key: str, text: str = "text", classes: tuple[str, ...] = tuple(technical.CLASSES)) -> DataFrame:
