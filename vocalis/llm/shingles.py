@@ -9,7 +9,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes hashed in one step.
-STEP = 4 << 20
+STEP = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
