@@ -4,10 +4,12 @@ Jaccard distance is a metric in which almost all documents are at distance 1 fro
 and their Voronoi cells would put every document in every cell's boundary. Regions are therefore first cut by shingles:
 under any order of all shingles, two sets with Jaccard 0.8 share one of the first floor(n/5)+1 of each. The order is
 frequent shingles last, then by hash; a region is the list of sets that have a shingle among their first. In each
-region the least set is the pivot: sets within 0.2 of it are linked to it and need no comparison with each other; a set
-beyond 0.4 can link with none of them (triangle inequality); sets between are boundary sets, replicated to both sides.
-What lies outside the pivot's ball is a region of its own, joined recursively with a new pivot, until nothing is left.
-Equal sets are one class throughout. Every link is decided on whole sets.
+region the least set is the pivot: sets within 0.2 of it are linked to it and need no comparison with each other; of the
+others' pairs only those whose distances to the pivot differ by 0.2 at most can be links (triangle inequality), which
+takes in the boundary sets on both sides. Regions are joined recursively: as only components are asked for, sets outside
+of a region's largest component are drawn as further pivots, a growing number each turn, and meet the region's sets of
+other components within the window, until each region is of one component or has no such set left. Equal sets are one
+class throughout. Every link is decided on whole sets.
 """
 
 from __future__ import annotations
@@ -23,15 +25,21 @@ from vocalis.llm.common import discard, need, small_batches, written
 from vocalis.llm.components import components
 from vocalis.llm.shingles import WIDTH, Bloom, mixed, set_id, shingle_sets
 
-#: A shingle counted this often is frequent; lists of rarer ones are never longer.
-FREQUENT = 16
-#: Share of the hash range that is counted; shingles above it rank with the frequent ones.
+#: Shingles counted this often are frequent, of rising levels; lists of rarer ones are never longer than the first.
+FREQUENT = (16, 128, 1024, 8192)
+#: Share of the hash range that is counted; shingles above it rank after all others.
 COUNTED = 0.5
 BLOOM_BITS = 1 << 24
 #: Shingles or list entries in one task's group.
 GROUP = 1_500_000
-#: Recursion steps with one pivot a region; regions that are left then compare all their pairs.
-DEPTH = 12
+#: Up to so many sets outside a region's largest component are drawn at once; of more, some each turn.
+SMALL = 48
+#: Pairs that are broadcast, 3 MB at most.
+BROADCAST_PAIRS = 100_000
+#: Sets of a region that meet the drawn ones in one task.
+CHUNK = 4096
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 2048
 _TOP = np.uint64(int(COUNTED * 2**64))
 _ENTRY = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<i4")])
 
@@ -43,7 +51,7 @@ def _group_of(hashes: np.ndarray, groups: int) -> np.ndarray:
 def _split(groups: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(groups, kind="stable")
     groups, data = groups[order], data[order]
-    cuts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
+    cuts = [*np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))), len(groups)] if len(groups) else []
     for a, b in zip(cuts, cuts[1:]):
         yield int(groups[a]), data[a:b].tobytes()
 
@@ -93,28 +101,31 @@ def _frequent(bits: int):
         order = np.argsort(got["h"], kind="stable")
         h, c = got["h"][order], got["c"][order].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        often = np.add.reduceat(c, first) >= FREQUENT
-        # the group's number and 32 of the hash's bits stand for the hash
-        keys = h[first][often].astype(np.uint64) | (np.uint64(table.column("g")[0].as_py()) << np.uint64(32))
-        word, mask = Bloom.masks(keys, bits)
-        return pa.table({"word": pa.array(word, pa.int64()), "mask": pa.array(mask, pa.int64())})
+        total = np.add.reduceat(c, first)
+        out = []
+        for level, least in enumerate(FREQUENT):
+            # the group's number and 32 of the hash's bits stand for the hash
+            keys = h[first][total >= least].astype(np.uint64) | (np.uint64(table.column("g")[0].as_py()) << np.uint64(32))
+            word, mask = Bloom.masks(keys, bits)
+            out.append(pa.table({"word": pa.array(word + level * (bits // 64), pa.int64()), "mask": pa.array(mask, pa.int64())}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _filter(rows: DataFrame, bits: int) -> np.ndarray:
-    """(word, mask) rows or-ed into one filter: at most bits / 64 rows reach the driver."""
+def _filter(rows: DataFrame, bits: int, levels: int = 1) -> np.ndarray:
+    """(word, mask) rows or-ed into filters, one a level: at most levels * bits / 64 rows reach the driver."""
     got = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
+    words = np.zeros(levels * bits // 64, np.int64)
     words[got.column("word").to_numpy()] = got.column("mask").to_numpy()
-    return words.view(np.uint64)
+    return words.view(np.uint64).reshape(levels, -1)
 
 
 def _lists(shared, groups: int, list_groups: int, width: int, threshold: int):
     """The first shingles of each set, packed by group; those that rank as frequent go to groups of their own kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(shared.value)
+        blooms = [Bloom(words) for words in shared.value]
         held: list[np.ndarray] = []
         hot: list[np.ndarray] = []
         seen: set[int] = set()
@@ -136,17 +147,16 @@ def _lists(shared, groups: int, list_groups: int, width: int, threshold: int):
                     continue
                 if len(seen) < 200_000:
                     seen.add(s)
-                often = grams >= _TOP
-                low = grams[~often]
-                often[: len(low)] = bloom.has(((low >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) | (_group_of(low, groups).astype(np.uint64) << np.uint64(32)))
+                low = grams[: np.searchsorted(grams, _TOP)]
+                keys = ((low >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) | (_group_of(low, groups).astype(np.uint64) << np.uint64(32))
+                rank = np.full(n, len(blooms) + 1)
+                rank[: len(low)] = sum(b.has(keys).astype(np.int64) for b in blooms)
                 take = n - -(-threshold * n // 100) + 1
-                rare = grams[~often][:take]
-                rest = grams[often][: take - len(rare)]
+                order = np.argsort(rank, kind="stable")[:take]
                 entry = np.empty(take, _ENTRY)
-                entry["h"][: len(rare)], entry["h"][len(rare) :] = rare, rest
-                entry["s"], entry["n"] = s, n
+                entry["h"], entry["s"], entry["n"] = grams[order], s, n
                 held.append(entry)
-                hot.append(np.arange(take) >= len(rare))
+                hot.append(rank[order] > 0)
                 size += take
             if size >= 500_000:
                 yield flush()
@@ -201,17 +211,18 @@ def _sets(shared, width: int):
     """The whole sets of those classes that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(shared.value)
+        bloom = Bloom(shared.value[0])
         seen: set[int] = set()
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, bits = [], [], []
             for grams in shingle_sets(batch.column(0).to_pylist(), width):
                 if len(grams) and (s := set_id(grams)) not in seen and bloom.has(np.array([s], np.int64).view(np.uint64))[0]:
                     if len(seen) < 200_000:
                         seen.add(s)
                     ids.append(s)
                     sets.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["s", "grams"])
+                    bits.append(sketch(grams))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())], names=["s", "grams", "bits"])
 
     return run
 
@@ -223,16 +234,85 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(same, pa.int64())], names=["a", "b", "na", "nb", "same"])
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, na, nb), distinct, with same: the size of the intersection."""
-    one = sets.select(F.col("s").alias("b"), F.col("grams").alias("gb"))
-    two = sets.select(F.col("s").alias("a"), F.col("grams").alias("ga"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_shared, "a long, b long, na long, nb long, same long")
+def sketch(grams: np.ndarray) -> bytes:
+    """Bit k is the parity of the number of shingles that hash to k: two sketches differ in no more bits than the sets
+    differ in shingles."""
+    odd = np.bincount((mixed(grams) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _near_enough(least: int):
+    """Pairs whose sketches leave a Jaccard of least per cent possible: sets that similar differ in at most
+    (100 - least) / (100 + least) of their joint size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("ba", "bb"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(apart * (100 + least) <= size * (100 - least)))
+
+    return run
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Those distinct pairs (a, b, na, nb) that may have a Jaccard of least per cent, with same: the intersection's size.
+
+    Sketches decide for most pairs. Whole sets are shipped for the rest: where those are few enough (checked), the pairs
+    go to the sets, else both meet in a shuffle.
+    """
+    one, two = sets.select(F.col("s").alias("b"), F.col("bits").alias("bb")), sets.select(F.col("s").alias("a"), F.col("bits").alias("ba"))
+    asked = written(pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_near_enough(least), "a long, b long, na long, nb long"), "asked")
+    few = asked.count() <= BROADCAST_PAIRS
+    one, two = sets.select(F.col("s").alias("b"), F.col("grams").alias("gb")), sets.select(F.col("s").alias("a"), F.col("grams").alias("ga"))
+    if few:
+        two = two.join(F.broadcast(asked.select("a").distinct()), "a", "left_semi")
+    return one.join(F.broadcast(asked) if few else asked, "b").join(two, "a").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_shared, "a long, b long, na long, nb long, same long")
 
 
 _SIMILAR = "100 * same >= {} * (na + nb - same)"
 
 
+def _meeting(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sets of each region in chunks of bounded size, with their components now; drawn sets go to every chunk."""
+    now = named.join(labels, named.s == labels.v, "left").withColumn("c", F.coalesce("label", "s")).drop("v", "label")
+    own = now.withColumns({"chunk": F.expr("cast(pmod(xxhash64(s, 9), chunks) as int)"), "q": F.lit(False)})
+    sent = now.where("drawn").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "q": F.lit(True)})
+    return own.unionByName(sent).select("h", "chunk", "q", "s", "n", "far", "c", "bits")
+
+
+def _meet(threshold: int, outer: int, best: bool):
+    """Pairs of a drawn set and another of the chunk in another component that sizes, the pivot's triangle window and
+    sketches leave possible. best: for each drawn set only the nearest of each component."""
+    radius, beyond = 1 - threshold / 100 + 1e-9, 1 - outer / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        q = table.column("q").to_numpy()
+        s, n, c = (table.column(k).to_numpy() for k in ("s", "n", "c"))
+        n = n.astype(np.int64)
+        far = table.column("far").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(s), -1)
+        own = np.flatnonzero(~q)
+        # a distance that was not measured is beyond the outer radius
+        low, high = np.where(np.isnan(far), beyond, far), np.where(np.isnan(far), 1.0, far)
+        out: list[tuple] = []
+        for i in np.flatnonzero(q):
+            near = own[(c[own] != c[i]) & (100 * np.minimum(n[own], n[i]) >= threshold * np.maximum(n[own], n[i])) & (low[own] <= high[i] + radius) & (low[i] <= high[own] + radius)]
+            apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            fit = apart * (100 + threshold) <= (n[near] + n[i]) * (100 - threshold)
+            near, apart = near[fit], apart[fit]
+            if best and len(near):
+                order = np.argsort(apart, kind="stable")
+                near = near[order][np.unique(c[near[order]], return_index=True)[1]]
+            out += [(s[i], s[j], n[i], n[j]) if s[i] < s[j] else (s[j], s[i], n[j], n[i]) for j in near]
+        cols = list(zip(*set(out))) if out else [[]] * 4
+        return pa.table({k: pa.array(np.array(v, np.int64)) for k, v in zip(("a", "b", "na", "nb"), cols, strict=True)})
+
+    return run
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those pairs whose ends aren't connected yet."""
     la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
@@ -256,9 +336,10 @@ def similar_groups(docs: DataFrame, threshold: int = 80, width: int = WIDTH) ->
     list_groups = max(8, int(expected * (100 - threshold) / 100 / (GROUP // 3)) + 1)
 
     read = written(docs.select("doc_id", "text").mapInArrow(_read(groups, width), f"doc_id {kind}, n int, s long, g long, counts binary"), "shingle-counts")
-    known = read.where("g is null").select("doc_id", "n", "s")
+    known = written(read.where("g is null").select("doc_id", "n", "s"), "set-ids")
     counted = read.where("g is not null").select("g", "counts").repartition(groups, "g")
-    often = _filter(counted.groupBy("g").applyInArrow(_frequent(BLOOM_BITS), "word long, mask long"), BLOOM_BITS)
+    often = _filter(counted.groupBy("g").applyInArrow(_frequent(BLOOM_BITS), "word long, mask long"), BLOOM_BITS, len(FREQUENT))
+    discard(read)
 
     entries = text.mapInArrow(_lists(spark.sparkContext.broadcast(often), groups, list_groups, width, threshold), "g long, entries binary").repartition(2 * list_groups, "g")
     found = written(entries.groupBy("g").applyInArrow(_candidates(list_groups, threshold), "kind long, h long, a long, b long, na long, nb long"), "candidates")
@@ -270,46 +351,40 @@ def similar_groups(docs: DataFrame, threshold: int = 80, width: int = WIDTH) ->
 
     wanted = written(pivot.select(F.col("a").alias("s")).union(pivot.select("b")).union(rest.select("a")).union(rest.select("b")).union(regions.select("s")).distinct(), "wanted")
     bloom = _filter(wanted.mapInArrow(_mark(BLOOM_BITS), "word long, mask long"), BLOOM_BITS)
-    sets = written(text.mapInArrow(_sets(spark.sparkContext.broadcast(bloom), width), "s long, grams binary").join(wanted, "s").groupBy("s").agg(F.first("grams").alias("grams")), "sets")
-
-    links, edge = [], _SIMILAR.format(threshold)
-    outer = max(0, 2 * threshold - 100)  # beyond twice the radius
-    near: list[DataFrame] = []
-    for depth in range(DEPTH):
-        heads = regions.groupBy("h").agg(F.min_by("n", "s").alias("na"), F.min("s").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-        spokes = regions.join(heads, "h").where("s <> a").select("h", "a", "na", F.col("s").alias("b"), F.col("n").alias("nb"))
-        asked = spokes.where(f"100 * least(na, nb) >= {outer} * greatest(na, nb)").select("a", "b", "na", "nb")
-        if depth == 0:
-            asked = asked.union(pivot)
-        got = written(_measured(asked.distinct(), sets), "measured")
-        links.append(got.where(edge).select("a", "b"))
-        spokes = written(spokes.join(got.select("a", "b", "same"), ["a", "b"], "left").withColumn("same", F.coalesce("same", F.lit(0))), "spokes")
-        inside = spokes.where(edge)
-        bound = spokes.where(f"not ({edge}) and {_SIMILAR.format(outer)}")
-        near.append(inside.alias("x").join(bound.alias("y"), ["h", "a", "na"]).selectExpr("least(x.b, y.b) a", "greatest(x.b, y.b) b", "if(x.b < y.b, x.nb, y.nb) na", "if(x.b < y.b, y.nb, x.nb) nb", "x.same / (na + x.nb - x.same) - y.same / (na + y.nb - y.same) gap").where(f"abs(gap) <= {1 - threshold / 100 + 1e-9} and 100 * least(na, nb) >= {threshold} * greatest(na, nb)").drop("gap"))
-        after = spokes.where(f"not ({edge})").select("h", F.col("b").alias("s"), F.col("nb").alias("n"))
-        left = after.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-        before, regions = regions, written(after.join(left, "h"), "regions")
-        discard(before)
-        if not regions.limit(1).count():
+    sets = written(text.mapInArrow(_sets(spark.sparkContext.broadcast(bloom), width), "s long, grams binary, bits binary").join(wanted, "s").groupBy("s").agg(F.first("grams").alias("grams"), F.first("bits").alias("bits")), "sets")
+
+    edge = _SIMILAR.format(threshold)
+    outer = max(0, 2 * threshold - 100)  # beyond twice the radius nothing in the pivot's ball can be linked
+
+    # every region's pivot against its other sets; lists of rarer shingles have theirs in pivot
+    heads = regions.groupBy("h").agg(F.min_by("n", "s").alias("na"), F.min("s").alias("a"))
+    spokes = regions.join(heads, "h").where("s <> a").select("h", "a", "na", F.col("s").alias("b"), F.col("n").alias("nb"))
+    asked = spokes.where(f"100 * least(na, nb) >= {outer} * greatest(na, nb)").select("a", "b", "na", "nb").union(pivot)
+    got = written(_measured(asked.distinct(), sets, outer), "measured")
+    labels = components(got.where(edge).select("a", "b"))
+    far = got.selectExpr("a", "b", "1 - same / (na + nb - same) far")
+    members = written(spokes.join(far, ["a", "b"], "left").select("h", F.col("b").alias("s"), F.col("nb").alias("n"), "far"), "members")
+
+    turn = 1
+    while True:
+        named = members.join(labels, members.s == labels.v, "left").select("h", "s", "n", "far", F.coalesce("label", "s").alias("c"))
+        parts = named.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("m"), F.max("k").alias("top"))
+        split = written(parts.where("parts > 1").selectExpr("h", "main", "m", "m - top minor"), "split-regions")
+        if turn > 1 and not split.limit(1).count():
             break
-    else:
-        other = regions.select("h", F.col("s").alias("b"), F.col("n").alias("nb"))
-        rest = rest.union(regions.select("h", F.col("s").alias("a"), F.col("n").alias("na")).join(other, "h").where(f"a < b and 100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b", "na", "nb"))
-
-    joined = links[0]
-    for more in links[1:]:
-        joined = joined.union(more)
-    joined = written(joined.distinct(), "links")
-    labels = components(joined)
-    pairs = rest
-    for more in near:
-        pairs = pairs.union(more.select("a", "b", "na", "nb"))
-    late = written(_across(pairs.distinct(), labels), "late-pairs")
-    if late.limit(1).count():
-        more = written(_measured(late, sets).where(edge).select("a", "b"), "late-links")
-        if more.limit(1).count():
-            labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more))
+        drawn_of = f"c <> main and (minor <= {SMALL} or pmod(xxhash64(s, {turn}), minor) < {16**turn})"
+        named = named.join(split, "h").join(sets.select("s", "bits"), "s").withColumn("drawn", F.expr(drawn_of))
+        named = written(named.withColumn("chunks", F.expr(f"cast((m + {CHUNK} - 1) div {CHUNK} as int)")).drop("c"), "named")
+        discard(members)
+        for best in (True, False):  # first what may merge components, then all that is left between them
+            met = _meeting(named, labels).groupBy("h", "chunk").applyInArrow(_meet(threshold, outer, best), "a long, b long, na long, nb long")
+            pairs = met.union(_across(rest, labels)) if turn == 1 and best else met
+            more = written(_measured(pairs.distinct(), sets, threshold).where(edge).select("a", "b"), "more-links")
+            if more.limit(1).count():
+                labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more))
+        members = written(named.where("not drawn").select("h", "s", "n", "far"), "members")
+        discard(named)
+        turn += 1
 
     classes = known.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels, classes.s == labels.v, "left").select("s", "least", F.coalesce("label", "s").alias("label"))
