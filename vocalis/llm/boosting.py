@@ -71,15 +71,12 @@ def fit(x: np.ndarray, n: np.ndarray, pos: np.ndarray, trees: int = TREES) -> tu
 
 
 def calibrated(margin: np.ndarray, n: np.ndarray, pos: np.ndarray, precision: float) -> float:
-    """The least margin from which on every cut above keeps this precision over its rows; infinite if there is none."""
-    order = np.argsort(-margin)
+    """The least margin down to which every level of equal margin keeps this precision by itself; infinite if the
+    highest does not. Levels are judged alone, so many sure rows do not carry doubtful ones."""
     best = np.inf
-    total = good = 0.0
-    for i, at in enumerate(order):
-        total, good = total + n[at], good + pos[at]
-        if i + 1 < len(order) and margin[order[i + 1]] == margin[at]:
-            continue
-        if good < precision * total:
+    for level in np.unique(margin)[::-1]:
+        at = margin == level
+        if pos[at].sum() < precision * n[at].sum():
             break
-        best = margin[at]
+        best = level
     return float(best)
