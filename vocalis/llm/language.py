@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from vocalis.llm.common import need, small_batches
 
 DIMS = 4096
-#: Labelled rows to learn from, all languages together: 64 MB of histograms at most.
-SAMPLE_ROWS = 4000
+#: Labelled rows to learn from, all languages together: 48 MB of histograms.
+SAMPLE_ROWS = 3000
 #: Languages with fewer labelled rows than this are not learned while others have more; the rarest go first.
 LANGUAGES = 200
 #: Families by language code; a code not named here is a family of its own.
