@@ -47,7 +47,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def branches(a: Column, b: Column) -> Column:
     """Numbers (from 0) of the paragraphs of the first fingerprint that the second has nowhere."""
-    parts = lambda fp: F.filter(F.split(F.regexp_replace(F.substring_index(fp, "/", -1), "[0-9a-f]{12}=", ""), "[,|;]+"), lambda p: p != "")
+    parts = lambda fp: F.filter(F.split(F.regexp_replace(F.substring_index(fp, "/", -1), "[0-9A-F]{12}=", ""), "[,|;]+"), lambda p: p != "")
     other = parts(b)
     return F.filter(F.transform(parts(a), lambda p, i: F.when(~F.array_contains(other, p), i)), lambda i: i.isNotNull())
 
