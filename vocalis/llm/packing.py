@@ -43,6 +43,7 @@ def _pieces(path: str, capacity: int):
                     for col, x in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.forget()  # workers live on and serve other operators
 
     return run
 

@@ -62,6 +62,9 @@ class Encoder:
             for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memory[w] = packed(e.ids)
 
+    def forget(self) -> None:
+        self.memory = {"": b""}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
