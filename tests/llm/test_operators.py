@@ -113,6 +113,19 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(4, 10), 4), 2: 2, 3: 2}
 
 
+def test_components_of_a_long_path(spark):
+    ids = random.Random(11).sample(range(10**6), 1000)
+    got = {r.v: r.label for r in components.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
+def test_jaccard_join_of_a_drifting_chain(spark):
+    """1000 documents of which each is similar to the next only."""
+    texts = [" ".join(f"v{k}" for k in range(20 * i, 20 * i + 200)) for i in range(1000)]
+    got = jaccard_join.similar_groups(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert len(got) == 1000 and {r.component_id for r in got} == {0}
+
+
 def lines_brute(rows):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = defaultdict(set)
