@@ -300,6 +300,17 @@ def test_language_without_letters_or_model(spark):
     assert language.learn(frame(spark, [])) is None
 
 
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "text string, lang string")
+
+
+def test_language_of_many_copies_is_learned(spark):
+    rows = [(f"the cat and the dog {w}", "en") for w in "abcd" for _ in range(50)] + [(f"der hund und die katze {w}", "de") for w in "efghijklmnop"]
+    model = language.learn(labelled(spark, rows), sample_rows=8)
+    assert model.families == {"germanic": ["de", "en"]}
+    assert model.predict("the dog and the cat")[0] == "en"
+
+
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BUCKET_ROWS", 3)
     rows = [(i * 7 % 23, f"First {i}. Second, {i}; third\nnew paragraph {i % 3}.", "a") for i in range(23)] + [(50, None, "a"), (51, "é" * 7, "a"), (52, "same\ntext.", "a"), (53, "same\ntext.", "a")]
