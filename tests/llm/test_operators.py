@@ -311,6 +311,13 @@ def test_language_of_many_copies_is_learned(spark):
     assert model.predict("the dog and the cat")[0] == "en"
 
 
+def test_language_learns_every_label(spark):
+    r = random.Random(3)
+    rows = [("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)), f"x{i}") for i in range(205)]
+    model = language.learn(labelled(spark, rows))
+    assert sum(len(v) for v in model.families.values()) == 205
+
+
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BUCKET_ROWS", 3)
     rows = [(i * 7 % 23, f"First {i}. Second, {i}; third\nnew paragraph {i % 3}.", "a") for i in range(23)] + [(50, None, "a"), (51, "é" * 7, "a"), (52, "same\ntext.", "a"), (53, "same\ntext.", "a")]

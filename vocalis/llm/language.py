@@ -20,8 +20,8 @@ from vocalis.llm.common import need, small_batches
 DIMS = 4096
 #: Distinct labelled texts to learn from, all languages together: 13 MB of histograms on their way, 26 MB in use.
 SAMPLE_ROWS = 1600
-#: Languages with fewer labelled rows than this are not learned while others have more; the rarest go first.
-LANGUAGES = 200
+#: Distinct texts a language may have in the sample however many languages share it.
+LEAST = 8
 #: Families by language code; a code not named here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -126,17 +126,18 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """From rows (text, lang), both not null: an even sample of languages of about sample_rows distinct texts, chosen by
     their hashes, so it doesn't hang on partitions or on copies; each language's text of the least hash is always in.
-    None if there are no rows with letters."""
+    Every labelled value is learned; of more than sample_rows / LEAST of them each keeps LEAST texts, and the sample
+    grows with their number. None if there are no rows with letters."""
     labelled = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(_LETTERED))
     labelled = labelled.select("text", "lang", F.xxhash64("text").alias("k"))
     place = F.pmod("k", F.lit(1_000_000))
-    top = labelled.select("lang", "k").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    top = labelled.select("lang", "k").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
     if not top:
         return None
-    each = max(1, sample_rows // len(top))
+    each = max(LEAST, sample_rows // len(top))
     upto = F.create_map(*[F.lit(v) for r in top for v in (r["lang"], max(r["first"] + 1.0, min(1.0, each / r["n"]) * 1_000_000))])
     picked = labelled.where(place < F.coalesce(F.try_element_at(upto, F.col("lang")), F.lit(0.0))).select("text", "lang").distinct()
-    got = picked.select("text", "lang").mapInArrow(_histograms, "lang string, h binary").dropDuplicates(["lang", "h"]).orderBy(F.xxhash64("h"), "lang").limit(2 * sample_rows).collect()
+    got = picked.select("text", "lang").mapInArrow(_histograms, "lang string, h binary").dropDuplicates(["lang", "h"]).orderBy(F.xxhash64("h"), "lang").limit(2 * each * len(top)).collect()
     got = [r for r in got if np.frombuffer(r["h"], np.float16).any()]
     codes, x = [r["lang"] for r in got], np.stack([np.frombuffer(r["h"], np.float16) for r in got]).astype(np.float32) if got else None
     del got
