@@ -29,11 +29,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id stays."""
-    groups = similar_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.select(*COLUMNS)
+    """Of each group of similar documents one row stays: the least by doc_id, then by the text's hash, then by the rest.
+
+    Rows without shingles are in no group and all stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64("text").alias("h"))
+    groups = similar_groups(docs.select(key.alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(1).alias("_rows"))
+    kept = docs.select(*COLUMNS).withColumn("_key", key).join(first.hint("shuffle_hash"), F.col("_key") == F.col("_id"))
+    repeated = kept.where("_rows > 1").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.where("_rows = 1").select(*COLUMNS).unionByName(repeated)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -394,3 +394,15 @@ def test_pipeline_against_its_parts(spark, small):
     clean = {d for d, _, hit, *_ in contamination_brute(list(single.items()), bench) if not hit}
     out = p.run(spark, small).collect()
     assert {r.doc_id for r in out} == clean
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark, small):
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(3, one, "a"), (3, one, "b"), (3, one, "a"), (4, one, "a"), (5, two, "a"), (5, three, "a"), (2, three, "a"), (None, two, "a"), (None, None, "a"), (7, None, "a"), (7, None, "a")]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"))
+    got = p.near_duplicates(spark, docs, small)
+    assert got.columns == p.COLUMNS
+    kept = sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str)
+    assert kept == sorted([(3, one, "a"), (5, two, "a"), (2, three, "a"), (None, None, "a"), (7, None, "a"), (7, None, "a")], key=str)
