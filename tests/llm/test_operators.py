@@ -218,6 +218,13 @@ def test_secrets_of_one_owner_are_live_and_shared_ones_are_copies(spark):
     assert (got[4].n_copied, got[4].n_owned) == (1, 0)
 
 
+def test_secrets_in_copies_of_one_document_are_live(spark):
+    live, shared = "Zx9Kq2Lm7Pv4Rt8Wy3Bn5", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7"
+    rows = [(i, f"use {live} here", f"src{i % 2}") for i in range(50)] + [(100 + i, f"copy {i} of {shared}", "a") for i in range(21)]
+    got = {r.doc_id: r for r in secrets.secret_digest(secrets.scan_secrets(frame(spark, rows))).collect()}
+    assert all(got[i].spans == "live:4:25" for i in range(50)) and all(got[100 + i].n_live == 0 for i in range(21))
+
+
 def pii_brute(t):
     def luhn(x):
         return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(x)) for v in [int(c) * (1 + i % 2)]) % 10 == 0

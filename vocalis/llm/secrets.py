@@ -52,29 +52,38 @@ def ownership(values: DataFrame) -> DataFrame:
     return two.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
+def firsts(values: DataFrame) -> DataFrame:
+    """(h, t, owner, repo) rows, t a text's hash -> (h, owner, repo) with copies of one text as one, under its least
+    owner and repository."""
+    return values.groupBy("h", "t").agg(F.min(F.struct("owner", "repo")).alias("m")).select("h", "m.owner", "m.repo")
+
+
 def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row for each row of docs: doc_id, assign, access, hex, live (arrays of begin, end, hit, of code points, end
     exclusive), values (array of begin, end, n_owners, n_repos, copied).
 
     docs: doc_id, text, and the columns named as owner and repo; extra columns are ignored. A null or empty text has no
     spans. Rows repeated whole each get their own result and count as one repository. live: added candidates.
-    values: of every base and added value how many owners and repositories hold it; copied if more than allowed.
+    values: of every base and added value how many owners and repositories hold it; copied if more than
+    allowed. For added values copies of one text count as one document when that is decided, so more may hold them.
     """
     need(docs, "doc_id", "text", owner, repo)
-    slim = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), "text")
+    slim = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), "text", F.xxhash64("text").alias("t"))
     found = secret_spans(slim).drop("text").withColumn("row", F.monotonically_increasing_id())
     found = written(found, "secret-spans")  # from here on row is fixed
     hashed = lambda col, f, k: F.transform(col, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.xxhash64(f(s["hit"])).alias("h"), F.lit(k).alias("wide")))
     same = lambda x: x
     values = F.concat(hashed(F.col("assign"), _value, False), hashed(F.col("access"), same, False), hashed(F.col("hex"), same, False), hashed(F.col("wide"), same, True))
-    each = written(found.where("size(assign) + size(access) + size(hex) + size(wide) > 0").select("row", "owner", "repo", F.inline(values)), "secret-values")
-    known = written(ownership(each.select("h", "owner", "repo")), "secret-owners")
+    each = written(found.where("size(assign) + size(access) + size(hex) + size(wide) > 0").select("row", "owner", "repo", "t", F.inline(values)), "secret-values")
+    distinct = ownership(firsts(each)).select(F.col("h").alias("_h"), ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("few"))
+    owned = ownership(each.select("h", "owner", "repo"))
+    known = written(owned.join(distinct, F.col("h") == F.col("_h"), "left").withColumn("few", F.coalesce("few", F.lit(False))).drop("_h"), "secret-owners")
     hot_from = int(each.count() * HOT_SHARE) + 1
-    hot = known.where(F.col("n_rows") >= hot_from).select("h", F.struct("n_owners", "n_repos").alias("hot"))
-    cold = known.where(F.col("n_rows") < hot_from).select("h", F.struct("n_owners", "n_repos").alias("held"))
+    hot = known.where(F.col("n_rows") >= hot_from).select("h", F.struct("n_owners", "n_repos", "few").alias("hot"))
+    cold = known.where(F.col("n_rows") < hot_from).select("h", F.struct("n_owners", "n_repos", "few").alias("held"))
     first = each.join(F.broadcast(hot), "h", "left")
     held = first.where("hot is not null").withColumn("held", F.col("hot")).select("row", "begin", "end", "wide", "held").unionByName(first.where("hot is null").join(cold, "h").select("row", "begin", "end", "wide", "held"))
-    copied = (F.col("held.n_owners") > max_owners) | (F.col("held.n_repos") > max_repos)
+    copied = F.when(F.col("wide"), ~F.col("held.few")).otherwise((F.col("held.n_owners") > max_owners) | (F.col("held.n_repos") > max_repos))
     rows = held.select("row", F.struct("begin", "end", "held.n_owners", "held.n_repos", copied.alias("copied"), "wide").alias("v")).groupBy("row").agg(F.sort_array(F.collect_list("v")).alias("values"))
     out = found.join(rows, "row", "left").withColumn("values", F.coalesce("values", F.array().cast("array<struct<begin: bigint, end: bigint, n_owners: bigint, n_repos: bigint, copied: boolean, wide: boolean>>")))
     alive = F.filter("values", lambda v: v["wide"] & ~v["copied"])
