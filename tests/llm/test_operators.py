@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vocalis.llm import boosting, chat, common, components, decontaminate, jaccard_join, language, line_dedup, merkle, packing, pii, registry, secrets, shingles, url_filter
@@ -325,26 +326,100 @@ def test_language_learns_every_label(spark):
     assert sum(len(v) for v in model.families.values()) == 205
 
 
-def test_fingerprints(spark, monkeypatch):
+def pieces_brute(line):
+    out, at = [], 0
+    while at < len(line):
+        n = next((k for k in range(1, 65) if at + k == len(line) and k <= 63 or k > 1 and line[at + k - 1] in ".!?,;:|" and line[at + k : at + k + 1] == " "), 64)
+        out.append(line[at : at + n])
+        at += n
+    return out or [""]
+
+
+def tree_brute(text):
+    """Sections of (hash, [(hash, pieces)])."""
+    short = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
+    body, out = [], []
+    for line in text.split("\n"):
+        body.append((short(line), [f"{xxhash.xxh64_intdigest(p.encode(), 42):016X}" if p else "" for p in pieces_brute(line)]))
+        if body[-1][0][31] in "08":
+            out.append(body)
+            body = []
+    return [(short("".join(h for h, _ in s)), s) for s in ([*out, body] if body else out)]
+
+
+def print_brute(text):
+    tree = tree_brute(text)
+    return hashlib.sha256("".join(h for h, _ in tree).encode()).hexdigest() + "/" + ";".join(f"{h}=" + ",".join(f"{p}:{'.'.join(x)}" for p, x in s) for h, s in tree)
+
+
+def likeness_brute(a, b):
+    if a == b:
+        return 1.0
+    x, y = tree_brute(a), tree_brute(b)
+    total = sum(len(p) for t in (x, y) for _, s in t for _, p in s)
+    key = repr
+    for _ in range(2):
+        cx, cy = Counter(map(key, x)), Counter(map(key, y))
+        x, y = ([eval(k) for k, n in (c - d).items() for _ in range(n)] for c, d in ((cx, cy), (cy, cx)))
+        x, y = [z for _, kids in x for z in kids], [z for _, kids in y for z in kids]
+    cx, cy = Counter(x), Counter(y)
+    return 1.0 - max(1e-9, (sum((cx - cy).values()) + sum((cy - cx).values())) / total)
+
+
+def edited_brute(a, b):
+    x, y = tree_brute(a), tree_brute(b)
+    hx, hy = {h for h, _ in x}, {h for h, _ in y}
+    there = {p for h, s in y if h not in hx for p, _ in s}
+    flat = [(h, p) for h, s in x for p, _ in s]
+    return [i for i, (h, p) in enumerate(flat) if h not in hy and p not in there]
+
+
+def fingerprint_rows():
+    r = random.Random(4)
+    line = lambda: r.choice(("", " ", "same, same. same", "x" * r.randrange(200), " ".join(r.choice(WORDS) + r.choice(("", ",", ".", "  ")) for _ in range(r.randrange(30)))))
+    rows = [(i * 7 % 41, "\n".join(line() for _ in range(r.randrange(40))), "a") for i in range(41)]
+    rows += [(50, None, "a"), (51, "é" * 7, "a"), (52, "same\ntext.", "a"), (53, "same\ntext.", "a"), (54, "a. b", "a"), (55, "a.  b", "a"), (56, "a, c\n\n", "a"), (57, "a,   c\n", "a"), (58, "\U0001f600" * 130, "a")]
+    return rows
+
+
+@pytest.mark.parametrize("quantiles", [1000, 4])
+def test_fingerprints(spark, monkeypatch, quantiles):
     monkeypatch.setattr(merkle, "BUCKET_ROWS", 3)
-    rows = [(i * 7 % 23, f"First {i}. Second, {i}; third\nnew paragraph {i % 3}.", "a") for i in range(23)] + [(50, None, "a"), (51, "é" * 7, "a"), (52, "same\ntext.", "a"), (53, "same\ntext.", "a")]
+    monkeypatch.setattr(merkle, "QUANTILES", quantiles)
+    rows = fingerprint_rows()
     order = sorted(((d, t or "") for d, t, _ in rows), reverse=True)
     got = {r.doc_id: r for r in merkle.fingerprints(frame(spark, rows)).collect()}
     for k, (d, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
         half = len(t) // 2
-        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+        new = t[: len(t) - half] + after[:half]
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (print_brute(t), print_brute(new))
+        assert got[d].near_edited == pytest.approx(likeness_brute(t, new), abs=1e-12) and got[d].near_next == pytest.approx(likeness_brute(t, after), abs=1e-12)
+        assert list(got[d].edited_lines) == edited_brute(t, new)
     assert got[52].fingerprint == got[53].fingerprint and got[53].near_next == 1.0
-    assert len({r.fingerprint for r in got.values()}) == len({t for _, t in order})
+    assert len({r.fingerprint.split("/")[0] for r in got.values()}) == len({t for _, t in order})
     assert merkle.fingerprints(frame(spark, [])).count() == 0
     alone = merkle.fingerprints(frame(spark, [(1, "ab", "a")])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"aa").hexdigest()
 
 
+def test_successors_of_repeated_and_null_ids(spark, monkeypatch):
+    """A third of the rows share an id, others have none; ranges cut them by the texts' hashes."""
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 4)
+    rows = [(7, f"t{i}", "a") for i in range(60)] + [(i, f"u{i}", "a") for i in range(60)] + [(None, f"n{i}", "a") for i in range(40)] + [(3, "u3", "a")] * 5 + [(2**63 - 1, "top", "a"), (-(2**63), "low", "a")]
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (2**64 if h >= 2**63 else 0)
+    order = sorted(((d is not None, d or 0, signed(t), t) for d, t, _ in rows), reverse=True)
+    want = sorted((a[3], b[3]) for a, b in zip(order, order[1:] + order[:1]))
+    slim = frame(spark, rows).select("doc_id", "text")
+    assert sorted((r.text, r.next_text) for r in merkle.with_next(slim).collect()) == want
+    assert merkle._bucketed(slim.withColumn("t", F.xxhash64("text"))).groupBy("bucket", "part").count().agg(F.max("count")).first()[0] <= 16
+
+
 def test_branches_name_the_edited_paragraphs(spark):
     a, b = "one.\ntwo, three.\nfour.", "one.\ntwo, 3.\nfour."
-    got = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.branches(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b")))).first()[0]
-    assert list(got) == [1]
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.sections(F.col("a")).alias("a"), merkle.sections(F.col("b")).alias("b")).select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    assert list(merkle.branches(df, "a", "b", "n").first().n) == [1]
 
 
 @pytest.mark.parametrize("groups", [200_000, 40])
