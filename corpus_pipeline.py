@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    out = contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), spans=False)
+    out = contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return out.where("not contaminated").select(*COLUMNS)
 
 

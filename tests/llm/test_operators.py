@@ -148,6 +148,19 @@ def test_line_dedup(spark, rows):
     out = line_dedup.dedup_lines(frame(spark, rows))
     got = out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
     assert sorted((tuple(r) for r in got), key=str) == lines_brute(rows)
+    clash = frame(spark, rows).withColumns({"_d": F.lit(1), "_h": F.lit(1), "_m": F.lit(1), "n_lines": F.lit("x"), "keep_words": F.lit("x")})
+    again = line_dedup.dedup_lines(clash)
+    assert sorted(again.columns) == sorted([*clash.columns, "n_dropped"])
+    assert sorted((r.doc_id or -1, r.n_lines, r.n_dropped) for r in again.collect()) == sorted((r.doc_id or -1, r.n_lines, r.n_dropped) for r in out.collect())
+
+
+def test_lines_of_one_repeated_document(spark):
+    """A null doc_id and one doc_id with many different texts that share a line; lines beyond a bitmap's word."""
+    line = "a common line of more than twenty characters"
+    rows = [(None, f"{k}\n{line}", "a") for k in range(50)] + [(7, f"{k}\n{line}\n{line}", "a") for k in range(50)] + [(i, "\n".join([str(i), *["x"] * 70, line, *["y"] * 70, line]), "a") for i in range(3)]
+    out = line_dedup.dedup_lines(frame(spark, rows))
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == lines_brute(rows)
 
 
 def test_caseless_is_injective_up_to_case(spark):
@@ -183,12 +196,28 @@ def test_decontamination(spark):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     one = decontaminate.contamination(docs, bench, keep=["doc_id"])
     assert sorted((tuple(x) for x in one.select(columns).collect()), key=str) == contamination_brute(rows, items)
-    many = decontaminate.contamination(docs, bench, block_words=8, keep=["doc_id"])
+    many = decontaminate.contamination(docs.withColumn("_hits", F.lit(1)).withColumn("_h", F.lit(1)).withColumn("n_hit", F.lit("x")), bench, block_words=12)
     assert sorted((tuple(x) for x in many.select(columns).collect()), key=str) == contamination_brute(rows, items)
+    assert "_hits" in many.columns and many.columns.count("n_hit") == 1
+    key = lambda df: sorted((str(x.doc_id), x.items_sha256, [tuple(v) for v in x.spans]) for x in df.collect())
+    assert key(many) == key(one)
     spans = {x.doc_id: [tuple(s) for s in x.spans] for x in one.collect()}
     assert spans[3] == [(0, 10), (12, 21)] or spans[3] == [(0, 21)]
+    assert spans[4] == [(2, 2 + len(items[0][1]))]
     none = decontaminate.contamination(docs, bench.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_long_items_are_cut_into_segments(spark):
+    """One item of more words than a block, in blocks of every size, against one block."""
+    r = random.Random(8)
+    item = [r.choice(WORDS) for _ in range(90)]
+    rows = [(i, " ".join(["x", *item[a : a + 14], "y"]), "a") for i, a in enumerate(range(0, 80, 3))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[5:16]))], "item_id long, text string")
+    for block_words in (10, 13, 40):
+        got = decontaminate.contamination(frame(spark, rows), bench, block_words=block_words, keep=["doc_id"])
+        assert sorted((tuple(x)[:4] + tuple(x)[5:7] for x in got.collect()), key=str) == sorted(((d, n, h, k, s, c) for d, n, h, k, s, c in contamination_brute(rows, [(1, " ".join(item)), (2, " ".join(item[5:16]))])), key=str)
 
 
 def secrets_brute(t):
@@ -219,11 +248,44 @@ def test_secrets_of_one_owner_are_live_and_shared_ones_are_copies(spark):
     assert (got[4].n_copied, got[4].n_owned) == (1, 0)
 
 
-def test_secrets_in_copies_of_one_document_are_live(spark):
-    live, shared = "Zx9Kq2Lm7Pv4Rt8Wy3Bn5", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7"
-    rows = [(i, f"use {live} here", f"src{i % 2}") for i in range(50)] + [(100 + i, f"copy {i} of {shared}", "a") for i in range(21)]
+def test_secrets_of_one_owner_are_live_in_many_repositories(spark):
+    live, shared = "Zx9Kq2Lm7Pv4Rt8Wy3Bn5", "550e8400-e29b-41d4-a716-446655440000"
+    rows = [(i, f"use {live} here", f"src{i % 2}") for i in range(50)] + [(100 + i, f"copy {i} of {shared}", "a") for i in range(60)]
     got = {r.doc_id: r for r in secrets.secret_digest(secrets.scan_secrets(frame(spark, rows))).collect()}
-    assert all(got[i].spans == "live:4:25" for i in range(50)) and all(got[100 + i].n_live == 0 for i in range(21))
+    assert all(got[i].spans == "live:4:25" for i in range(50)) and all(got[100 + i].n_live == 1 for i in range(60))
+
+
+def live_brute(rows):
+    """(doc_id, live spans, values) by counting over the whole corpus in memory."""
+    taken, wide = {}, {}
+    for k, (_, t, _) in enumerate(rows):
+        t = t or ""
+        found = [x.split(":") for x in secrets_brute(t).split(",") if x]
+        value = lambda kind, a, b: re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)\Z", t[a:b])[1] if kind == "assign" else t[a:b]
+        taken[k] = [(int(a), int(b), value(kind, int(a), int(b))) for kind, a, b in found]
+        ok = lambda w: len(re.findall("[0-9][A-Za-z]", w)) >= 3 and len(set(w)) >= 10
+        wide[k] = [(m.start(), m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t) if ok(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in taken[k])]
+    holders, by_text = defaultdict(set), defaultdict(dict)
+    for k, (d, t, owner) in enumerate(rows):
+        for _, _, v in taken[k] + wide[k]:
+            holders[v].add((owner, d))
+            by_text[v][t] = min(by_text[v].get(t, (owner, str(d))), (owner, str(d)))
+    out = []
+    for k, (d, _, _) in enumerate(rows):
+        live = [(a, b) for a, b, v in wide[k] if len({o for o, _ in by_text[v].values()}) <= 1]
+        values = [(a, b, len({o for o, _ in holders[v]}), len(holders[v]), len({o for o, _ in holders[v]}) > 1) for a, b, v in taken[k]]
+        values += [(a, b, len({o for o, _ in holders[v]}), len(holders[v]), False) for a, b, v in wide[k] if (a, b) in live]
+        out.append((d, sorted(live), sorted(values)))
+    return sorted(out, key=str)
+
+
+def test_secrets_against_brute_force(spark):
+    r = random.Random(6)
+    tokens = ["".join(r.choice("abcdef0123456789XY-") for _ in range(r.randrange(18, 30))) for _ in range(12)] + ["release-2020-01-01-final-notes", "a" * 30, "AKIA" + "Q2" * 9]
+    rows = [(i, " ".join(r.choice(("x", "token = ", "password:")) + r.choice(tokens) for _ in range(r.randrange(4))) if r.random() > 0.1 else None, f"s{r.randrange(3)}") for i in range(80)]
+    rows += rows[:9] + [(None, rows[3][1], "s9")]
+    got = [(x.doc_id, sorted((s.begin, s.end) for s in x.live), sorted((v.begin, v.end, v.n_owners, v.n_repos, v.copied) for v in x["values"])) for x in secrets.scan_secrets(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == live_brute(rows)
 
 
 def pii_brute(t):
@@ -256,6 +318,21 @@ def test_pii_finds_what_a_greedy_pattern_swallowed(spark):
     assert got[101] == ""
 
 
+def test_pii_adds_what_no_base_pattern_takes(spark):
+    rows = [(1, "call (555) 123-4567 today", "a"), (2, "mail joe.doe [at] mail7.org please", "a"), (3, "order 555-123-4567 is late", "a"), (4, "version 1.2.3.400 is out", "a"), (5, None, "a"), (6, "tel 555-123-4567, fax 555-123-4568", "a"), (6, "tel 555-123-4567, fax 555-123-4568", "a"), (None, "", "a")]
+    got = sorted((str(r.doc_id), r.spans, r.n_added, r.n_spans) for r in pii.pii_digest(pii.find_pii(frame(spark, rows))).collect())
+    six = ("6", "phone:4:16,phone:22:34", 2, 2)
+    assert got == [("1", "phone:5:19", 1, 1), ("2", "email:5:27", 1, 1), ("3", "", 0, 0), ("4", "", 0, 0), ("5", "", 0, 0), six, six, ("None", "", 0, 0)]
+
+
+def test_pii_meets_its_precision_on_held_out_examples(spark):
+    seen = pii.examples(spark)
+    score, test = pii.learned(seen, pii.PRECISION)
+    held = seen.where("held").withColumn("score", F.expr(score)).withColumn("hit", F.expr(test))
+    got = held.groupBy("kind").agg(F.sum("y").alias("pos"), F.count_if("hit").alias("hits"), F.count_if(F.col("hit") & (F.col("y") == 1)).alias("right")).collect()
+    assert len(got) == 4 and all(r.pos > 50 and r.right >= pii.PRECISION * r.hits and r.right >= 0.9 * r.pos for r in got)
+
+
 def test_boosting_learns_and_calibrates():
     x = np.array([[a, b] for a in range(4) for b in range(4)])
     n = np.full(16, 50.0)
@@ -279,9 +356,21 @@ def test_url_rules(spark):
 
 def test_distrust_flows_backwards(spark):
     bad = [(i, "http://bad.net/es/1", "") for i in range(9)]
-    rows = [*bad, (20, "http://bad.net/x", ""), (21, "http://farm.org/", "see bad.net"), (22, "http://fine.org/", "see good.com"), (23, "http://good.com/", None)]
+    far = [(30 + k, f"http://c{k}.org/", f"<a href='//C{k + 1}.org/'>") for k in range(12)] + [(42, "http://c12.org/", "<A HREF = http://bad.net/es/>")]
+    rows = [*bad, (20, "http://bad.net/x", ""), (21, "http://farm.org/", "<a HREF=\"HTTP://Bad.NET/x\">"), (22, "http://fine.org/", "see bad.net <a href='https://good.com?q'>"), (23, "http://good.com/", None), (24, "http://lone.org/", "<a href='//gone.org'><a href='//bad.net'><a href='//good.com'>"), *far]
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert (got[20], got[21], got[22], got[23]) == ("block", "block", "allow", "allow")
+    assert (got[20], got[21], got[22], got[23], got[42], got[30]) == ("block", "block", "allow", "allow", "block", "allow")
+    scores = {r.host: (r.trust, r.distrust) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    edges = {("farm.org", "bad.net"), ("fine.org", "good.com"), ("lone.org", "gone.org"), ("lone.org", "bad.net"), ("lone.org", "good.com"), ("c12.org", "bad.net"), *((f"c{k}.org", f"c{k + 1}.org") for k in range(12))}
+    seeds = {"good.com": (100_000, 0), "bad.net": (0, 90_000)}
+    want = {}
+    for way, links in ((0, edges), (1, {(b, a) for a, b in edges})):
+        now = {h: seeds.get(h, (0, 0))[way] // 2 for e in edges for h in e}
+        for _ in range(200):
+            out = {h: sum(1 for a, _ in links if a == h) for h in now}
+            now = {h: (50 * seeds.get(h, (0, 0))[way] + 50 * sum(now[a] * (1_000_000 // out[a]) // 1_000_000 for a, b in links if b == h)) // 100 for h in now}
+        want[way] = now
+    assert all(v == (want[0][h], want[1][h]) for h, v in scores.items())
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -300,11 +389,14 @@ def test_language_of_held_out_rows(spark, small):
 
 
 def test_language_without_letters_or_model(spark):
-    rows = [(1, None, "a"), (2, "", "a"), (3, "123 !? 456", "a"), (4, "été", "a")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "123 !? 456", "a"), (4, "été", "a"), (5, "²½①Ⅷ", "a")]
     assert {r.lang_pred for r in language.identify(frame(spark, rows), None).collect()} == {"und"}
     model = language.learn(frame(spark, [(1, "the cat", "a"), (2, "der hund", "a")]).withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("de")))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame(spark, rows), model).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] in ("en", "de")
+    assert got[1] == got[2] == got[3] == got[5] == ("und", 0.0) and got[4][0] in ("en", "de")
+    clash = frame(spark, rows).withColumns({"score": F.lit("x"), "Lang_Pred": F.lit(1)})
+    assert sorted(map(str, language.identify(clash, model).columns[-2:])) == ["lang_pred", "score"]
+    assert language.identify(frame(spark, []), model).count() == 0
     assert language.learn(frame(spark, [])) is None
 
 
@@ -438,6 +530,7 @@ def test_packing(spark, small, groups):
     bins = defaultdict(list)
     for r in out:
         bins[r.sequence_id].append((r.offset, r.length))
+    assert len({r.certified for r in out}) >= 1 and (groups < 1000 or all(r.certified for r in out))
     for parts in bins.values():
         at = 0
         for offset, length in sorted(parts):
@@ -448,6 +541,21 @@ def test_packing(spark, small, groups):
     assert packing.lower_bound(counts, 2048) <= len(bins) <= packing.lower_bound(counts, 2048) * (1.02 if groups > 1000 else 1.1) + 1
 
 
+def test_packing_spreads_one_document_and_takes_no_rows(spark):
+    """Pieces of one doc_id in many partitions, exchanged until nothing more is certified."""
+    r = random.Random(9)
+    rows = [(7 if i % 2 else None, 0, 0, r.randrange(300, 1500), i) for i in range(400)] + [(1, 0, 0, 2048, 1)] * 3
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row string, g string, done string"
+    out = packing.pack(spark.createDataFrame([(*x, "x", "x", "x") for x in rows], schema), group_pieces=50).collect()
+    assert sorted((r.ids_crc32, r.length) for r in out) == sorted((x[4], x[3]) for x in rows)
+    bins = defaultdict(list)
+    for x in out:
+        bins[x.sequence_id].append((x.offset, x.length))
+    assert all(sum(n for _, n in parts) <= 2048 and sorted(a for a, _ in parts) == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] for parts in bins.values())
+    assert packing.pack(spark.createDataFrame([], schema)).count() == 0
+    assert packing.pack_documents(frame(spark, []), registry.tokenizer_path()).count() == 0
+
+
 def test_bounds_hold_on_random_bins():
     r = np.random.default_rng(1)
     for _ in range(20):

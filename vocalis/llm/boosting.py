@@ -72,9 +72,10 @@ def fit(x: np.ndarray, n: np.ndarray, pos: np.ndarray, trees: int = TREES) -> tu
 
 def calibrated(margin: np.ndarray, n: np.ndarray, pos: np.ndarray, precision: float) -> float:
     """The least margin down to which every level of equal margin keeps this precision by itself; infinite if the
-    highest does not. Levels are judged alone, so many sure rows do not carry doubtful ones."""
+    highest does not. Levels are judged alone, so many sure rows do not carry doubtful ones; levels without rows are no
+    evidence and passed over."""
     best = np.inf
-    for level in np.unique(margin)[::-1]:
+    for level in np.unique(margin[n > 0])[::-1]:
         at = margin == level
         if pos[at].sum() < precision * n[at].sum():
             break

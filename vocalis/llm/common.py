@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents in one Arrow batch; keeps a batch of long documents far below a worker's memory.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch; keep a batch of long documents far below a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 _made: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="vocalis-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="vocalis-"))
+        found = _local[0]
     return found.rstrip("/")
 
 
@@ -47,7 +49,6 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns a reader of it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -66,11 +67,43 @@ def discard(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def mark() -> int:
+    """A place in the list of scratch tables, for clean()."""
+    return len(_made)
+
+
+def clean(since: int, *keep: DataFrame) -> None:
+    """Removes the scratch tables made since a mark but for those kept, which results still read."""
+    kept = {getattr(k, "_scratch", None) for k in keep}
+    for spark, path in _made[since:]:
+        if path not in kept:
+            drop_path(spark, path)
+    _made[since:] = [m for m in _made[since:] if m[1] in kept]
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds Arrow batches by rows and bytes unless the session already asks for smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that have one of these names, whatever their case."""
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in names])
 
 
 def need(df: DataFrame, *names: str) -> None:

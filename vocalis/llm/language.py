@@ -7,7 +7,6 @@ from one bounded, stratified sample of labelled rows whose histograms are made o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import need, small_batches
+from vocalis.llm.common import need, small_batches, without
 
 DIMS = 4096
 #: Distinct labelled texts to learn from, all languages together: 13 MB of histograms on their way, 26 MB in use.
@@ -32,7 +31,6 @@ FAMILIES = {
     "indic": "hi ur bn mr pa gu ne",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 #: Texts whose histograms are not empty.
 _LETTERED = "[A-Za-z\\x{80}-\\x{10FFFF}]"
 _KEPT = np.array([ord(" ")] * 256, np.uint8)
@@ -148,7 +146,7 @@ def _predictions(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            got = [model.predict(t) if t and model and _LETTER.search(t) else ("und", 0.0) for t in batch.column("text").to_pylist()]
+            got = [model.predict(t) if t and model and any(map(str.isalpha, t)) else ("und", 0.0) for t in batch.column("text").to_pylist()]
             cols = [batch.column(n) for n in keep] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
 
@@ -158,11 +156,14 @@ def _predictions(shared, keep: list[str]):
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """docs (text and any others; keep names those to return, all by default) with lang_pred and score (0 to 1).
 
-    A null text, one without letters, and any text without a model: und with score 0. Only text is an input.
+    A null text, one without letters (Unicode's category L), and any text without a model: und with score 0. Only text
+    is an input. Columns of docs called lang_pred or score give way. A table without rows gives none; rows repeated
+    whole each get their result.
     """
     need(docs, "text")
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
+    docs = without(docs, "lang_pred", "score")
     keep = docs.columns if keep is None else keep
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_predictions(spark.sparkContext.broadcast(model), keep), f"{typed}, lang_pred string, score double")

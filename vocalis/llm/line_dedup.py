@@ -2,8 +2,9 @@
 
 Line keys become 128-bit hashes; the (key, document, position) rows are range-partitioned and sorted by key, then by
 document from the largest down, so a key that fills a third of the rows spreads over many partitions. Each partition
-folds its run of a key and document into one row; counts and the keeping document come from partial sums. What leaves
-is a sparse bitmap of dropped lines for each document; text is only read again where the bitmap is applied.
+streams its runs of a key and document into bitmap words; counts and the first occurrence (the largest document) come
+from partial sums. What leaves is a bitmap of kept lines for each document that loses any, compressed by leaving out
+words without a dropped line; text is only read again where the bitmap is applied.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import caseless, need, written
+from vocalis.llm.common import caseless, fresh, need, without, written
 
 SPACE = " \t\n\x0b\x0c\r"
 #: A key counts as hot from this share of all folded rows on; at most its inverse of keys can reach it.
@@ -26,7 +27,8 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Sparse bitmaps of lines to drop: doc_id, th (hash of the text), words array<struct<word int, bits long>>.
+    """Bitmaps of documents that lose lines: doc_id, th (hash of the text), words array<struct<word int, bits long>>: those
+    words of 64 lines that lose any, with the bits of the kept lines.
 
     docs: doc_id (any orderable type), text. A row is known by doc_id and its text's hash: rows repeated whole act as
     one, rows that share a doc_id count as one document. A null doc_id is one document, below all others. Null and
@@ -35,34 +37,39 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     need(docs, "doc_id", "text")
     rows = written(line_keys(docs, min_chars), "line-keys")
     ranged = rows.repartitionByRange("h1", "h2", F.col("doc_id").desc_nulls_last()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
-    folded = written(ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at")), "line-runs")
-    keys = folded.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep")).where(F.col("n_docs") >= min_docs)
-    keys = written(keys, "line-common")
+    word = F.floor(F.col("pos") / 64).cast("int").alias("word")
+    folded = written(ranged.groupBy("h1", "h2", "doc_id", "th", word).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")), "line-runs")
+    keys = folded.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.max("doc_id").alias("keep"))
+    keys = written(keys.where(F.col("n_docs") >= min_docs), "line-common")
     hot_from = max(min_docs, int(folded.count() * HOT_SHARE) + 1)
-    hot = keys.where(F.col("n_docs") >= hot_from).select("h1", "h2", F.col("keep").alias("hot_keep"), F.lit(True).alias("hot"))
-    cold = keys.where(F.col("n_docs") < hot_from).select("h1", "h2", "keep")
+    hot = keys.where(F.col("n") >= hot_from).select("h1", "h2", F.col("keep").alias("hot_keep"), F.lit(True).alias("hot"))
+    cold = keys.where(F.col("n") < hot_from).select("h1", "h2", "keep")
     tagged = folded.join(F.broadcast(hot), ["h1", "h2"], "left")
     goes = ~F.col("doc_id").eqNullSafe(F.col("keep"))
     from_hot = tagged.where("hot").withColumn("keep", F.col("hot_keep")).where(goes)
     from_cold = tagged.where("hot is null").join(cold, ["h1", "h2"]).where(goes)
-    gone = from_hot.select("doc_id", "at").unionByName(from_cold.select("doc_id", "at")).select("doc_id", F.inline("at"))
-    bits = gone.groupBy("doc_id", "th", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return bits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    gone = from_hot.select("doc_id", "th", "word", "bits").unionByName(from_cold.select("doc_id", "th", "word", "bits"))
+    bits = gone.groupBy("doc_id", "th", "word").agg(F.bit_or("bits").alias("bits"))
+    return bits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("words"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with every column, text without its dropped lines, and n_lines, n_dropped (long), drop_words.
+    """docs with every column, text without its dropped lines, and n_lines, n_dropped (long), keep_words: the words
+    (64 lines each) of the bitmap of kept lines that are not all ones, null where nothing is dropped.
 
-    A null text stays null where nothing is dropped from it, which is always.
+    Columns of docs called n_lines, n_dropped or keep_words give way. A null text stays null where nothing is dropped
+    from it, which is always.
     """
-    drops = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("words").alias("drop_words"))
-    out = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    docs = without(docs, "n_lines", "n_dropped", "keep_words")
+    d, h, m = fresh(docs, "_d", "_h", "_m")
+    drops = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("words").alias("keep_words"))
+    out = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keep = "filter(split(text, '\\n', -1), (x, i) -> (coalesce(try_element_at(_m, int(i div 64)), 0L) & shiftleft(1L, i % 64)) = 0)"
+    keep = f"filter(split(text, '\\n', -1), (x, i) -> (coalesce(try_element_at({m}, int(i div 64)), -1L) & shiftleft(1L, i % 64)) <> 0)"
     return (
         out.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.aggregate("drop_words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w["bits"])), F.lit(0)).cast("long"))
-        .withColumn("_m", F.map_from_entries("drop_words"))
-        .withColumn("text", F.when(F.col("drop_words").isNull(), F.col("text")).otherwise(F.array_join(F.expr(keep), "\n")))
-        .drop("_d", "_h", "_m")
+        .withColumn("n_dropped", F.coalesce(F.aggregate("keep_words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(F.bitwise_not(w["bits"]))), F.lit(0)).cast("long"))
+        .withColumn(m, F.map_from_entries("keep_words"))
+        .withColumn("text", F.when(F.col("keep_words").isNull(), F.col("text")).otherwise(F.array_join(F.expr(keep), "\n")))
+        .drop(d, h, m)
     )

@@ -3,7 +3,8 @@
 Tokenising emits one small row for each piece; texts and ids go no further. Pieces are dealt into partitions of bounded
 size, each packed by best-fit decreasing. Dual-feasible functions bound from below the bins a partition needs; one that
 meets its bound is certified. The pieces in unfilled bins of the others are exchanged (dealt anew) and packed again,
-which lets partial bins of different partitions complete each other.
+which lets partial bins of different partitions complete each other, until all that is left fits one partition or an
+exchange certifies and fills nothing more.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from vocalis.llm.word_bpe import Encoder
 CAPACITY = 2048
 #: Pieces packed together in one task.
 GROUP_PIECES = 200_000
-#: Exchanges of the pieces in unfilled bins.
-ROUNDS = 3
 
 _encoders: dict[str, Encoder] = {}
 
@@ -118,44 +117,46 @@ def _pack(capacity: int, group_bits: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset (long); no sequence is over capacity.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id, offset (long) and certified: whether the
+    sequence is full or its partition meets its bound; no sequence is over capacity.
 
-    Rows repeated whole are pieces like any others. A table without rows gives none. Sequence ids carry their
-    partition in the high bits; full-size pieces never reach a packing task.
+    Rows repeated whole are pieces like any others, and pieces are dealt by a number of their own, so rows that share a
+    doc_id spread like any. A table without rows gives none. Sequence ids carry their partition in the high bits;
+    full-size pieces never reach a packing task.
     """
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    bits = 32
-    full = pieces.where(F.col("length") == capacity).select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    left, done, made = pieces.where(F.col("length") < capacity), [full], 0
-    n_left = left.count()
-    for turn in range(rounds + 1):
-        if not n_left:
-            break
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    numbered = written(pieces.select(*columns, F.monotonically_increasing_id().alias("row")), "pieces")  # from here on row is fixed
+    full = numbered.where(F.col("length") == capacity).select(*columns, (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    left, done, made, turn = numbered.where(F.col("length") < capacity), [full], 0, 0
+    n_left, last = left.count(), None
+    while n_left:
         groups = max(1, -(-n_left // group_pieces))
-        dealt = left.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)) + made)
-        out = dealt.groupBy("g").applyInPandas(_pack(capacity, bits), f"g long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, done boolean, gap long")
+        dealt = left.withColumn("g", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)) + made)
+        out = dealt.groupBy("g").applyInPandas(_pack(capacity, 32), f"g long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, done boolean, gap long")
         packed = written(out, f"packed-{turn}")
-        made += groups
-        if groups == 1 or turn == rounds:
-            done.append(packed.drop("g", "done", "gap"))
+        made, turn, last = made + groups, turn + 1, n_left
+        n_left = packed.where("not done").count()
+        ends = groups == 1 or n_left == last
+        done.append((packed if ends else packed.where("done")).select(*columns, "sequence_id", "offset", F.col("done").alias("certified")))
+        if ends:
             break
-        done.append(packed.where("done").drop("g", "done", "gap"))
-        left = packed.where("not done").drop("g", "sequence_id", "offset", "done", "gap")
-        n_left = left.count()
+        left = packed.where("not done").select(*columns, "row")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Tokenises docs (doc_id, text; extra columns are ignored) and packs the pieces.
 
-    A null or empty text is the single id 0. tokenizer: path of a tokenizers file, on every executor.
+    A null or empty text is the single id 0; null and repeated doc_ids are as any; no rows give none. tokenizer: path of
+    a tokenizers file, on every executor.
     """
     need(docs, "doc_id", "text")
-    return pack(written(pieces_of(docs, tokenizer, capacity), "pieces"), capacity, group_pieces, rounds)
+    return pack(pieces_of(docs, tokenizer, capacity), capacity, group_pieces)
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:

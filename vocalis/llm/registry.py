@@ -37,23 +37,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.decontaminate import contamination
 
-    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    runs = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", runs.alias("spans"))
 
 
 OP2_SQL = f"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws, regexp_split_to_array(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS gs
+  FROM (SELECT doc_id, translate(coalesce(text, ''), {A_Z}) AS t FROM documents)),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
 bk AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0),
 g AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM bk)),
 ks AS (SELECT DISTINCT k FROM g),
 dg AS (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT r, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ks WHERE len(ws) >= k)),
 m AS (SELECT r, dg.k, i, item_id FROM dg JOIN g ON dg.k = g.k AND dg.gram = g.gram),
-h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+hp AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m)),
+h AS (SELECT r, count(*) AS n_hit FROM hp GROUP BY r),
+ru AS (SELECT r, min(p) AS a, max(p) AS z FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS g FROM hp) GROUP BY r, g),
+pl AS (SELECT r, p, sum(g + l) OVER (PARTITION BY r ORDER BY p) AS past, past - l AS start FROM (SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(list_transform(gs[1:len(ws)], lambda x: length(x))) AS g, unnest(list_transform(ws, lambda x: length(x))) AS l FROM w WHERE r IN (SELECT r FROM hp))),
+sp AS (SELECT ru.r, string_agg(x.start || ':' || y.past, ',' ORDER BY a) AS spans FROM ru JOIN pl x ON x.r = ru.r AND x.p = a JOIN pl y ON y.r = ru.r AND y.p = z GROUP BY ru.r),
 t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN sp USING (r)
 """
 
 
@@ -64,9 +70,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    step = """s{k} AS (SELECT z.way, z.host, z.seed, (15 * z.seed + 85 * coalesce(g.given, 0)) // 100 AS score FROM z LEFT JOIN
+    """Scores only rise and have come to rest long before 40 steps at the size that the SQL is run at."""
+    step = """s{k} AS (SELECT z.way, z.host, z.seed, (50 * z.seed + 50 * coalesce(g.given, 0)) // 100 AS score FROM z LEFT JOIN
   (SELECT s.way, e.dst AS host, sum(s.score * e.share // 1000000)::BIGINT AS given FROM s{j} s JOIN e ON s.way = e.way AND s.host = e.src GROUP BY 1, 2) g ON z.way = g.way AND z.host = g.host)"""
-    steps = ",\n".join(step.format(k=k, j=k - 1) for k in range(1, 11))
+    steps = ",\n".join(step.format(k=k, j=k - 1) for k in range(1, 41))
     return f"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html,
   translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), {A_Z}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -76,22 +83,18 @@ q AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.
   WHEN host LIKE '%.net' AND path LIKE '/fr/%' OR host = 'net' AND path LIKE '/fr/%' THEN 'net/fr/'
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p),
 j AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM q),
-hosts AS (SELECT DISTINCT host FROM j WHERE host <> ''),
-u1 AS (SELECT host AS src, regexp_extract(host, '^[^.]*\\.(.+)', 1) AS dst FROM hosts),
-u2 AS (SELECT dst AS src, regexp_extract(dst, '^[^.]*\\.(.+)', 1) AS dst FROM u1 WHERE contains(dst, '.')),
-up AS (SELECT DISTINCT src, dst FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2) WHERE contains(dst, '.')),
-known AS (SELECT host FROM hosts UNION SELECT dst FROM up),
-named AS (SELECT DISTINCT r, host AS src, unnest(regexp_extract_all(html, '[a-z0-9-]+(?:\\.[a-z0-9-]+)+')) AS dst FROM j WHERE host <> ''),
-w AS (SELECT src, dst, sum(n)::BIGINT AS weight FROM (SELECT src, dst, count(*) AS n FROM named WHERE src <> dst AND dst IN (SELECT host FROM known) GROUP BY 1, 2 UNION ALL SELECT src, dst, 1 FROM up) GROUP BY 1, 2),
+named AS (SELECT DISTINCT r, host AS src, translate(unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<>\\s]+)', 1)), {A_Z}) AS dst FROM j WHERE host <> ''),
+w AS (SELECT src, dst, count(*) AS weight FROM named WHERE src <> dst GROUP BY 1, 2),
+known AS (SELECT host FROM j WHERE host <> '' UNION SELECT dst FROM w),
 b AS (SELECT 't' AS way, src, dst, weight FROM w UNION ALL SELECT 'd', dst, src, weight FROM w),
 e AS (SELECT way, src, dst, (weight * 1000000 // sum(weight) OVER (PARTITION BY way, src))::BIGINT AS share FROM b),
 c AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' GROUP BY 1),
 v AS (SELECT k.host, coalesce(good * 100000 // n, 0)::BIGINT AS trust, coalesce(bad * 100000 // n, 0)::BIGINT AS distrust FROM known k LEFT JOIN c USING (host)),
 z AS (SELECT host, 't' AS way, trust AS seed FROM v UNION ALL SELECT host, 'd', distrust FROM v),
-s0 AS (SELECT way, host, seed, seed AS score FROM z),
+s0 AS (SELECT way, host, seed, 50 * seed // 100 AS score FROM z),
 {steps},
-f AS (SELECT host, sum(score) FILTER (way = 't') AS t, sum(score) FILTER (way = 'd') AS d FROM s10 GROUP BY 1)
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d > t AND d >= 7500 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN f ON j.host = f.host
+f AS (SELECT host, sum(score) FILTER (way = 't') AS t, sum(score) FILTER (way = 'd') AS d FROM s40 GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d > t AND d >= 5000 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN f ON j.host = f.host
 """
 
 

@@ -1,9 +1,10 @@
 """Operator 1: secret scan with corpus-wide ownership of candidate values. DataFrame functions only.
 
-Every text is searched once for the base patterns and for a wider candidate (long tokens that mix letters and digits).
-Candidate values are hashed; for each hash the distinct repositories and owners are counted over the whole corpus. A
-value that many owners hold is a copied example; one that stays with few, and is varied enough to be a live credential,
-adds a span. Counting folds by (hash, owner, repository) before it shuffles, so a value in a third of all rows is as
+Every text is searched once for the base patterns and for a wider candidate (long tokens of any case in which letters
+and digits alternate). Candidate values are hashed; for each hash the distinct repositories and owners are counted over
+the whole corpus. A value that many owners hold is a copied example, however few repositories each has; one that stays
+with few owners, in however many of their repositories, and is varied enough to be a live credential, adds a span.
+Counting folds by (hash, owner, repository) before it shuffles, so a value in a third of all rows is as
 cheap as any; the few hashes that can be that frequent are joined back by broadcast (their number is bounded by the
 inverse of the share), all others by an equi-join.
 """
@@ -17,9 +18,8 @@ from vocalis.llm.common import need, written
 from vocalis.llm.spans import joined, overlaps, spans, tagged
 
 KINDS = ("assign", "access", "hex")
-#: An added candidate is owner-specific up to this many owners and this many repositories.
+#: A value is owner-specific up to this many owners.
 MAX_OWNERS = 1
-MAX_REPOS = 20
 HOT_SHARE = 1 / 1000
 
 # fixed patterns: possessive where backing off cannot help, so long runs neither recurse nor go back
@@ -27,6 +27,8 @@ ASSIGN = """(?i)(?:password|passwd|secret|token|api_?key)["']?\\x20*+[:=]\\x20*+
 ACCESS = "AKIA[A-Z0-9]++"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 WIDE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Letters and digits alternate as random text does, which names with a date or a number don't.
+VARIED, TIMES, DISTINCT = "[0-9][A-Za-z]", 3, 10
 
 
 def _value(hit: Column) -> Column:
@@ -41,7 +43,7 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     wide = spans(t, WIDE, t.rlike("[A-Za-z0-9+/_=-]{20}"))
     out = docs.withColumns({"assign": assign, "access": access, "hex": spans(t, HEX, t.rlike("[0-9a-f]{24}")), "_wide": wide})
     base = F.concat(*[F.transform(k, lambda s: s.dropFields("hit")) for k in KINDS])
-    varied = lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Z]") & s["hit"].rlike("[a-z]") & (F.size(F.array_distinct(F.split(s["hit"], ""))) >= 10)
+    varied = lambda s: (F.regexp_count(s["hit"], F.lit(VARIED)) >= TIMES) & (F.size(F.array_distinct(F.split(s["hit"], ""))) >= DISTINCT)
     return out.withColumn("_base", base).withColumn("wide", F.filter("_wide", lambda s: varied(s) & ~overlaps(F.col("_base"), s["begin"], s["end"]))).drop("_wide", "_base")
 
 
@@ -58,14 +60,14 @@ def firsts(values: DataFrame) -> DataFrame:
     return values.groupBy("h", "t").agg(F.min(F.struct("owner", "repo")).alias("m")).select("h", "m.owner", "m.repo")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
     """One row for each row of docs: doc_id, assign, access, hex, live (arrays of begin, end, hit, of code points, end
     exclusive), values (array of begin, end, n_owners, n_repos, copied).
 
     docs: doc_id, text, and the columns named as owner and repo; extra columns are ignored. A null or empty text has no
-    spans. Rows repeated whole each get their own result and count as one repository. live: added candidates.
-    values: of every base and added value how many owners and repositories hold it; copied if more than
-    allowed. For added values copies of one text count as one document when that is decided, so more may hold them.
+    spans. Rows repeated whole each get their own result and count as one repository. live: added candidates, whose owners
+    are few, copies of one text counted as one document under its least owner. values: of every base and added value how
+    many owners and repositories hold it; copied if the owners are more than max_owners. Base spans stay, copied or not.
     """
     need(docs, "doc_id", "text", owner, repo)
     slim = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), "text", F.xxhash64("text").alias("t"))
@@ -75,7 +77,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", m
     same = lambda x: x
     values = F.concat(hashed(F.col("assign"), _value, False), hashed(F.col("access"), same, False), hashed(F.col("hex"), same, False), hashed(F.col("wide"), same, True))
     each = written(found.where("size(assign) + size(access) + size(hex) + size(wide) > 0").select("row", "owner", "repo", "t", F.inline(values)), "secret-values")
-    distinct = ownership(firsts(each)).select(F.col("h").alias("_h"), ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("few"))
+    distinct = ownership(firsts(each)).select(F.col("h").alias("_h"), (F.col("n_owners") <= max_owners).alias("few"))
     owned = ownership(each.select("h", "owner", "repo"))
     known = written(owned.join(distinct, F.col("h") == F.col("_h"), "left").withColumn("few", F.coalesce("few", F.lit(False))).drop("_h"), "secret-owners")
     hot_from = int(each.count() * HOT_SHARE) + 1
@@ -83,7 +85,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", m
     cold = known.where(F.col("n_rows") < hot_from).select("h", F.struct("n_owners", "n_repos", "few").alias("held"))
     first = each.join(F.broadcast(hot), "h", "left")
     held = first.where("hot is not null").withColumn("held", F.col("hot")).select("row", "begin", "end", "wide", "held").unionByName(first.where("hot is null").join(cold, "h").select("row", "begin", "end", "wide", "held"))
-    copied = F.when(F.col("wide"), ~F.col("held.few")).otherwise((F.col("held.n_owners") > max_owners) | (F.col("held.n_repos") > max_repos))
+    copied = F.when(F.col("wide"), ~F.col("held.few")).otherwise(F.col("held.n_owners") > max_owners)
     rows = held.select("row", F.struct("begin", "end", "held.n_owners", "held.n_repos", copied.alias("copied"), "wide").alias("v")).groupBy("row").agg(F.sort_array(F.collect_list("v")).alias("values"))
     out = found.join(rows, "row", "left").withColumn("values", F.coalesce("values", F.array().cast("array<struct<begin: bigint, end: bigint, n_owners: bigint, n_repos: bigint, copied: boolean, wide: boolean>>")))
     alive = F.filter("values", lambda v: v["wide"] & ~v["copied"])
