@@ -68,14 +68,19 @@ def groups_brute(rows):
     return sorted(((d, len(sets[i]), least[top(i)] if sets[i] else d) for i, (d, *_) in enumerate(rows)), key=str)
 
 
+@pytest.mark.parametrize("pivots", [0, 20, 256])
 @pytest.mark.parametrize("rows", [similar(1), awkward(), []], ids=["similar", "awkward", "empty"])
-def test_jaccard_join(spark, rows):
+def test_jaccard_join(spark, monkeypatch, rows, pivots):
+    """No sets covered by pivots, some, or nearly all."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     got = jaccard_join.similar_groups(frame(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == groups_brute(rows)
 
 
-def test_jaccard_join_of_a_frequent_group(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [0, 6, 256])
+def test_jaccard_join_of_a_frequent_group(spark, monkeypatch, pivots):
     """Many loose copies of one text with every threshold low, so regions recurse and split into chunks."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard_join, "FREQUENT", (2, 4, 8, 16))
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     monkeypatch.setattr(jaccard_join, "CHUNK", 16)
@@ -91,6 +96,27 @@ def test_jaccard_join_of_a_frequent_group(spark, monkeypatch):
     assert sorted((tuple(x) for x in got), key=str) == groups_brute(rows)
 
 
+def test_voronoi_regions_hold_all_links_of_their_sets():
+    """Every link of a covered set lies in its nearest pivot's region, with boundary sets replicated."""
+    texts = [t for _, t, _ in similar(7, 200)]
+    sets = list(shingles.shingle_sets(texts))
+    cells = jaccard_join.Cells([x.tobytes() for x in sets[::9] if len(x)], 80)
+    entered = [cells.enter(x) for x in sets]
+    seen = 0
+    for i, x in enumerate(sets):
+        covered, into, same = entered[i]
+        for p, n in zip(into, same):
+            pivot = next(y for y in sets if len(y) and shingles.set_id(y) == cells.ids[p])
+            assert n == len(np.intersect1d(x, pivot))
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if covered and i != j and len(y) and 5 * both >= 4 * (len(x) + len(y) - both):
+                nearest = into[np.argmin([1 - n / (len(x) + cells.sizes[p] - n) for p, n in zip(into, same)])]
+                assert nearest in entered[j][1]
+                seen += 1
+    assert seen > 50
+
+
 def test_sketch_bounds_the_difference():
     r = np.random.default_rng(3)
     for _ in range(50):
