@@ -1,11 +1,15 @@
-"""A corpus pipeline of five stages over the documents table. Each stage takes all rows its predecessor kept."""
+"""A corpus pipeline of five stages over the documents table. Each stage takes all rows its predecessor kept.
+
+In every stage a null doc_id is as any other value, rows repeated whole are judged one by one unless said otherwise, a
+table without rows gives none, and columns other than those of documents are left behind.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import table, written
+from vocalis.llm.common import clean, discard, mark, table, written
 from vocalis.llm.decontaminate import contamination
 from vocalis.llm.jaccard_join import similar_groups
 from vocalis.llm.language import identify, learn
@@ -17,13 +21,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and those without letters. Learns as op7 does."""
+    """Rejects documents in no language: null texts and those without letters. Learns as op7 does. Without a labelled row
+    there is no model, and every document is in no language."""
     model = learn(docs.where("not coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").select("text", "lang"))
     return identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go from all but one document; a document whose lines all went goes too."""
+    """Common lines go from all but one document; a document whose lines all went goes too. Rows that share a doc_id are
+    one document there, a null one below all others."""
     out = dedup_lines(docs.select(*COLUMNS)).where("n_dropped < n_lines")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -31,7 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents one row stays: the least by doc_id, then by the text's hash, then by the rest.
 
-    Rows without shingles are in no group and all stay.
+    Rows without shingles (null, empty or blank texts) are in no group and all stay. Rows of equal doc_id are grouped by
+    their texts only, and of rows repeated whole one stays.
     """
     key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64("text").alias("h"))
     groups = similar_groups(docs.select(key.alias("doc_id"), "text"))
@@ -42,13 +49,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go. Null and empty texts hold none; an empty benchmark has none."""
     out = contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return out.where("not contaminated").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of at most 2048 tokens."""
+    """The pieces of the documents in sequences of at most 2048 tokens. A null or empty text is one id."""
     return pack_documents(docs, tokenizer_path())
 
 
@@ -58,7 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's table goes as soon as the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        since = mark()
+        done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clean(since, done)
+        discard(docs)
+        docs = done
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)  # its pieces are written
+    return out

@@ -610,6 +610,33 @@ def test_pipeline_against_its_parts(spark, small):
     clean = {d for d, _, hit, *_ in contamination_brute(list(single.items()), bench) if not hit}
     out = p.run(spark, small).collect()
     assert {r.doc_id for r in out} == clean
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(registry.tokenizer_path())
+    want = []
+    for d in clean:
+        ids = [*whole.encode(kept[d], add_special_tokens=False).ids, 0]
+        want += [(d, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    filled = defaultdict(list)
+    for r in out:
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in v) <= 2048 and all(a == sum(n for _, n in sorted(v)[:k]) for k, (a, _) in enumerate(sorted(v))) for v in filled.values())
+
+
+def test_pipeline_stages_take_awkward_rows(spark, small):
+    import corpus_pipeline as p
+
+    rows = [(1, None, "a"), (None, "", "a"), (None, "the cat sat on the mat", "a"), (2, "the cat sat on the mat", "a"), (2, "the cat sat on the mat", "a"), (3, "123 456", "a"), (4, "x " * 3000, "a")]
+    docs = frame(spark, rows).withColumn("n_chars", F.lit(1).cast("long"))
+    known = p.language(spark, docs, small)
+    assert sorted(str(r.doc_id) for r in known.collect()) == ["2", "2", "4", "None"] and known.columns == p.COLUMNS
+    assert sorted(str(r.doc_id) for r in p.lines(spark, docs, small).collect()) == ["1", "2", "2", "3", "4", "None", "None"]
+    assert sorted(str((r.doc_id, r.text)) for r in p.near_duplicates(spark, docs, small).collect()) == sorted(map(str, [(1, None), (None, ""), (2, rows[3][1]), (3, "123 456"), (4, "x " * 3000)]))
+    assert p.benchmark(spark, docs, small).count() == 7 and p.packing(spark, docs, small).agg(F.countDistinct("doc_id")).first()[0] == 4
+    assert p.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), small).count() == 0
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0
 
 
 def test_pipeline_keeps_one_row_of_a_group(spark, small):

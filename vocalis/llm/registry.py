@@ -110,6 +110,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS sh FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+s AS (SELECT r, count(*) AS n, sha256(string_agg(sh, chr(10) ORDER BY sh)) AS k FROM g GROUP BY r),
+c AS (SELECT k, min(r) AS r, any_value(n) AS n, min(doc_id) AS least FROM s JOIN w USING (r) GROUP BY k),
+f AS (SELECT g.r, sh FROM g JOIN c USING (r)),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS same FROM f a JOIN f b ON a.sh = b.sh AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.r = x JOIN c cy ON cy.r = y WHERE 100 * same >= 80 * (cx.n + cy.n - same)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+t AS (SELECT r AS x, r AS y FROM c UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x),
+m AS (SELECT c.k, min(o.least) AS least FROM t JOIN c ON c.r = t.x JOIN c o ON o.r = t.y GROUP BY c.k)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id FROM w LEFT JOIN s USING (r) LEFT JOIN m USING (k)
+"""
+
+
 def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.chat import render_chats
 
@@ -153,4 +168,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_pii_boosting": op4_pii_boosting, "op5_jaccard_join": op5_jaccard_join, "op6_chat_snapshots": op6_chat_snapshots, "op7_language_id": op7_language_id, "op8_merkle_fingerprint": op8_merkle_fingerprint, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_url_filter": _op3_sql(), "op6_chat_snapshots": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_url_filter": _op3_sql(), "op5_jaccard_join": OP5_SQL, "op6_chat_snapshots": OP6_SQL, "op10_line_dedup": OP10_SQL}
