@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
+_C = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +93,23 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on and serve other operators."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives freed memory back when its task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import fresh, need, small_batches, without, written
+from vocalis.llm.common import fresh, need, small_batches, tidy, without, written
 
 WINDOW = 10
 #: Words of benchmark text in one automaton: at most ten nodes each, about 150 MB in a worker. Bytes of its text.
@@ -178,7 +178,7 @@ def _judged(keep: list[str], window: int, shared=None, key: str = ""):
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *NEW])
 
-    return run
+    return tidy(run)
 
 
 def located(text: str, ranges: list) -> list[dict]:

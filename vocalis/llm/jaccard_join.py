@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import clean, discard, mark, need, small_batches, written
+from vocalis.llm.common import clean, discard, mark, need, release, small_batches, tidy, written
 from vocalis.llm.components import components
 from vocalis.llm.shingles import WIDTH, Bloom, mixed, set_id, shingle_sets
 
@@ -39,7 +39,7 @@ FREQUENT = (16, 128, 1024, 8192)
 COUNTED = 0.5
 BLOOM_BITS = 1 << 24
 #: Shingles or list entries in one task's group.
-GROUP = 1_500_000
+GROUP = 900_000
 #: Up to so many sets outside a region's largest component are drawn at once; of more, some each turn.
 SMALL = 48
 #: Pairs that are broadcast, 3 MB at most.
@@ -107,7 +107,7 @@ def _read(groups: int, width: int, share: float):
         if held:
             yield out([], [], [], flush(), kind)
 
-    return run
+    return tidy(run)
 
 
 def _frequent(bits: int):
@@ -231,7 +231,7 @@ def _lists(shared, cells, groups: int, list_groups: int, width: int, threshold:
         if held:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def _candidates(list_groups: int, threshold: int):
@@ -261,7 +261,9 @@ def _candidates(list_groups: int, threshold: int):
         if parts and table.column("g")[0].as_py() < list_groups:
             _, keep = np.unique(np.rec.fromarrays([cols[2], cols[3], cols[0]]), return_index=True)
             cols = [c[keep] for c in cols]
-        return pa.table({k: pa.array(c.astype(np.int64), pa.int64()) for k, c in zip(("kind", "h", "a", "b", "na", "nb"), cols, strict=True)})
+        out = pa.table({k: pa.array(c.astype(np.int64), pa.int64()) for k, c in zip(("kind", "h", "a", "b", "na", "nb"), cols, strict=True)})
+        release()
+        return out
 
     return run
 
@@ -292,7 +294,7 @@ def _sets(shared, width: int):
                     bits.append(sketch(grams))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())], names=["s", "grams", "bits"])
 
-    return run
+    return tidy(run)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +360,7 @@ def _meeting(named: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _meet(threshold: int, outer: int, best: bool):
     """Pairs of a drawn set and another of the chunk in another component that sizes, the pivot's triangle window and
-    sketches leave possible. best: for each drawn set only the nearest of each component."""
+    sketches leave possible. best: each component only goes to its nearest drawn set."""
     radius, beyond = 1 - threshold / 100 + 1e-9, 1 - outer / 100
 
     def run(table: pa.Table) -> pa.Table:
@@ -371,15 +373,19 @@ def _meet(threshold: int, outer: int, best: bool):
         # a distance that was not measured is beyond the outer radius
         low, high = np.where(np.isnan(far), beyond, far), np.where(np.isnan(far), 1.0, far)
         out: list[tuple] = []
+        met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in np.flatnonzero(q):
             near = own[(c[own] != c[i]) & (100 * np.minimum(n[own], n[i]) >= threshold * np.maximum(n[own], n[i])) & (low[own] <= high[i] + radius) & (low[i] <= high[own] + radius)]
             apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
             fit = apart * (100 + threshold) <= (n[near] + n[i]) * (100 - threshold)
-            near, apart = near[fit], apart[fit]
-            if best and len(near):
+            met.append((np.full(fit.sum(), i), near[fit], apart[fit]))
+        if met:
+            x, y, apart = (np.concatenate(v) for v in zip(*met))
+            if best and len(y):
                 order = np.argsort(apart, kind="stable")
-                near = near[order][np.unique(c[near[order]], return_index=True)[1]]
-            out += [(s[i], s[j], n[i], n[j]) if s[i] < s[j] else (s[j], s[i], n[j], n[i]) for j in near]
+                first = order[np.unique(c[y[order]], return_index=True)[1]]
+                x, y = x[first], y[first]
+            out = [(s[i], s[j], n[i], n[j]) if s[i] < s[j] else (s[j], s[i], n[j], n[i]) for i, j in zip(x, y)]
         cols = list(zip(*set(out))) if out else [[]] * 4
         return pa.table({k: pa.array(np.array(v, np.int64)) for k, v in zip(("a", "b", "na", "nb"), cols, strict=True)})
 
@@ -392,6 +398,16 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").drop("la", "lb")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (v, label) after links (a, b): components of the labels that links connect, not of all vertices anew."""
+    la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+    ends = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = components(ends.where("a <> b"))
+    over = _few(joined.select(F.col("v").alias("label"), F.col("label").alias("over")))
+    old = labels.join(over, "label", "left").select("v", F.coalesce("over", "label").alias("label"))
+    return written(old.unionByName(joined.join(labels.select("v"), "v", "left_anti")), "merged")
+
+
 def similar_groups(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles long, component_id): component_id is the least doc_id reachable over links.
 
@@ -445,7 +461,10 @@ def similar_groups(docs: DataFrame, threshold: int = 80, width: int = WIDTH) ->
     spokes = regions.where("s <> a").select("h", "a", "na", F.col("s").alias("b"), F.col("n").alias("nb"))
     asked = spokes.where(f"100 * least(na, nb) >= {outer} * greatest(na, nb)").select("a", "b", "na", "nb").union(pivot)
     got = written(_measured(asked.distinct(), sets, outer), "measured")
-    labels = components(got.where(edge).select("a", "b").union(cells.where(edge).select("a", "b")))
+    # a set is within r of one pivot at most, as pivots are beyond 2r of each other
+    least = cells.where(edge).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
+    stars = cells.where(edge).select("a", "b").join(_few(written(least, "stars")), "a").select(F.col("b").alias("v"), "label")
+    labels = _merged(written(stars.unionByName(least.select(F.col("a").alias("v"), "label")), "labels"), got.where(edge).select("a", "b"))
     distance = "1 - same / (na + nb - same) far"
     far = got.selectExpr("a", "b", distance)
     listed = spokes.join(far, ["a", "b"], "left").select("h", F.col("b").alias("s"), F.col("nb").alias("n"), "far")
@@ -468,7 +487,7 @@ def similar_groups(docs: DataFrame, threshold: int = 80, width: int = WIDTH) ->
             pairs = met.union(_across(rest, labels)) if turn == 1 and best else met
             more = written(_measured(pairs.distinct(), sets, threshold).where(edge).select("a", "b"), "more-links")
             if more.limit(1).count():
-                labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more))
+                labels = _merged(labels, more)
         members = written(named.where("not drawn").select("h", "s", "n", "far"), "members")
         discard(named)
         turn += 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import need, small_batches, without
+from vocalis.llm.common import need, small_batches, tidy, without
 
 DIMS = 4096
 #: Distinct labelled texts to learn from, all languages together: 13 MB of histograms on their way, 26 MB in use.
@@ -150,7 +150,7 @@ def _predictions(shared, keep: list[str]):
             cols = [batch.column(n) for n in keep] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

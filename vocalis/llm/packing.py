@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import need, small_batches, written
+from vocalis.llm.common import need, small_batches, tidy, written
 from vocalis.llm.word_bpe import Encoder
 
 CAPACITY = 2048
@@ -42,9 +42,9 @@ def _pieces(path: str, capacity: int):
                     for col, x in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.forget()  # workers live on and serve other operators
+        enc.forget()
 
-    return run
+    return tidy(run)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -8,8 +8,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Words remembered in one worker, about 250 MB; then the memory starts anew.
-MEMORY_WORDS = 1_000_000
+#: Words remembered in one worker, about 100 MB; then the memory starts anew.
+MEMORY_WORDS = 400_000
 #: Letters then marks, Latin only: for these the file's own rules are plain, so the model is asked directly.
 _PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]*)([!\"#$%&()*+,./:;<=>?@\\[\\]^_`{|}~-]*)")
 
