@@ -9,8 +9,9 @@ from vocalis.kernel import english, readers, russian, technical
 from vocalis.kernel.text import HAS_CYRILLIC, HAS_LATIN, WORD, Origin, Places, cleaned, folded, tokens
 
 READINGS = {"english": english.INITIAL_READINGS, "russian": russian.INITIAL_READINGS}
-PRESERVED = "Unable to parse number"
-MIXED = {"dominant": "Mixed scripts: the dominant language is used", "segment": "Mixed scripts: candidates are read by their segment"}
+# fixed diagnostic texts
+PRESERVED = "Unsupported numeric-like candidate preserved verbatim"
+MIXED = {"dominant": "Mixed Cyrillic/Latin input uses dominant-language normalization", "segment": "Mixed Cyrillic/Latin input uses segmented candidate normalization"}
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,7 @@ class Reading:
         self.shields = shields
         self.kept: list[tuple[int, int]] = []
         self.out: list[str] = []
+        self.whole = False  # the number just read is kept together even where it meets a technical span
         self._read()
 
     def _copy(self, a: int, b: int) -> None:
@@ -113,6 +115,9 @@ class Reading:
                 language = _beside(self.text, m.end(), language)
         if readers.GLUED.search(self.text[max(0, at - 2) : at]):
             return readers.SURFACE.match(self.text, at).end(), None
+        if (end := readers.malformed(self.text, at, language)) is not None:
+            self.whole = True
+            return end, None
         for reader in readers.READERS[language]:
             m = reader.pattern.match(self.text, at)
             if m and m.end() <= limit and (spoken := reader.say(m)) is not None:
@@ -130,9 +135,10 @@ class Reading:
                 if self.language == "russian" and not self.segments and text[begin] == "$":
                     begin += 1  # the sign is no Russian currency; the number is read alone
                 self._copy(at, begin)
+                self.whole = False
                 end, said = self._number(begin, len(text))
                 if said is None:
-                    end = min(end, a) if end > a and a > begin else end
+                    end = min(end, a) if end > a and a > begin and not self.whole else end
                     if not readers.CODE.fullmatch(text[begin:end]):
                         self.kept.append((begin, end))
                     self._copy(begin, end)

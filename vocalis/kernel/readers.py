@@ -36,6 +36,11 @@ def small(*tokens: str) -> bool:
     return all(abs(int(t)) <= LIMIT for t in tokens)
 
 
+def _left(m: re.Match) -> str:
+    """The text just before a match: more than the longest word that readers ask for there."""
+    return m.string[max(0, m.start() - 24) : m.start()]
+
+
 def valid_day(d: int, m: int, y: int) -> bool:
     leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
     return 1 <= m <= 12 and 1 <= d <= [31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m - 1]
@@ -53,7 +58,7 @@ def plain(token: str) -> str:
 _ENGLISH_UNIT = {w: unit for unit, words in english.MEASURES.items() for w in words.split()}
 _UNIT = "|".join(sorted(_ENGLISH_UNIT, key=len, reverse=True))
 _WHOLE = r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,3}(?: [0-9]{3})+|[0-9]+"
-#: Words that start like a unit or a currency but are none the readers know keep their number as it is.
+# fixed values: words that start like a unit or a currency but are none the readers know keep their number as it is
 ENGLISH_STEMS = "kg kilogram kilomet km meter metre m centimet cm millimet mm MB GB dollar euro pound yen руб кг".split()
 ENGLISH_SURFACES = "kg kilogram kilograms km kilometer kilometers kilometre kilometres m meter meters metre metres cm mm MB GB dollar".split()
 _FOLLOWING = re.compile(f"\\s?([{_LETTER}{_MARK}]+)")
@@ -66,14 +71,14 @@ def _unit_like(m: re.Match) -> bool:
 
 def _en_date(m: re.Match) -> str | None:
     d, y = int(m[1]), int(m[2])
-    month = re.search(r"\b([A-Z][a-z]+)\s$", m.string[: m.start()])
+    month = re.search(r"\b([A-Z][a-z]+)\s$", _left(m))
     if not month or month[1] not in english.MONTHS or not valid_day(d, english.MONTHS.index(month[1]) + 1, y):
         return None
     return f"{english.ordinal(d)}, {english.cardinal(y)}"
 
 
 def _en_year(m: re.Match) -> str | None:
-    return english.year(int(m[0])) if 1000 <= int(m[0]) <= 2099 and re.search(r"\b(?:in|from)\s$", m.string[: m.start()], re.I) else None
+    return english.year(int(m[0])) if 1000 <= int(m[0]) <= 2099 and re.search(r"\b(?:in|from)\s$", _left(m), re.I) else None
 
 
 def _en_measure(m: re.Match) -> str | None:
@@ -117,7 +122,7 @@ _NOUN = {w: (forms, free) for forms, free in russian.NOUNS.items() for w in form
 
 
 def _before(m: re.Match, words: str) -> bool:
-    return re.search(rf"(?<![{_LETTER}])(?:{words})\s$", m.string[: m.start()]) is not None
+    return re.search(rf"(?<![{_LETTER}])(?:{words})\s$", _left(m)) is not None
 
 
 def _ru_date(m: re.Match) -> str | None:
@@ -180,10 +185,38 @@ RUSSIAN = [
     _reader(rf"-?(?:{_RU_WHOLE})", lambda m: russian.signed(plain(m[0])) if small(plain(m[0])) and not _CURRENCY_AFTER.match(m.string, m.end()) else None),
 ]
 READERS = {"english": ENGLISH, "russian": RUSSIAN}
+_CYR = "\u0400-\u052f"
+_NUMBERED = rf"-?[0-9]+\s(?>{'|'.join(sorted(_NOUN, key=len, reverse=True))})"
+#: A unit whose last letter bears a mark is none, in either language.
+_MARKED_UNIT = re.compile(rf"-?[0-9]+(?:[.,][0-9]+)?\s?(?:{_RU_UNIT}|{_UNIT})[{_MARK}][{_LETTER}{_MARK}]*")
+#: Numbers which stay with all that is read with them: tried before any reader.
+MALFORMED = {
+    "english": [_MARKED_UNIT],
+    "russian": [
+        _MARKED_UNIT,
+        # a share with a dot, and what follows it at once
+        re.compile(r"[+\u2212-]?[0-9]+\.[0-9]+%(?:\s[0-9]+|(?![.,;:?]+(?:\s|\Z))\S+)?"),
+        # a sign that no reader takes, and the word counted
+        re.compile(rf"[+\u2212][0-9]+\s[{_CYR}][{_LETTER}{_MARK}]*"),
+        # a digit that bears a mark, and the word counted
+        re.compile(rf"-?[0-9]+[{_MARK}][{_LETTER}{_MARK}]*\s[{_CYR}][{_LETTER}{_MARK}]*"),
+        # a word with another number behind a slash or hash
+        re.compile(rf"-?[0-9]+\s[{_CYR}]+[/#][0-9]+"),
+        # a counted noun that goes on, or is set against another number
+        re.compile(rf"{_NUMBERED}[{_LETTER}{_MARK}]+|{_NUMBERED}\s/\s[0-9]+"),
+    ],
+}
+
+
+def malformed(text: str, at: int, language: str) -> int | None:
+    """Where a malformed number ends that begins at a place; None if none does."""
+    return next((m.end() for p in MALFORMED[language] if (m := p.match(text, at))), None)
+
+
 ABBREVIATIONS = (re.compile(f"(?<![{_LETTER}])т\\.д\\."), "так далее"), (re.compile(f"(?<![{_LETTER}])т\\.п\\."), "тому подобное")
-#: A number glued to a word's end by a slash, and the surface of a code: digits with Latin letters, which is no number.
+#: A number glued to a word's end by a slash, and the surface of a code: digits with Latin letters or a long word, which is no number.
 GLUED = re.compile(f"[{_LETTER}{_MARK}]/$")
-CODE = re.compile("[0-9]+(?!(?:st|nd|rd|th)$)[A-Za-z]+")
+CODE = re.compile("[0-9]+(?:(?!(?:st|nd|rd|th)$)[A-Za-z]+|[\u0400-\u052f]{5,})")
 DOTTED_DATE = re.compile(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])")
 
 
