@@ -178,3 +178,29 @@ def test_plans_stay_in_the_jvm(spark, small):
         assert "Python" not in plan and "ArrowEval" not in plan
     scan = QUERIES["en_currency"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in scan
+
+
+def test_phrases_of_any_number_match_letter_by_letter(spark):
+    """More phrases than any pattern would hold, with marks between their words, against a plain search."""
+    from vocalis.kernel.frontend import Entry
+    from vocalis.operators import dictionary
+    from vocalis.sources import dictionary as files
+
+    words = [f"w{i}" for i in range(700)]
+    entries = [Entry(f"{w} x{i}", f"p{i}", "phrase") for i, w in enumerate(words)] + [Entry("don't go", "stay", "phrase"), Entry("don't go on", "halt", "phrase"), Entry("a  b", "two", "phrase")]
+    texts = ["I don't go on. don't  go, w5 x5 w699 x699 don't go", "a b a  b", "", None, "w3 x33 (w3 x3)", "é don't go é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {(r.i, r.begin, r.end, r.pronunciation) for r in dictionary.match_phrases(df, files.frame(spark, entries), "i").collect()}
+    place = lambda t, p: (len(t[: t.index(p)].encode()), len(t[: t.index(p)].encode()) + len(p.encode()))
+    want = {(0, *place(texts[0], "don't go on"), "halt"), (0, *place(texts[0], "w5 x5"), "p5"), (0, *place(texts[0], "w699 x699"), "p699"), (0, 42, 50, "stay"), (1, *place(texts[1], "a  b"), "two"), (4, 8, 13, "p3"), (5, *place(texts[5], "don't go"), "stay")}
+    assert got == want
+
+
+def test_generator_takes_every_number(spark):
+    from vocalis.sources.corpora import generate
+
+    templates = spark.createDataFrame([("a", "%s x", "%s y"), ("b", "%s", "%s")], "category string, template string, spoken_template string")
+    numbers = spark.range(10_050).selectExpr("cast(id as string) written", "cast(-id as string) spoken")
+    out = generate(templates, numbers)
+    assert out.count() == 20_100 and out.where("input = '10049 x' and expected = '-10049 y'").count() == 1
+    assert generate(templates, numbers.limit(0)).count() == 0

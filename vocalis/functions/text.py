@@ -9,7 +9,7 @@ from vocalis.kernel import russian, technical
 from vocalis.kernel.text import CYRILLIC, LATIN
 
 SPACE = "[ \\t\\n\\r\\x0B\\f\\u00A0\\u202F]"
-TOKEN = f"(?:[{CYRILLIC}{LATIN}+#_]|[0-9]+(?:\\.[0-9]+)*)+"
+TOKEN = f"(?:[{CYRILLIC}{LATIN}+#_]++|[0-9]++(?:\\.[0-9]++)*+)++"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ"
 LOWER = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё"
 VOWELS = "aeiouyAEIOUYаеёиоуыэюяАЕЁИОУЫЭЮЯ"

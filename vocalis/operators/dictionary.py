@@ -6,19 +6,14 @@ is written by hand, checked by the loader and at most MAX_ENTRIES long, which bo
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocalis.functions.text import TOKEN, case_fold
-from vocalis.kernel.text import CYRILLIC, LATIN
-from vocalis.operators.spans import match_spans
 
 #: About 10 MB; larger dictionaries are joined by shuffle.
 MAX_ENTRIES = 100_000
-#: Up to so many phrases are searched for as one pattern.
-REGEX_PHRASES = 500
 
 
 def _sized(entries: DataFrame) -> DataFrame:
@@ -38,44 +33,28 @@ def lookup_tokens(words: DataFrame, entries: DataFrame, token: str = "token") ->
     return both.withColumn("_hit", hit).withColumns({"pronunciation": F.col("_hit.pronunciation"), "stressed_vowel": F.col("_hit.stressed_vowel"), "entry": F.col("_hit.ord")}).drop("_x", "_f", "ex", "ef", "_hit")
 
 
-def _by_pattern(df: DataFrame, phrases: DataFrame, patterns: list[str], key: str, text: str) -> DataFrame:
-    """Few phrases are one alternation, the longest first, between token borders."""
-    inside = f"{LATIN}{CYRILLIC}+#_0-9"
-    quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in sorted(patterns, key=len, reverse=True))
-    found = match_spans(F.col(text), f"(?<![{inside}])(?<![0-9]\\.)(?:{quoted})(?![{inside}]|\\.[0-9])")
-    first = phrases.groupBy(F.col("pattern").alias("phrase")).agg(F.min_by("pronunciation", "ord").alias("pronunciation"))
-    hits = df.select(key, F.explode(found).alias("s")).select(key, "s.begin", "s.end", F.col("s.hit").alias("phrase"))
-    return hits.join(F.broadcast(first), "phrase").select(key, "begin", "end", "phrase", "pronunciation")
-
-
 def match_phrases(df: DataFrame, entries: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, begin, end, phrase, pronunciation): at each place the longest phrase, left to right, without overlap.
 
-    Token n-grams of the phrases' lengths, apart by single spaces as in the pattern, meet the phrases in an equi-join;
-    the greedy choice runs over each text's few hits.
+    A phrase stands between token borders, letter by letter as in the pattern. Runs of as many tokens as phrases have,
+    with what stands between them, meet the phrases in an equi-join; the greedy choice runs over each text's hits. Rows that
+    share a key are matched one by one.
     """
-    phrases = entries.where("match = 'phrase'").withColumn("n", F.size(F.regexp_extract_all("pattern", F.lit(TOKEN), F.lit(0))))
-    few = phrases.where("n > 0").select("pattern").distinct().limit(REGEX_PHRASES + 1).collect()
-    if 0 < len(few) <= REGEX_PHRASES:
-        return _by_pattern(df, phrases, [r["pattern"] for r in few], key, text)
+    phrases = entries.where("match = 'phrase'").withColumn("pattern", F.btrim("pattern")).withColumn("n", F.size(F.regexp_extract_all("pattern", F.lit(TOKEN), F.lit(0))))
     lengths = sorted(r["n"] for r in phrases.select("n").distinct().collect() if r["n"] > 0)
     if not lengths:
         return df.select(key, F.lit(0).cast("bigint").alias("begin"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("phrase"), F.lit("").alias("pronunciation")).limit(0)
     first = phrases.groupBy("pattern", "n").agg(F.min_by("pronunciation", "ord").alias("pronunciation"))
-    toks = df.select(key, match_spans(F.col(text), TOKEN).alias("ts")).where("size(ts) > 0")
-
-    def gram(n: int) -> Column:
-        def at(i: Column) -> Column:
-            part = F.slice("ts", i, F.lit(n))
-            close = F.forall(F.sequence(F.lit(1), F.lit(n)), lambda j: (j == 1) | (F.element_at(part, j.cast("int"))["begin"] == F.element_at(part, F.greatest(j - 1, F.lit(1)).cast("int"))["end"] + 1))
-            return F.when(close, F.struct(F.element_at(part, 1)["begin"].alias("begin"), F.element_at(part, n)["end"].alias("end"), F.array_join(F.transform(part, lambda t: t["hit"]), " ").alias("phrase")))
-
-        made = F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), at)
-        return F.when(F.size("ts") >= n, F.filter(made, lambda g: g.isNotNull())).otherwise(F.array().cast("array<struct<begin: bigint, end: bigint, phrase: string>>"))
-
-    grams = toks.select(key, F.explode(F.concat(*[gram(n) for n in lengths])).alias("g")).select(key, "g.*")
+    pairs = F.zip_with(F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda g, t: F.struct(g.alias("gap"), t.alias("token")))
+    each = df.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), pairs.alias("ps")).select("k", "row", F.posexplode("ps").alias("pos", "p")).where("p.token is not null")
+    order = W.partitionBy("row").orderBy("pos")
+    end = F.sum(F.octet_length("p.gap") + F.octet_length("p.token")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    toks = each.select("k", "row", "pos", "p.token", F.concat("p.gap", "p.token").alias("more"), end.alias("end"))
+    said = lambda n: F.struct(F.concat("token", *[F.lead("more", j).over(order) for j in range(1, n)]).alias("phrase"), F.lead("end", n - 1).over(order).alias("end"))
+    grams = toks.select("k", "row", (F.col("end") - F.octet_length("token")).alias("begin"), F.array(*[said(n) for n in lengths]).alias("gs"))
+    grams = grams.select("k", "row", "begin", F.inline("gs")).where("phrase is not null")
     hits = grams.join(_sized(first.select(F.col("pattern").alias("phrase"), "pronunciation")), "phrase")
-    listed = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("begin", F.negative("end").alias("last"), "phrase", "pronunciation"))).alias("hs"))
+    listed = hits.groupBy("k", "row").agg(F.sort_array(F.collect_list(F.struct("begin", F.negative("end").alias("last"), "phrase", "pronunciation"))).alias("hs"))
     kind = "array<struct<begin: bigint, end: bigint, phrase: string, pronunciation: string>>"
 
     def take(acc: Column, h: Column) -> Column:
@@ -83,4 +62,4 @@ def match_phrases(df: DataFrame, entries: DataFrame, key: str, text: str = "text
         return F.when(h["begin"] < acc["at"], acc).otherwise(F.struct(F.negative(h["last"]).alias("at"), F.concat(acc["out"], F.array(one)).cast(kind).alias("out")))
 
     chosen = F.aggregate("hs", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out")), take, lambda acc: acc["out"])
-    return listed.select(key, F.inline(chosen))
+    return listed.select(F.col("k").alias(key), F.inline(chosen))

@@ -17,9 +17,10 @@ LEXICAL = f"[{CYRILLIC}{LATIN}{MARKS}]+"
 BOUNDARY = ".,;:!?\n"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
     """Matches of a pattern in order: array of begin, end (bytes) and hit. Split and extract give gaps and hits; running
-    sums of their byte lengths give the places, so nothing leaves the JVM."""
+    sums of their byte lengths give the places, so nothing leaves the JVM. maybe: a cheap test that holds wherever the
+    pattern can match."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
@@ -31,7 +32,7 @@ def match_spans(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(text.isNotNull() & text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.isNotNull() & (F.lit(True) if maybe is None else maybe) & text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
 def token_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -44,9 +45,15 @@ def token_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return each.select(key, "pos", (end - F.octet_length("_p.token")).alias("begin"), end.alias("end"), F.col("_p.token").alias("token"))
 
 
+def _marked(text: Column, name: str) -> Column:
+    """A text has the characters that a technical class cannot do without."""
+    marks = {"url": ("://",), "email": ("@",), "http": ("HTTP/",), "model": ("RTX", "CUDA", "GPU", "API"), "identifier": ("#", "-", "+", "$"), "cpp": ("C++",), "csharp": ("C#",), "version": ("v", "V"), "ipv4": (".",)}
+    return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks[name]])
+
+
 def technical_spans(df: DataFrame, key: str, text: str = "text", classes: tuple[str, ...] = tuple(technical.CLASSES)) -> DataFrame:
     """(key, class, begin, end, surface) of each class's matches; classes may overlap."""
-    named = F.array(*[F.struct(F.lit(c).alias("class"), match_spans(F.col(text), technical_pattern(c)).alias("found")) for c in classes])
+    named = F.array(*[F.struct(F.lit(c).alias("class"), match_spans(F.col(text), technical_pattern(c), _marked(F.col(text), c)).alias("found")) for c in classes])
     each = df.select(key, F.explode(named).alias("c")).select(key, "c.class", F.explode("c.found").alias("s"))
     return each.select(key, "class", "s.begin", "s.end", F.col("s.hit").alias("surface"))
 

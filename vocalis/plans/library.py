@@ -283,7 +283,16 @@ def dictionary_token_join(df):
     return found.where("entry is not null").select("conv_id", "turn", "token", "pronunciation", "stressed_vowel")
 
 
-@query("documents")
+_PHRASES = [e for e in ENTRIES if e.match == "phrase"]
+_GRAMS = " UNION ALL ".join(f"SELECT a.doc_id, a.b, t{n - 1}.e, '{e.pattern}' AS phrase, '{e.pronunciation}' AS pronunciation FROM k a " + " ".join(f"JOIN k t{j} ON t{j}.doc_id = a.doc_id AND t{j}.pos = a.pos + {j} AND t{j}.hit = '{w}' AND t{j}.gap = ' '" for j, w in enumerate(e.pattern.split()) if j) + f" WHERE a.hit = '{e.pattern.split()[0]}'" for e in _PHRASES for n in [len(e.pattern.split())])
+
+
+@query("documents", f"""WITH RECURSIVE k AS (SELECT doc_id, pos, b, e, hit, gap FROM (SELECT doc_id, pos, b, e, hit, gaps[pos + 1] AS gap FROM {_places('documents', 'doc_id', _TOKEN_SQL).replace('hits[i] AS hit', 'hits[i] AS hit, gaps')})),
+ h AS (SELECT doc_id, b, max(e) AS e, arg_max(phrase, e) AS phrase, arg_max(pronunciation, e) AS pronunciation FROM ({_GRAMS}) GROUP BY 1, 2),
+ c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS i FROM h),
+ g AS (SELECT c.*, true AS taken, c.e AS reach FROM c WHERE i = 1 UNION ALL
+   SELECT c.*, c.b >= g.reach, CASE WHEN c.b >= g.reach THEN c.e ELSE g.reach END FROM g JOIN c ON c.doc_id = g.doc_id AND c.i = g.i + 1)
+ SELECT doc_id, b::BIGINT AS "begin", e::BIGINT AS "end", phrase, pronunciation FROM g WHERE taken""")
 def dictionary_phrase_join(df):
     return dictionary.match_phrases(df, files.frame(df.sparkSession, ENTRIES), "doc_id")
 
@@ -310,6 +319,36 @@ def colliding_spans(df):
     return spans.colliding(s, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
+_LINES = "(SELECT l_orderkey AS k, l_linenumber::BIGINT * 10 AS b, l_linenumber::BIGINT * 10 + l_quantity::BIGINT AS e, l_partkey % 3 = 0 AS side FROM lineitem)"
+
+
+def _two_sides(df):
+    s = df.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10).cast("bigint").alias("begin"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("bigint")).alias("end"), (F.col("l_partkey") % 3 == 0).alias("side"))
+    return s.where("side").drop("side"), s.where("not side").drop("side")
+
+
+@query("lineitem", f'SELECT k, b AS "begin", e AS "end" FROM {_LINES} x WHERE side AND EXISTS (SELECT 1 FROM {_LINES} y WHERE NOT y.side AND y.k = x.k AND y.b < x.e AND x.b < y.e)')
+def spans_overlapping(df):
+    return spans.overlapping(*_two_sides(df), "k")
+
+
+@query("lineitem", f'SELECT k, b AS "begin", e AS "end" FROM {_LINES} x WHERE side AND NOT EXISTS (SELECT 1 FROM {_LINES} y WHERE NOT y.side AND y.k = x.k AND y.b < x.e AND x.b < y.e)')
+def spans_apart(df):
+    return spans.apart(*_two_sides(df), "k")
+
+
+@query("lineitem", f'SELECT k, "begin", "end", range_begin, range_end FROM (SELECT x.k, x.b AS "begin", x.e AS "end", y.b AS range_begin, y.e AS range_end, row_number() OVER (PARTITION BY x.k, x.b, x.e ORDER BY y.b, y.e) AS n FROM (SELECT DISTINCT k, b, e FROM {_LINES} WHERE side) x LEFT JOIN {_LINES} y ON NOT y.side AND y.k = x.k AND y.b <= x.b AND x.e <= y.e) WHERE n = 1')
+def spans_containing(df):
+    words, ranges = _two_sides(df)
+    return spans.containing(words.distinct(), ranges, "k")
+
+
+@query("lineitem", f'SELECT k, min(b) AS "begin", max(e) AS "end" FROM (SELECT *, sum(CASE WHEN last IS NULL OR b >= last THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY b, e DESC ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY b, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM {_LINES})) GROUP BY k, island')
+def spans_united(df):
+    """Two streams of spans as one, merged where they overlap."""
+    return spans.merge_spans(spans.union_all(list(_two_sides(df))), "k", touching=False)
+
+
 @query("orders", "SELECT o_orderkey, 'Order ' || o_custkey || ' of ' || upper(o_orderstatus) || '!' AS text FROM orders")
 def source_edits(df):
     at = lambda a, b, said: F.struct(F.lit(a).cast("bigint").alias("begin"), F.lit(b).cast("bigint").alias("end"), said.alias("said"))
@@ -319,31 +358,29 @@ def source_edits(df):
 
 # Audit
 
-CASES = (
-    ("en-1", "english", "percent", "normalize", "5% off", "five percent off"),
-    ("en-2", "english", "date", "preserve", "on April 31, 2024", "on April 31, 2024"),
-    ("en-3", "english", "clock", "normalize", "at 9:05", "at nine hours five minutes"),
-    ("en-4", "english", "ordinal", "preserve", "the 11st", "the 11st"),
-    ("en-5", "english", "noun", "normalize", "12 GPUs", "a dozen GPUs"),
-    ("ru-1", "russian", "measure", "normalize", "2 кг муки", "два килограмма муки"),
-    ("ru-2", "russian", "year", "normalize", "В 1999 г.", "В тысяча девятьсот девяносто девятом году"),
-    ("ru-3", "russian", "ordinal", "normalize", "7-й дом", "седьмой дом"),
-    ("ru-4", "russian", "clock", "preserve", "24:00", "24:00"),
-)
-_SEEN = {"en-5": "twelve GPUs", "ru-3": "7-й дом"}
-_CASES_SQL = ", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}', '{e}', '{f}', '{_SEEN.get(a, f)}')" for i, (a, b, c, d, e, f) in enumerate(CASES))
-_AUDIT = f"""WITH c AS (SELECT *, CASE WHEN seen = want AND exp = 'preserve' THEN 'justified_preservation' WHEN seen = want THEN 'correct_transformation' WHEN seen = text THEN 'unnecessary_refusal' ELSE 'incorrect_or_partial' END AS outcome
- FROM (VALUES {_CASES_SQL}) AS v(row_no, id, language, category, exp, text, want, seen))"""
-
-
-def _audited(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "row_no int, id string, language string, category string, expectation string, input string, expected string")
-    seen = F.when(F.col("language") == "russian", normalize_text(F.col("input"), Options(language="russian"))).otherwise(normalize_text(F.col("input"), Options(language="english")))
+_SIZE = f"SELECT p_partkey AS row_no, p_partkey % 4 AS kind, p_size AS n, {S.en('p_size')} AS en, {S.ru_counted('p_size', ('килограмм', 'килограмма', 'килограммов'))} AS kg FROM part"
+_AUDIT = f"""WITH p AS ({_SIZE}),
+q AS (SELECT row_no, 'c-' || row_no AS id, ['english', 'english', 'russian', 'english'][kind + 1] AS language, ['percent', 'clock', 'measure', 'dozen'][kind + 1] AS category, ['normalize', 'preserve', 'normalize', 'normalize'][kind + 1] AS exp,
+ [n || '% off', 'at 25:' || (n + 9), n || ' кг муки', n || ' boxes'][kind + 1] AS text, [en || ' percent off', 'at 25:' || (n + 9), kg || ' муки', CASE WHEN n = 12 THEN 'a dozen' ELSE en END || ' boxes'][kind + 1] AS want,
+ [en || ' percent off', 'at 25:' || (n + 9), kg || ' муки', en || ' boxes'][kind + 1] AS seen FROM p),
+c AS (SELECT *, CASE WHEN seen = want AND exp = 'preserve' THEN 'justified_preservation' WHEN seen = want THEN 'correct_transformation' WHEN seen = text THEN 'unnecessary_refusal' ELSE 'incorrect_or_partial' END AS outcome FROM q)"""
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of one case for each part: written and expected forms of its size, judged by what the normaliser says."""
+    n = F.col("p_size")
+    en, of = N.en_cardinal(n), lambda *forms: F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = of(F.concat(n, F.lit("% off")), F.concat(F.lit("at 25:"), n + 9), F.concat(n, F.lit(" кг муки")), F.concat(n, F.lit(" boxes")))
+    kilos = N.ru_counted(n, ("килограмм", "килограмма", "килограммов"))
+    want = of(F.concat(en, F.lit(" percent off")), text, F.concat(kilos, F.lit(" муки")), F.concat(F.when(n == 12, "a dozen").otherwise(en), F.lit(" boxes")))
+    named = lambda names: of(*[F.lit(x) for x in names.split()])
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("c-"), "p_partkey").alias("id"), named("english english russian english").alias("language"), named("percent clock measure dozen").alias("category"), named("normalize preserve normalize normalize").alias("expectation"), text.alias("input"), want.alias("expected"))
+    seen = F.when(F.col("language") == "russian", normalize_text(F.when(F.col("language") == "russian", F.col("input")), Options(language="russian"))).otherwise(normalize_text(F.when(F.col("language") == "english", F.col("input")), Options(language="english")))
     return rows.withColumn("observed", seen).withColumn("outcome", audit.outcome(F.col("expectation"), F.col("input"), F.col("expected"), F.col("observed")))
 
 
 def _audit_query(name: str, f, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: f(_audited(spark))
+    QUERIES[name] = lambda spark, sf_dir: f(_audited(spark, sf_dir))
     ORACLE_SQL[name] = _AUDIT + sql
 
 
@@ -351,20 +388,24 @@ _audit_query("quality_outcomes", lambda c: c.select("id", "observed", "outcome")
 _audit_query("quality_grouping_sets", audit.counts, " SELECT CASE grouping_id(language, category, outcome) WHEN 6 THEN 'all' WHEN 2 THEN 'language' ELSE 'category' END AS level, coalesce(language, category, '') AS name, outcome, count(*)::BIGINT AS n FROM c GROUP BY GROUPING SETS ((outcome), (language, outcome), (category, outcome))")
 _audit_query("quality_diversity", audit.diversity, " SELECT count(DISTINCT id)::BIGINT AS ids, count(DISTINCT category)::BIGINT AS categories, count(DISTINCT language)::BIGINT AS languages FROM c")
 _audit_query("first_mismatches", lambda c: audit.first_mismatches(c).select("id", "outcome"), " SELECT id, outcome FROM c WHERE outcome IN ('unnecessary_refusal', 'incorrect_or_partial') ORDER BY row_no LIMIT 100")
-_SNAP = """, s AS (SELECT 'cases' AS tag, '' AS key, count(*)::VARCHAR AS value FROM c UNION ALL SELECT 'outcome', outcome, count(*)::VARCHAR FROM c GROUP BY outcome
- UNION ALL SELECT 'mismatch', id, category || ':' || outcome FROM c WHERE outcome IN ('unnecessary_refusal', 'incorrect_or_partial'))"""
-_OLD = [("cases", "", "9"), ("outcome", "correct_transformation", "4"), ("outcome", "justified_preservation", "3"), ("mismatch", "ru-9", "noun:unnecessary_refusal"), ("mismatch", "ru-3", "ordinal:unnecessary_refusal")]
+
+
+def _snap(cases: str) -> str:
+    return f"""SELECT 'cases' AS tag, '' AS key, count(*)::VARCHAR AS value FROM {cases} UNION ALL SELECT 'outcome', outcome, count(*)::VARCHAR FROM {cases} GROUP BY outcome
+ UNION ALL SELECT 'mismatch', id, category || ':' || outcome FROM {cases} WHERE outcome IN ('unnecessary_refusal', 'incorrect_or_partial')"""
 
 
 def _snapshot_diff(cases: DataFrame) -> DataFrame:
-    old = cases.sparkSession.createDataFrame(_OLD, "tag string, key string, value string")
-    return audit.unapproved(audit.difference(old, audit.snapshot(cases)), cases.sparkSession.createDataFrame([("mismatch", "ru-9")], "tag string, key string"))
+    """Against the snapshot of the corpus without its last category; mismatches of cases before the 100th are approved."""
+    old = audit.snapshot(cases.where("category <> 'dozen'"))
+    approved = cases.where("row_no < 100").select(F.lit("mismatch").alias("tag"), F.col("id").alias("key"))
+    return audit.unapproved(audit.difference(old, audit.snapshot(cases)), approved)
 
 
-_audit_query("quality_snapshot", audit.snapshot, _SNAP + " SELECT * FROM s")
-_audit_query("snapshot_diff", _snapshot_diff, _SNAP + f""", o AS (SELECT * FROM (VALUES {', '.join(map(str, _OLD))}) AS v(tag, key, old))
+_audit_query("quality_snapshot", audit.snapshot, " " + _snap("c"))
+_audit_query("snapshot_diff", _snapshot_diff, f""", s AS ({_snap("c")}), d AS (SELECT * FROM c WHERE category <> 'dozen'), o AS (SELECT tag, key, value AS old FROM ({_snap("d")}))
  SELECT coalesce(o.tag, s.tag) AS tag, coalesce(o.key, s.key) AS key, old, s.value AS new, CASE WHEN old IS NULL THEN 'added' WHEN s.value IS NULL THEN 'removed' ELSE 'changed' END AS change
- FROM o FULL JOIN s ON o.tag = s.tag AND o.key = s.key WHERE old IS DISTINCT FROM s.value AND NOT (coalesce(o.tag, s.tag) = 'mismatch' AND coalesce(o.key, s.key) = 'ru-9')""")
+ FROM o FULL JOIN s ON o.tag = s.tag AND o.key = s.key WHERE old IS DISTINCT FROM s.value AND NOT (coalesce(o.tag, s.tag) = 'mismatch' AND coalesce(o.key, s.key) IN (SELECT id FROM c WHERE row_no < 100))""")
 
 
 # The whole normaliser

@@ -52,6 +52,8 @@ def broken_assets(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def generate(templates: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Every template (category, template, spoken_template, with %s) with every number (written, spoken): the generator
-    of a corpus is by its nature a product of two small tables."""
-    return templates.join(F.broadcast(numbers.limit(10_000)), how="cross").select("category", F.replace("template", F.lit("%s"), F.col("written")).alias("input"), F.replace("spoken_template", F.lit("%s"), F.col("spoken")).alias("expected"))
+    """Every template (category, template, spoken_template, with %s) with every number (written, spoken). Templates are
+    written by hand and few, so they are gathered into one array that each number meets; numbers may be any many."""
+    every = templates.agg(F.collect_list(F.struct("category", "template", "spoken_template")).alias("ts"))
+    each = numbers.join(F.broadcast(every), F.col("ts").isNotNull()).select("written", "spoken", F.explode("ts").alias("t")).select("written", "spoken", "t.*")
+    return each.select("category", F.replace("template", F.lit("%s"), F.col("written")).alias("input"), F.replace("spoken_template", F.lit("%s"), F.col("spoken")).alias("expected"))
