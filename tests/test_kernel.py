@@ -2,10 +2,13 @@
 
 import random
 
+import time
+
 import pytest
 
+from vocalis.kernel.surfaces import SurfaceIndex, goes_on
 from vocalis.kernel import english, russian, technical
-from vocalis.kernel.frontend import Entry, Options, process
+from vocalis.kernel.frontend import Entry, Options, process, process_bytes
 from vocalis.kernel.text import cleaned, folded, tokens
 
 EN, RU, AUTO, SEGMENT = Options(language="english"), Options(language="russian"), Options(), Options(mixed="segment")
@@ -126,3 +129,52 @@ def test_invariants_on_random_texts():
             assert got.original == text
             again = process(got.normalized, options)
             assert again.normalized is not None
+
+
+def test_technical_tokens_have_entries_of_their_own():
+    entries = (Entry("RTX 4090", "the card"), Entry("http/2", "h two", "folded"), Entry("HTTP/2", "the phrase", "phrase"))
+    got = process("RTX 4090, HTTP/2", Options(language="english", entries=entries))
+    assert got.pronunciation == "the card, the phrase"
+    assert process("HTTP/2", Options(language="english", entries=entries[:2])).pronunciation == "h two"
+
+
+def test_bytes():
+    assert process_bytes("в 1999 году".encode(), RU) == process("в 1999 году", RU)
+    for data in (b"\xff 1", b"\xc0\x80", b"\xed\xa0\x80", "я".encode()[:1]):
+        got = process_bytes(data)
+        assert got.normalized == "" and got.warnings == [("invalid_utf8", "Input is not valid UTF-8", 0, len(data))]
+
+
+def test_scientific_surfaces():
+    text = "x 5e3 и -7E-2, 9e, 4euro a1e5"
+    index = SurfaceIndex.of(text)
+    assert [text[a:b] for a, b in index.spans] == ["5e3", "-7E-2", "9e,", "4euro"]
+    brute = [(p, any(a < p < b for a, b in index.spans)) for p in range(len(text))]
+    assert [(p, index.contains(p)) for p in range(len(text))] == brute
+    assert all(index.overlaps(p, q) == any(a < q and p < b for a, b in index.spans) for p in range(len(text)) for q in range(p + 1, len(text)))
+    assert not SurfaceIndex.of("").contains(0)
+
+
+@pytest.mark.parametrize(
+    "text, strict, loose",
+    [
+        (" / 4 - 5x", " / 4 - 5", " / 4 - 5x"),
+        (", 12–13 кг", ", 12–13", ", 12–13"),
+        (" –  7", " –  7", " –  7"),
+        (" abc", "", ""),
+        ("-", "", ""),
+        ("", "", ""),
+        ("!! 3 4 5", "!! 3 4 5", "!! 3 4 5"),
+        ("/2я/3", "/2", "/2я/3"),
+    ],
+)
+def test_groups_go_on(text, strict, loose):
+    assert text[: goes_on(text, 0)] == strict
+    assert text[: goes_on(text, 0, loose=True)] == loose
+
+
+def test_groups_go_on_in_linear_time():
+    began = time.perf_counter()
+    assert goes_on(" – 1 / 2" * 100_000, 0) == 800_000
+    assert goes_on(("- " * 200_000) + "x", 0) == 0
+    assert time.perf_counter() - began < 5

@@ -1,5 +1,7 @@
 """Functions, operators, sources, Arrow functions, streaming, and every query against its SQL."""
 
+import random
+
 import duckdb
 import pyarrow.dataset as ds
 import pytest
@@ -7,12 +9,14 @@ from pyspark.sql import functions as F
 
 from vocalis.functions import text as T
 from vocalis.functions import words as N
+from vocalis.functions.text import known_prefix
 from vocalis.kernel import english, russian
 from vocalis.kernel.frontend import Entry, Options, process
 from vocalis.operators import audit, dictionary, spans
 from vocalis.plans.library import ORACLE_SQL, QUERIES
 from vocalis.sources import corpora
 from vocalis.sources import dictionary as files
+from vocalis.udf import normalize
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -204,3 +208,33 @@ def test_generator_takes_every_number(spark):
     out = generate(templates, numbers)
     assert out.count() == 20_100 and out.where("input = '10049 x' and expected = '-10049 y'").count() == 1
     assert generate(templates, numbers.limit(0)).count() == 0
+
+
+def test_binary_texts(spark):
+    rows = spark.createDataFrame([(1, bytearray("3 apples".encode())), (2, bytearray(b"\xff3")), (3, None)], "id int, data binary")
+    got = {r["id"]: r["r"] for r in rows.select("id", normalize(F.col("data")).alias("r")).collect()}
+    assert got[1]["normalized_text"] == "three apples" and not got[1]["warnings"]
+    assert got[2]["normalized_text"] == "" and [(w["code"], w["length"]) for w in got[2]["warnings"]] == [("invalid_utf8", 2)]
+    assert got[3] is None
+
+
+def test_known_prefixes(spark):
+    rows = spark.createDataFrame([("RTX9",), ("C++",), ("aRTX",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(known_prefix(F.col("t"))).collect()] == [True, True, False, False, None]
+
+
+def test_sweeps_equal_joins(spark):
+    rng = random.Random(3)
+    sides = []
+    for n in (120, 60):
+        rows = [(rng.choice([1, 2, 3, None]), b := rng.randrange(200), b + rng.randrange(6)) for _ in range(n)]
+        sides.append(rows + rows[:5])
+    left, right = (spark.createDataFrame(s, "k int, begin int, end int") for s in sides)
+    met = [any(k is not None and k == j and a < d and c < b for j, c, d in sides[1]) for k, a, b in sides[0]]
+    tuples = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert tuples(spans.overlapping(left, right, "k")) == sorted([r for r, m in zip(sides[0], met) if m], key=str)
+    assert tuples(spans.apart(left, right, "k")) == sorted([r for r, m in zip(sides[0], met) if not m], key=str)
+    cells = {(k, p) for s in sides for k, a, b in s for p in range(a, b)}
+    joined = spans.merge_streams(left, right, "k").collect()
+    assert {(k, p) for k, a, b in joined for p in range(a, b)} == cells
+    assert all((k, a - 1) not in cells and (k, b) not in cells for k, a, b in joined)

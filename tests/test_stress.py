@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from vocalis.kernel.frontend import BUNDLE, Entry, Options, bundle_of, process
 from vocalis.kernel import stress
 
 
@@ -52,3 +53,43 @@ def test_over_batches(spark):
     df = spark.createDataFrame([("мама",), (None,)], "t string")
     got = {r.t: r.accented for r in df.mapInPandas(stress.over_batches(make, "t"), "t string, accented string").collect()}
     assert got == {"мама": "мам+а", None: None}
+
+
+def _toy(bundle):
+    assert bundle == "somewhere"
+    return lambda s: s.replace("елка", "+ёлка").replace("мама", "м+ама")
+
+
+def _auto(**more):
+    return Options(language="russian", stress="automatic", bundle="somewhere", **more)
+
+
+def test_automatic_stress_marks_what_nothing_else_rewrote():
+    got = process("елка мама кот a+b", _auto(open_bundle=_toy, entries=(Entry("кот", "к+от"),)))
+    assert got.pronunciation == "+ёлка м+ама к+от a+b"
+    assert [(w[0], w[1], w[4]) for w in got.words] == [("елка", "+ёлка", 0), ("мама", "м+ама", 0), ("кот", "к+от", None), ("a+b", "a+b", None)]
+    assert got.decisions == [("елка", 0, False, "automatic"), ("мама", 0, False, "automatic")]
+    assert not got.warnings
+
+
+def _breaks(bundle):
+    raise OSError("no such file")
+
+
+def _changes(bundle):
+    return lambda s: s + "!"
+
+
+@pytest.mark.parametrize("opener, why", [(_breaks, "no such file"), (_changes, "the text came back changed")])
+def test_a_failing_backend_changes_nothing(opener, why):
+    got = process("мама", _auto(open_bundle=opener))
+    assert got.pronunciation == "мама" and not got.decisions
+    assert got.warnings == [("stress_backend_unavailable", f"Automatic stress backend unavailable: {why}", 0, 0)]
+
+
+def test_the_bundle_comes_from_options_or_environment(monkeypatch):
+    monkeypatch.delenv(BUNDLE, raising=False)
+    assert bundle_of(Options()) is None
+    assert [w[1] for w in process("а", Options(language="russian", stress="automatic", open_bundle=_toy)).warnings] == [f"Automatic stress bundle is not configured (set {BUNDLE} or Options.bundle)"]
+    monkeypatch.setenv(BUNDLE, "there")
+    assert bundle_of(Options()) == "there" and bundle_of(Options(bundle="here")) == "here"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХ
 LOWER = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё"
 VOWELS = "aeiouyAEIOUYаеёиоуыэюяАЕЁИОУЫЭЮЯ"
 LIMIT = 999_999_999
+# fixed values
+IDENTIFIER_PREFIXES = ("RTX", "CUDA", "GPU", "API", "C++")
 
 
 def clean_spacing(text: Column) -> Column:
@@ -46,6 +50,11 @@ def technical_pattern(name: str) -> str:
     return technical.CLASSES[name].replace("\\b", border).replace("\\s", "[ \\t\\n\\x0B\\f\\r]").replace("\\u0080-\\uffff", "\\u0080-\\uFFFF")
 
 
+def known_prefix(token: Column) -> Column:
+    """A token begins as a known identifier."""
+    return reduce(Column.__or__, [token.startswith(p) for p in IDENTIFIER_PREFIXES])
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from vocalis.kernel import english, readers, russian, technical
+from vocalis.kernel.stress import VOWELS
 from vocalis.kernel.text import HAS_CYRILLIC, HAS_LATIN, WORD, Origin, Places, cleaned, folded, tokens
 
 READINGS = {"english": english.INITIAL_READINGS, "russian": russian.INITIAL_READINGS}
 # fixed diagnostic texts
 PRESERVED = "Unsupported numeric-like candidate preserved verbatim"
+INVALID = "Input is not valid UTF-8"
 MIXED = {"dominant": "Mixed Cyrillic/Latin input uses dominant-language normalization", "segment": "Mixed Cyrillic/Latin input uses segmented candidate normalization"}
+#: Names the stress bundle where the options do not.
+BUNDLE = "VOCALIS_STRESS_BUNDLE"
 
 
 @dataclass(frozen=True)
@@ -37,6 +44,10 @@ class Options:
     diagnostics: bool = False
     initialisms: bool = False
     entries: tuple[Entry, ...] = ()
+    #: Where the stress bundle lies, and how it is opened: once a process, giving a function from a sentence to the same
+    #: sentence with + before stressed vowels.
+    bundle: str | None = None
+    open_bundle: Callable[[str], Callable[[str], str]] | None = None
 
     def __post_init__(self):
         for value, known in ((self.language, ("auto", "english", "russian")), (self.mixed, ("dominant", "segment")), (self.fallback, ("english", "russian")), (self.stress, ("disabled", "dictionary", "automatic"))):
@@ -183,14 +194,88 @@ def process(original: str, options: Options = Options()) -> Result:
     if options.cleanup:
         normalized = cleaned(normalized)[0]
     out.normalized = normalized
-    _pronounce(out, options, language, auto, both)
+    taken = _pronounce(out, options, language, auto, both)
     if options.stress == "automatic" and options.resolve_stress:
-        out.warnings.append(("stress_backend_unavailable", "Automatic stress needs a model bundle", 0, 0))
+        _accent(out, options, taken)
     return out
 
 
-def _pronounce(out: Result, options: Options, language: str, auto: bool, both: bool) -> None:
-    """Dictionary, initialisms and technical readings over the normalized text; then words and stress decisions."""
+def process_bytes(data: bytes, options: Options = Options()) -> Result:
+    """The treatment of bytes. Those that are not UTF-8 are not read: one diagnostic covers them all, and the original
+    text shows replacement characters."""
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return Result(data.decode(errors="replace"), warnings=[("invalid_utf8", INVALID, 0, len(data))])
+    return process(text, options)
+
+
+def bundle_of(options: Options) -> str | None:
+    """The bundle's place: the option, else the environment, never a default."""
+    return options.bundle or os.environ.get(BUNDLE) or None
+
+
+@lru_cache(maxsize=8)
+def _opened(open_bundle: Callable, bundle: str) -> Callable[[str], str]:
+    return open_bundle(bundle)
+
+
+def _marks(text: str, accented: str) -> tuple[set[int], str]:
+    """The places of text that a + was put before, and the letters there now. Nothing else may change but е to ё."""
+    marks, letters, at = set(), [], 0
+    for i, c in enumerate(text):
+        if c != "+" and accented[at : at + 1] == "+":
+            marks.add(i)
+            at += 1
+        now = accented[at : at + 1]
+        if now.lower() != c.lower() and (c.lower(), now.lower()) != ("е", "ё"):
+            raise ValueError("the text came back changed")
+        letters.append(now)
+        at += 1
+    if at != len(accented):
+        raise ValueError("the text came back changed")
+    return marks, "".join(letters)
+
+
+def _accent(out: Result, options: Options, taken: list[tuple[int, int, str]]) -> None:
+    """Automatic stress of all that nothing else has rewritten. Where it fails, everything stays and a diagnostic tells."""
+    bundle = bundle_of(options)
+    if options.open_bundle is None or bundle is None:
+        lacks = "backend is not given (Options.open_bundle)" if options.open_bundle is None else f"bundle is not configured (set {BUNDLE} or Options.bundle)"
+        out.warnings.append(("stress_backend_unavailable", f"Automatic stress {lacks}", 0, 0))
+        return
+    text = out.normalized
+    hidden, at = [], 0
+    for a, b, _ in taken:
+        hidden += [text[at:a], "\x01" * (b - a)]
+        at = b
+    hidden = "".join([*hidden, text[at:]])
+    try:
+        marks, letters = _marks(hidden, _opened(options.open_bundle, bundle)(hidden))
+    except Exception as error:  # any fault of a foreign model leaves the text as it is
+        out.warnings.append(("stress_backend_unavailable", f"Automatic stress backend unavailable: {error}", 0, 0))
+        return
+
+    def spoken(a: int, b: int) -> str:
+        return "".join("+" * (i in marks) + letters[i] for i in range(a, b))
+
+    pieces, at = [], 0
+    for a, b, said in taken:
+        pieces += [spoken(at, a), said]
+        at = b
+    out.pronunciation = "".join([*pieces, spoken(at, len(text))])
+    for k, (a, b) in enumerate(tokens(text)):
+        mark = next((i for i in range(a, b) if i in marks), None)
+        if out.words[k][5] or out.words[k][6] or (mark is None and letters[a:b] == text[a:b]):
+            continue
+        vowel = None if mark is None else sum(c.lower() in VOWELS for c in letters[a:mark])
+        out.words[k] = (text[a:b], spoken(a, b), *out.words[k][2:4], vowel, False, False)
+        out.decisions.append((text[a:b], vowel, False, "automatic"))
+
+
+def _pronounce(out: Result, options: Options, language: str, auto: bool, both: bool) -> list[tuple[int, int, str]]:
+    """Dictionary, initialisms and technical readings over the normalized text; then words and stress decisions. Gives
+    the rewrites as (begin, end, said)."""
     text = out.normalized
     spans = tokens(text)
     offset = Origin(text)
@@ -205,12 +290,21 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
                 phrases.setdefault((e.pattern, parts[0]), (len(parts), e))
         else:
             (words if e.match == "exact" else loose).setdefault(e.pattern if e.match == "exact" else folded(e.pattern), (k, e))
+    whole = {}
+    for e in entries:
+        if e.match == "phrase":
+            whole.setdefault(e.pattern, e)
     by_first: dict[str, list[tuple[int, Entry]]] = {}
     for (_, first), found in phrases.items():
         by_first.setdefault(first, []).append(found)
     for found in by_first.values():
         found.sort(key=lambda f: -f[0])
 
+    def found_word(word: str) -> Entry | None:
+        """The first entry of the dictionary for a word, exact or folded."""
+        best = min((x for x in (words.get(word), loose.get(folded(word))) if x), key=lambda x: x[0], default=None)
+        return best and best[1]
+
     edits: list[tuple[int, int, str, str, Entry | None]] = []
     k = 0 if entries or options.initialisms else len(spans)
     while k < len(spans):
@@ -224,12 +318,10 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
             out.replacements.append((text[a:end], e.pronunciation, offset.start[a]))
             k += n
             continue
-        exact, fold = words.get(word), loose.get(folded(word))
-        best = min((x for x in (exact, fold) if x), key=lambda x: x[0], default=None)
-        if best:
-            edits.append((a, b, best[1].pronunciation, "dictionary", best[1]))
-            if best[1].pronunciation != word:
-                out.replacements.append((word, best[1].pronunciation, offset.start[a]))
+        if best := found_word(word):
+            edits.append((a, b, best.pronunciation, "dictionary", best))
+            if best.pronunciation != word:
+                out.replacements.append((word, best.pronunciation, offset.start[a]))
         elif options.initialisms and language == "russian" and word in russian.INITIALISMS:
             edits.append((a, b, russian.INITIALISMS[word], "initialism", None))
         k += 1
@@ -240,6 +332,12 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
             a, b = m.span()
             if any(x < b and a < y for x, y in taken) or any(x < b and a < y for x, y in closed):
                 continue
+            # a technical token's own entry, or else a phrase's, goes before its reading
+            if best := found_word(m[0]) or whole.get(m[0]):
+                edits.append((a, b, best.pronunciation, "dictionary", best))
+                if best.pronunciation != m[0]:
+                    out.replacements.append((m[0], best.pronunciation, offset.start[a]))
+                continue
             tongue = language if not auto else None if both and options.mixed == "dominant" else language
             if auto and options.mixed == "segment":
                 tongue = _owner(text, a, b) or options.fallback
@@ -248,10 +346,11 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
             if tongue and (reading := READINGS[tongue].get(m[0])):
                 edits.append((a, b, reading, "technical", None))
     edits.sort(key=lambda e: (e[0], -e[1]))
-    pieces, at = [], 0
+    pieces, at, applied = [], 0, []
     for a, b, said, why, _ in edits:
         if a < at:
             continue
+        applied.append((a, b, said))
         pieces += [text[at:a], said]
         at = b
         if why != "dictionary":
@@ -262,7 +361,7 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
     if not edits and not options.diagnostics:
         at = offset.start
         out.words = [(word := text[a:b], word, at[a], None, None, False, False) for a, b in spans]
-        return
+        return applied
     for a, b in spans:
         i = bisect_right(starts, a) - 1
         inside = edits[i] if i >= 0 and a < edits[i][1] else None
@@ -273,6 +372,7 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
         out.words.append((text[a:b], said, offset.start[a], number, stressed, entry is not None, inside is not None and entry is None))
         if stressed is not None or options.diagnostics:
             out.decisions.append((text[a:b], stressed, stressed is not None, "dictionary" if stressed is not None else "undecided"))
+    return applied
 
 
 def _owner(text: str, begin: int, end: int) -> str | None:

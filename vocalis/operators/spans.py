@@ -68,16 +68,26 @@ def merge_spans(spans: DataFrame, *key: str, touching: bool = True) -> DataFrame
     return islands.groupBy(*key, "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
 
 
+def _overlap(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Left rows (as _left), and whether any right span of their key overlaps them. A sweep instead of a join of pairs:
+    right spans stand at their begin, left ones at their end, so the furthest end so far decides."""
+    ours = left.select(F.struct(*[left[c] for c in left.columns]).alias("_left"), F.col(key).alias("_k"), F.col("end").alias("_at"), F.lit(0).alias("_side"))
+    theirs = right.select(F.col(key).alias("_k"), F.col("begin").alias("_at"), F.lit(1).alias("_side"), F.col("end").alias("_end"))
+    order = W.partitionBy("_k").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    swept = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_last", F.max("_end").over(order)).where("_side = 0")
+    return swept, F.coalesce(F.col("_k").isNotNull() & (F.col("_last") > F.col("_left.begin")), F.lit(False))
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left spans that overlap any right span of their key."""
-    r = right.select(F.col(key).alias("_k"), F.col("begin").alias("_b"), F.col("end").alias("_e"))
-    return left.join(r, (left[key] == r["_k"]) & (left["begin"] < r["_e"]) & (r["_b"] < left["end"]), "left_semi")
+    """Left spans that overlap any right span of their key. A null key meets none."""
+    rows, met = _overlap(left, right, key)
+    return rows.where(met).select("_left.*")
 
 
 def apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left spans that overlap no right span of their key."""
-    r = right.select(F.col(key).alias("_k"), F.col("begin").alias("_b"), F.col("end").alias("_e"))
-    return left.join(r, (left[key] == r["_k"]) & (left["begin"] < r["_e"]) & (r["_b"] < left["end"]), "left_anti")
+    rows, met = _overlap(left, right, key)
+    return rows.where(~met).select("_left.*")
 
 
 def colliding(spans: DataFrame, *key: str) -> DataFrame:
@@ -132,5 +142,10 @@ def splice(text: Column, edits: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
 
+def merge_streams(first: DataFrame, second: DataFrame, *key: str) -> DataFrame:
+    """The spans of two streams as one stream of islands: overlapping and touching ones become one, empty ones go."""
+    return merge_spans(union_all([first.select(*key, "begin", "end"), second.select(*key, "begin", "end")]).where("begin < end"), *key)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.functions.text import abbreviations, clean_spacing, technical_pattern
-from vocalis.kernel.frontend import Options, process
+from vocalis.kernel.frontend import Options, process, process_bytes
 
 RESULT = (
     "original_text string, normalized_text string, pronunciation_text string, "
@@ -39,11 +39,13 @@ def _lists(rows: list, fields: tuple) -> pa.Array:
 
 
 def normalize(text: Column, options: Options = Options()) -> Column:
-    """The full result as one struct; null for a null text."""
+    """The full result as one struct; null for a null text. The column may be binary: bytes that are not UTF-8 give an
+    empty result with one diagnostic."""
 
     @F.arrow_udf(f"struct<{', '.join(p.replace(' ', ': ', 1) for p in _split(RESULT))}>")
     def run(texts: pa.Array) -> pa.Array:
-        got = [process(t, options) if t is not None else None for t in texts.to_pylist()]
+        one = process_bytes if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else process
+        got = [one(t, options) if t is not None else None for t in texts.to_pylist()]
         cols = [pa.array([getattr(g, n) if g else None for g in got], pa.string()) for n in ("original", "normalized", "pronunciation")]
         cols += [_lists([getattr(g, n) if g else None for g in got], f) for n, f in _LISTS.items()]
         return pa.StructArray.from_arrays(cols, names=list(_NAMES), mask=pa.array([g is None for g in got]))
