@@ -167,5 +167,59 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_pii_boosting": op4_pii_boosting, "op5_jaccard_join": op5_jaccard_join, "op6_chat_snapshots": op6_chat_snapshots, "op7_language_id": op7_language_id, "op8_merkle_fingerprint": op8_merkle_fingerprint, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup}
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_url_filter": _op3_sql(), "op5_jaccard_join": OP5_SQL, "op6_chat_snapshots": OP6_SQL, "op10_line_dedup": OP10_SQL}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vocalis.llm.byte_bpe import encode
+
+    coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], data="decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.common import written
+    from vocalis.llm.spelling import document_words, misspelt, variants, vocabulary
+
+    words = document_words(table(spark, sf_dir, "documents")).select(misspelt(F.col("word"), F.col("doc_id")).alias("word"))
+    return variants(written(vocabulary(words), "vocabulary")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+OP12_SQL = f"""
+WITH RECURSIVE poly AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tab),
+d AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), {A_Z}) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT run, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS bytes FROM d),
+h AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, bytes::BIGINT[]), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]))) AS h FROM b, poly),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, sum(times)::BIGINT AS n FROM h GROUP BY 1),
+w AS (SELECT word, n FROM v WHERE length(word) >= 5 AND n >= 3),
+k AS (SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS word, b.word AS near, b.n AS m FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.key UNION SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = k.key),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM p GROUP BY word),
+t AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN f USING (word)),
+r AS (SELECT word, word AS at FROM t UNION ALL SELECT r.word, t.form FROM r JOIN t ON t.word = r.at WHERE t.form IS NOT NULL),
+e AS (SELECT r.word, r.at AS root FROM r JOIN t ON t.word = r.at WHERE t.form IS NULL)
+SELECT word, n, n_near, form, form_n::BIGINT AS form_n, root FROM t JOIN e USING (word)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocalis.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
+
+
+OP13_SQL = """
+WITH s AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1),
+a AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+p AS (SELECT a.vec_id AS anchor_id, a.label, a.q, e.vec_id AS positive_id, list_inner_product(a.q, e.q)::BIGINT AS positive_score FROM a JOIN e ON a.label = e.label AND a.vec_id <> e.vec_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY positive_score DESC, positive_id) <= 5),
+n AS (SELECT a.vec_id AS anchor_id, e.vec_id AS negative_id, list_inner_product(a.q, e.q)::BIGINT AS negative_score FROM a JOIN e ON a.label <> e.label)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank, negative_id, positive_score, negative_score
+FROM p JOIN n USING (anchor_id) WHERE 80 * positive_score <= 100 * negative_score AND negative_score <= positive_score QUALIFY rank <= 5
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_pii_boosting": op4_pii_boosting, "op5_jaccard_join": op5_jaccard_join, "op6_chat_snapshots": op6_chat_snapshots, "op7_language_id": op7_language_id, "op8_merkle_fingerprint": op8_merkle_fingerprint, "op9_best_fit_packing": op9_best_fit_packing, "op10_line_dedup": op10_line_dedup, "op11_byte_bpe": op11_byte_bpe, "op12_spelling_variants": op12_spelling_variants, "op13_hard_negatives": op13_hard_negatives}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_url_filter": _op3_sql(), "op5_jaccard_join": OP5_SQL, "op6_chat_snapshots": OP6_SQL, "op10_line_dedup": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
