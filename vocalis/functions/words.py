@@ -132,12 +132,17 @@ def ru_genitive(n: Column) -> Column:
     return F.when(F.abs(n) < 1000, F.concat(F.when(n < 0, "минус ").otherwise(""), _pick([russian.genitive(i) for i in range(1000)], F.abs(n)))).otherwise(ru_cardinal(n))
 
 
-def ru_year(y: Column, case: str) -> Column:
-    """1000 to 9999 as an ordinal in nominative, genitive or locative; others as numbers."""
+def ru_year_ordinal(y: Column, case: str) -> Column:
+    """1000 to 9999 as an ordinal in nominative, genitive or locative; null for others."""
     whole = _pick([russian.year(1000 * t, case) if t else "" for t in range(10)], F.floor(y / 1000))
     head = _pick(["", "тысяча", *[russian.cardinal(1000 * t) for t in range(2, 10)]], F.floor(y / 1000))
     tail = _pick(["", *[russian.year(1000 + r, case).removeprefix("тысяча ") for r in range(1, 1000)]], y % 1000)
-    return F.when(y.between(1000, 9999), F.when(y % 1000 == 0, whole).otherwise(F.concat(head, F.lit(" "), tail))).otherwise(ru_cardinal(y))
+    return F.when(y.between(1000, 9999), F.when(y % 1000 == 0, whole).otherwise(F.concat(head, F.lit(" "), tail)))
+
+
+def ru_year(y: Column, case: str) -> Column:
+    """1000 to 9999 as an ordinal in nominative, genitive or locative; others as numbers."""
+    return F.coalesce(ru_year_ordinal(y, case), ru_cardinal(y))
 
 
 def ru_decimal(token: Column) -> Column:
