@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from vocalis.llm.common import need, small_batches, tidy
 
-#: Words remembered in one task (about 60 MB), bytes of text cut together, and pieces or ids handled by one query.
-MEMORY_WORDS, GROUP_BYTES, BLOCK = 300_000, 8 << 20, 500_000
+#: Words remembered in each of two generations (about 100 MB each), bytes of text cut together, and pieces or ids handled
+#: by one query.
+MEMORY_WORDS, GROUP_BYTES, BLOCK = 500_000, 8 << 20, 500_000
 #: Words of more bytes contract equal pairs together, which keeps the rounds of a long run few.
 LONG = 64
 
@@ -75,6 +76,7 @@ class Codec:
         if None in self.single:
             raise ValueError("a byte-level vocabulary has a token for each byte")
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         split = [(a, b, m) for token, m in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         a, b, m = np.array(split, np.int32).reshape(-1, 3).T
@@ -116,14 +118,18 @@ class Codec:
             out[w] = flat[at[k] : at[k + 1]].tobytes()
         return out
 
+    def _remember(self, words: set[str]) -> None:
+        """Learns words that neither generation knows. A full generation becomes the older one, from which words that are
+        met again come back, so frequent words are never learned twice."""
+        if len(self.memory) > MEMORY_WORDS:
+            self.memory, self.older = {}, self.memory
+        words = words.difference(self.memory)
+        known = words.intersection(self.older)
+        self.memory |= {w: self.older[w] for w in known}
+        self._learn(list(words - known))
+
     def _ids(self, words: list[str]) -> bytes:
-        ids = list(map(self.memory.get, words))
-        if None in ids:
-            if len(self.memory) > MEMORY_WORDS:
-                self.memory = {}
-            self._learn([w for w in dict.fromkeys(words) if w not in self.memory])
-            ids = map(self.memory.__getitem__, words)
-        return b"".join(ids)
+        return b"".join(map(self.memory.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none. Small texts are cut together, a long one block by block."""
@@ -138,23 +144,16 @@ class Codec:
                 found = (m[0] for m in self.cut.finditer(texts[at] or ""))
                 parts = []
                 while block := list(islice(found, BLOCK)):
+                    self._remember(set(block))
                     parts.append(self._ids(block))
                 out.append(np.frombuffer(b"".join(parts), np.int32))
             else:
                 cut = [self.cut.findall(t) if t else [] for t in texts[at:end]]
-                self._learn_new(cut)
+                self._remember(set().union(*cut))
                 out += [np.frombuffer(self._ids(words), np.int32) for words in cut]
             at = end
         return out
 
-    def _learn_new(self, cut: list[list[str]]) -> None:
-        """The new words of many texts by one query."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory = {}
-        new = {w for words in cut for w in words}.difference(self.memory)
-        if new:
-            self._learn(sorted(new))
-
     def decode(self, rows: list[np.ndarray | None]) -> list[bytes | None]:
         """The bytes of each row of ids; null for a null row and for one with an id that the vocabulary lacks."""
         out: list[list[bytes] | None] = [None if r is None else [] for r in rows]
