@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -24,21 +24,24 @@ from vocalis.llm.common import need, small_batches, tidy
 
 #: Words remembered in each of two generations (about 100 MB each), bytes of text cut together, and pieces or ids handled
 #: by one query.
-MEMORY_WORDS, GROUP_BYTES, BLOCK = 500_000, 8 << 20, 500_000
+MEMORY_WORDS, GROUP_BYTES, BLOCK = 500_000, 8 << 20, 1_000_000
 #: Words of more bytes contract equal pairs together, which keeps the rounds of a long run few.
 LONG = 64
 
+#: A pair of tokens as one number.
+PAIR = "(1::BIGINT << 32)"
+
 _O = "WINDOW o AS (PARTITION BY w ORDER BY pos)"
 #: A round contracts, in each word, the leftmost pair of least rank (m: the rank of a token with the one after it).
 ENCODE = f"""
 WITH RECURSIVE t AS (
   SELECT w, pos, tok, m, min(m * {LONG} + pos) OVER (PARTITION BY w) AS best FROM
-    (SELECT w, pos, tok, lead(tok) OVER o AS following FROM pieces {_O}) p LEFT JOIN merges ON tok = a AND following = b
+    (SELECT w, pos, tok, lead(tok) OVER o AS following FROM pieces {_O}) p LEFT JOIN merges ON pair = tok * {PAIR} + following
   UNION ALL
   SELECT w, pos, tok, m, min(m * {LONG} + pos) OVER (PARTITION BY w) AS best FROM (
     SELECT w, pos, tok, lag(take, 1, false) OVER o AS gone, CASE WHEN take THEN lead(tok, 2) OVER o ELSE lead(tok) OVER o END AS following FROM (
       SELECT w, pos, best % {LONG} = pos AS take, CASE WHEN best % {LONG} = pos THEN m ELSE tok END AS tok FROM t WHERE best IS NOT NULL) {_O}) p
-  LEFT JOIN merges ON tok = a AND following = b WHERE NOT gone)
+  LEFT JOIN merges ON pair = tok * {PAIR} + following WHERE NOT gone)
 SELECT w, list(tok ORDER BY pos) AS toks FROM t WHERE best IS NULL GROUP BY w
 """
 #: The same for long words. Where no pair with the new token can rank below that token itself (it is steady), the next
@@ -53,11 +56,11 @@ WITH RECURSIVE t AS (
         SELECT *, count(*) FILTER (hit) OVER before AS earlier, coalesce(max(i) FILTER (NOT hit) OVER before, 0) AS miss FROM (
           SELECT *, coalesce(m = least, false) AS hit FROM (
             SELECT r.*, m, steady, min(m) OVER (PARTITION BY w) AS least FROM
-              (SELECT w, pos, tok, lead(tok) OVER o AS following, row_number() OVER o AS i FROM t WHERE NOT done {_O}) r LEFT JOIN merges ON tok = a AND following = b))
+              (SELECT w, pos, tok, lead(tok) OVER o AS following, row_number() OVER o AS i FROM t WHERE NOT done {_O}) r LEFT JOIN merges ON pair = tok * {PAIR} + following))
         WINDOW before AS (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) {_O}) WHERE NOT gone)
 SELECT w, list(tok ORDER BY pos) AS toks FROM t WHERE done GROUP BY w
 """
-DECODE = "SELECT r, string_agg(v.hex, '' ORDER BY pos) AS hex, bool_and(v.id IS NOT NULL) AS known FROM ids LEFT JOIN vocabulary v USING (id) GROUP BY r"
+DECODE = "SELECT r, unhex(string_agg(v.hex, '' ORDER BY pos)) AS data, bool_and(v.id IS NOT NULL) AS known FROM ids LEFT JOIN vocabulary v USING (id) GROUP BY r"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,7 +85,7 @@ class Codec:
         a, b, m = np.array(split, np.int32).reshape(-1, 3).T
         # a token that some pair with it ranks below is not steady
         low = np.concatenate((a[m < a], b[m < b]))
-        parts = pa.table({"a": a, "b": b, "m": m.astype(np.int64), "steady": ~np.isin(m, low)})  # noqa: F841
+        parts = pa.table({"pair": (a.astype(np.int64) << 32) + b, "m": m.astype(np.int64), "steady": ~np.isin(m, low)})  # noqa: F841
         names = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS FROM parts")
         self.db.execute("CREATE TABLE vocabulary AS FROM names")
@@ -124,7 +127,7 @@ class Codec:
         if len(self.memory) > MEMORY_WORDS:
             self.memory, self.older = {}, self.memory
         words = words.difference(self.memory)
-        known = words.intersection(self.older)
+        known = {w for w in words if w in self.older}
         self.memory |= {w: self.older[w] for w in known}
         self._learn(list(words - known))
 
@@ -165,13 +168,13 @@ class Codec:
                 size += len(blocks[end][1])
                 end += 1
             sizes = [len(b) for _, b in blocks[at:end]]
-            ids = pa.table({"r": np.repeat(np.arange(at, end), sizes), "pos": np.arange(size), "id": np.concatenate([b for _, b in blocks[at:end]])})  # noqa: F841
-            for r, hexed, known in sorted(self.db.sql(DECODE).fetchall()):
+            ids = pa.table({"r": np.repeat(np.arange(at, end, dtype=np.int32), sizes), "pos": np.arange(size, dtype=np.int32), "id": np.concatenate([b for _, b in blocks[at:end]])})  # noqa: F841
+            for r, data, known in sorted(self.db.sql(DECODE).fetchall()):
                 k = blocks[r][0]
                 if not known:
                     out[k] = None
                 elif out[k] is not None:
-                    out[k].append(bytes.fromhex(hexed))
+                    out[k].append(data)
             at = end
         return [None if o is None else b"".join(o) for o in out]
 
@@ -192,8 +195,14 @@ def _added(df: DataFrame, keep: list[str], made: dict[str, str], take: Callable[
         raise ValueError(f"columns {sorted(clash)} are there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *take(batch)], names=[*keep, *made])
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if held and (batch is None or sum(b.nbytes for b in held) >= GROUP_BYTES):
+                every = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+                yield pa.RecordBatch.from_arrays([*[every.column(k) for k in keep], *take(every)], names=[*keep, *made])
+                held = []
+            if batch is not None and batch.num_rows:
+                held.append(batch)
 
     small_batches(df.sparkSession)
     empty = df.select(*keep).limit(0)
