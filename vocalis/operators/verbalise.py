@@ -7,7 +7,7 @@ one whose value it does not allow, keeps its whole surface and is a diagnostic.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,6 +93,7 @@ def _form(name: str, when: Column, begin: Column, end: Column, closure: str, at:
     return F.when(when, F.struct(F.lit(name).alias("name"), begin.alias("first"), F.greatest(end, past).alias("last"), (past > end).alias("goes_on")))
 
 
+@lru_cache(maxsize=1)
 def english_forms() -> Column:
     """The first written form that fits an English number; kept ones are never spoken."""
     here, before, unsigned = _c("pos"), _c("before"), _c("sign") == ""
@@ -123,6 +124,7 @@ def english_forms() -> Column:
     )
 
 
+@lru_cache(maxsize=1)
 def english_words() -> dict[str, Column]:
     """What is said of each form; null where its value is not allowed."""
     aloud = F.when(_c("known"), N.en_decimal(_c("token")))
@@ -155,6 +157,7 @@ def _after(words: str) -> Column:
     return _yes("gap") & unsigned & _like("lex_l1", f"^(?:{words})$") | (~unsigned & _yes("gap_l1") & _like("lex_l2", f"^(?:{words})$"))
 
 
+@lru_cache(maxsize=1)
 def russian_forms() -> Column:
     """The first written form that fits a Russian number; kept ones are never spoken."""
     here, before, unsigned = _c("pos"), _c("before"), _c("sign") == ""
@@ -199,6 +202,7 @@ def _numbered(column: Column, feminine: bool = False) -> Column:
     return N._pick([" ".join(russian.below_thousand(i, feminine)) for i in range(1000)], column)
 
 
+@lru_cache(maxsize=1)
 def russian_words() -> dict[str, Column]:
     """What is said of each form; null where its value is not allowed."""
     n, form, part = _c("n"), N.ru_form(_c("n")), _c("part")
@@ -283,25 +287,33 @@ def _read_aloud(text: Column, language: Column) -> Column:
     return F.when((language == "russian") & text.rlike("т\\.[дп]\\."), F.array_join(words, " ")).otherwise(text)
 
 
+def read_parts(given: DataFrame, language: str) -> DataFrame:
+    """(_keep, _text) -> one row for each gap and island of a text: _keep, _text's _row, _language, _pos, gap, island, and
+    what spoken_islands() says of the island. Distinct islands are read once, whatever the number of texts that hold them."""
+    languages = ("english", "russian") if language == "auto" else (language,)
+    cut = pieces(given, "_text", language)
+    one = cut.select(_c("_language").alias("language"), F.explode("_islands").alias("island")).select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
+    read = spoken_islands(one.dropDuplicates(["id"]), languages)
+    rows = cut.select("_keep", "_language", F.monotonically_increasing_id().alias("_row"), F.arrays_zip(_c("_gaps").alias("gap"), _c("_islands").alias("island")).alias("_parts"))
+    each = rows.select("_keep", "_language", "_row", F.posexplode("_parts").alias("_pos", "_part"))
+    met = each.select("_keep", "_language", "_row", "_pos", "_part.gap", "_part.island", island_id(_c("_language"), _c("_part.island")).alias("id"))
+    return met.join(read, "id", "left").drop("id")
+
+
 def verbalise(df: DataFrame, keep: list[str], text: str = "text", language: str = "auto") -> DataFrame:
     """The columns kept, and normalized_text.
 
     language: english, russian, or auto (Russian where a text has a Cyrillic letter). A null text gives null, an empty one
-    is empty; repeated rows stay. Distinct islands are read once, whatever the number of texts that hold them; texts
-    without a digit are a projection, those with one are put together by row.
+    is empty; repeated rows stay, and any names of columns may be kept but normalized_text. Texts without a digit are a
+    projection; only those with one are put together by row.
     """
-    languages = ("english", "russian") if language == "auto" else (language,)
-    given = df.select(*keep, F.col(text).alias("_text"))
+    if "normalized_text" in keep:
+        raise ValueError("normalized_text is a column already")
+    given = df.select(F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
     numbered = F.coalesce(_c("_text").rlike("[0-9]"), F.lit(False))
     tongue = detect_language(_c("_text")) if language == "auto" else F.lit(language)
-    whole = given.where(~numbered).select(*keep, clean_spacing(_read_aloud(clean_spacing(_c("_text")), tongue)).alias("normalized_text"))
-    hot = pieces(given.where(numbered), "_text", language)
-    one = hot.select(_c("_language").alias("language"), F.explode("_islands").alias("island")).select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
-    read = spoken_islands(one.dropDuplicates(["id"]), languages).select("id", "spoken")
-    parts = F.arrays_zip(_c("_gaps").alias("gap"), _c("_islands").alias("island"))
-    rows = hot.select(F.struct(*keep).alias("_keep"), "_language", F.monotonically_increasing_id().alias("_row"), parts.alias("_parts"))
-    each = rows.select("_keep", "_language", "_row", F.posexplode("_parts").alias("_pos", "_part"))
-    met = each.select("_keep", "_language", "_row", "_pos", "_part.gap", island_id(_c("_language"), _c("_part.island")).alias("id")).join(read, "id", "left")
-    listed = met.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("_language").alias("_language"), F.sort_array(F.collect_list(F.struct("_pos", "gap", F.coalesce("spoken", F.lit("")).alias("spoken")))).alias("_all"))
+    whole = given.where(~numbered).select("_keep.*", clean_spacing(_read_aloud(clean_spacing(_c("_text")), tongue)).alias("normalized_text"))
+    parts = read_parts(given.where(numbered), language)
+    listed = parts.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("_language").alias("_language"), F.sort_array(F.collect_list(F.struct("_pos", "gap", F.coalesce("spoken", F.lit("")).alias("spoken")))).alias("_all"))
     joined = F.array_join(F.transform("_all", lambda p: F.concat(p["gap"], p["spoken"])), "")
     return whole.unionByName(listed.select("_keep.*", clean_spacing(_read_aloud(joined, _c("_language"))).alias("normalized_text")))
