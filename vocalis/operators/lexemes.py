@@ -15,10 +15,11 @@ from vocalis.functions.text import clean_spacing, detect_language
 from vocalis.kernel.text import CYRILLIC, LATIN, MARKS
 
 LETTERS = f"{LATIN}{CYRILLIC}{MARKS}_"
-_COLD = "[^ 0-9\\n]++(?![^ \\n])"
-_HOT = "[^ \\n]*?[0-9][^ \\n]*+"
-#: Words with digits, up to four others between two of them, and up to two on both sides. A line feed ends the text.
-ISLAND = f"(?<![^ ])(?:{_COLD} ){{0,2}}+{_HOT}(?:(?: {_COLD}){{0,4}}+ {_HOT})*+(?: {_COLD}){{0,2}}+\\n?"
+_S = " \\t\\n\\r\\x0B\\f\\u00A0\\u202F"
+_COLD = f"[^{_S}0-9]++(?![^{_S}])"
+_HOT = f"[^{_S}]*?[0-9][^{_S}]*+"
+#: Words with digits, up to four others between two of them, and up to two on both sides; spaces at the end of the text.
+ISLAND = f"(?<![^{_S}])(?:{_COLD}[{_S}]++){{0,2}}+{_HOT}(?:(?:[{_S}]++{_COLD}){{0,4}}+[{_S}]++{_HOT})*+(?:[{_S}]++{_COLD}){{0,2}}+(?:[{_S}]++\\z)?+"
 #: Lexemes, each with the space before it. Neither looks around nor repeats what it took, so every engine reads it alike.
 NUMERAL = "[0-9]{1,3}(?: [0-9]{3})+(?:[.,:][0-9]+)*|[0-9]+(?:[.,:][0-9]+)*"
 TECHNICAL = (
@@ -46,10 +47,12 @@ LEXICAL = ("n", "w", "t", "h")
 
 
 def pieces(df: DataFrame, text: str = "text", language: str = "auto") -> DataFrame:
-    """df with _language, and _gaps and _islands of the cleaned text: gap, island, gap, ..., gap make it up."""
-    c = F.concat(clean_spacing(F.col(text)), F.lit("\n"))
+    """df with _language, and _gaps, _islands and _clean (an island with its spacing cleaned; a line feed tells that the text
+    ends there). gap, island, gap, ..., gap make up the text, so places in a piece are places in the text."""
     tongue = detect_language(F.col(text)) if language == "auto" else F.lit(language)
-    return df.withColumns({"_language": tongue, "_islands": F.regexp_extract_all(c, F.lit(ISLAND), F.lit(0)), "_gaps": F.split(c, ISLAND, -1)})
+    found = df.withColumns({"_language": tongue, "_islands": F.regexp_extract_all(text, F.lit(ISLAND), F.lit(0)), "_gaps": F.split(text, ISLAND, -1)})
+    last = F.when(F.element_at("_gaps", -1) == "", F.size("_islands")).otherwise(0)
+    return found.withColumn("_clean", F.transform("_islands", lambda x, i: F.concat(clean_spacing(x), F.when(i + 1 == last, "\n").otherwise(""))))
 
 
 def island_id(language: Column, island: Column) -> Column:

@@ -96,12 +96,34 @@ def colliding(spans: DataFrame, *key: str) -> DataFrame:
     return spans.withColumn("_last", F.lag("end").over(order)).where("_last > begin").drop("_last")
 
 
+def indexed(ranges: DataFrame, key: str) -> DataFrame:
+    """Ranges as an interval index: key, level, bucket, range_begin, range_end. A range of up to 2 ** level places stands in
+    the one or two buckets of that width that it touches; empty ranges hold nothing and are left out."""
+    level = F.length(F.bin(F.col("end") - F.col("begin") - 1))
+    some = ranges.where("begin < end").select(F.col(key).alias("_k"), F.col("begin").alias("range_begin"), F.col("end").alias("range_end"), level.alias("_level"))
+    touched = F.sequence(F.expr("shiftright(range_begin, _level)"), F.expr("shiftright(range_end - 1, _level)"))
+    return some.withColumn("_bucket", F.explode(touched))
+
+
 def containing(words: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Each word with the first range of its key (by begin, then end) that holds it: adds range_begin, range_end or nulls."""
-    r = ranges.select(F.col(key).alias("_k"), F.col("begin").alias("range_begin"), F.col("end").alias("range_end"))
-    both = words.join(r, (words[key] == r["_k"]) & (r["range_begin"] <= words["begin"]) & (words["end"] <= r["range_end"]), "left")
-    first = W.partitionBy(*[words[c] for c in words.columns]).orderBy("range_begin", "range_end")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_k")
+    """Each word with the first range of its key (by begin, then end) that holds it: adds range_begin, range_end or nulls.
+
+    An equi-join of key, level and bucket with the interval index, then the exact test: a key that holds most of all spans
+    is spread by its buckets, and a word meets only ranges about its place. An empty word at the end of a range is outside
+    of it. The levels that occur, 64 at most, are
+    collected. Words that are repeated stay; a null key meets none.
+    """
+    index = indexed(ranges, key)
+    levels = sorted(r["_level"] for r in index.select("_level").distinct().collect())
+    if not levels:
+        return words.withColumns({"range_begin": F.lit(None).cast("bigint"), "range_end": F.lit(None).cast("bigint")})
+    probes = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.shiftright(F.col("_at"), n).alias("_bucket")) for n in levels]))
+    numbered = words.select(F.struct(*words.columns).alias("_word"), F.col(key).alias("_k"), F.col("begin").cast("bigint").alias("_at"), F.col("end").alias("_to"), F.monotonically_increasing_id().alias("_id"))
+    probing = numbered.select("_word", "_k", "_at", "_to", "_id", probes.alias("_p")).select("_word", "_k", "_at", "_to", "_id", "_p.*")
+    met = probing.join(index, ["_k", "_level", "_bucket"], "left")
+    holds = (F.col("range_begin") <= F.col("_at")) & (F.col("_to") <= F.col("range_end"))
+    first = met.groupBy("_id").agg(F.first("_word").alias("_word"), F.min(F.when(holds, F.struct("range_begin", "range_end"))).alias("_range"))
+    return first.select("_word.*", "_range.range_begin", "_range.range_end")
 
 
 def segments(df: DataFrame, key: str, text: str = "text") -> DataFrame:

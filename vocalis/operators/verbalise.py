@@ -259,15 +259,17 @@ def chosen_forms(islands: DataFrame, language: str) -> DataFrame:
     for names, column in words().items():
         said = F.when(_c("name").isin(*names.split()), column).otherwise(said)
     spoken = worded(one, language).withColumn("said", F.when(~_c("_form.goes_on"), said))
-    return spoken.select("id", "pos", "lex", "gap", "begin", "end", "name", "first", "last", "said")
+    early = F.when(_c("candidate") & _c("bare") & (_c("counted_end") > _c("pos")) & _after("[Пп]осле|[Ии]з"), F.struct(_c("before").alias("first"), _c("counted_end").alias("last"))) if language == "russian" else F.lit(None).cast("struct<first: int, last: int>")
+    return spoken.select("id", "pos", "lex", "gap", "begin", "end", "name", "first", "last", "said", early.alias("early"))
 
 
 def spoken_islands(islands: DataFrame, languages: tuple[str, ...] = ("english", "russian")) -> DataFrame:
     """(id, language, island), ids distinct -> id, spoken (the island read aloud), kept (begin, end of the surfaces that
-    stay, in code points of the island)."""
+    stay, in code points of the island), early (the same of compound numbers after a word that asks for a case, whatever
+    is chosen there)."""
     chosen = reduce(DataFrame.unionByName, [chosen_forms(islands, language) for language in languages])
     chosen = chosen.withColumn("raw", F.concat(F.when(_c("gap"), " ").otherwise(""), "lex"))
-    listed = chosen.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "raw", "gap", "begin", "end"))).alias("lex"), F.sort_array(F.collect_list(F.struct("first", "last", "said"))).alias("all"))
+    listed = chosen.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "raw", "gap", "begin", "end"))).alias("lex"), F.sort_array(F.collect_list(F.struct("first", "last", "said"))).alias("all"), F.sort_array(F.collect_list("early")).alias("early"))
     spans = listed.withColumn("spans", F.filter("all", lambda s: s["first"].isNotNull()))
     text = lambda a, b: F.array_join(F.transform(F.slice("lex", a + 1, F.greatest(b - a, F.lit(0))), lambda x: x["raw"]), "")
 
@@ -277,8 +279,10 @@ def spoken_islands(islands: DataFrame, languages: tuple[str, ...] = ("english",
         return F.concat(text(since, s["first"]), F.coalesce(said, text(s["first"], s["last"] + 1)))
 
     rest = text(F.coalesce(F.try_element_at("spans", F.size("spans"))["last"] + 1, F.lit(0)), F.size("lex"))
-    kept = F.transform(F.filter("spans", lambda s: s["said"].isNull()), lambda s: F.struct(F.element_at("lex", s["first"] + 1)["begin"].alias("begin"), F.element_at("lex", s["last"] + 1)["end"].alias("end")))
-    return spans.select("id", F.concat(F.array_join(F.transform("spans", one), ""), F.when(F.size("spans") > 0, rest).otherwise(text(F.lit(0), F.size("lex")))).alias("spoken"), kept.alias("kept"))
+    place = lambda s: F.struct(F.element_at("lex", s["first"] + 1)["begin"].alias("begin"), F.element_at("lex", s["last"] + 1)["end"].alias("end"))
+    kept = F.transform(F.filter("spans", lambda s: s["said"].isNull()), place)
+    read = F.concat(F.array_join(F.transform("spans", one), ""), F.when(F.size("spans") > 0, rest).otherwise(text(F.lit(0), F.size("lex"))))
+    return spans.select("id", read.alias("spoken"), kept.alias("kept"), F.transform("early", place).alias("early"))
 
 
 def _read_aloud(text: Column, language: Column) -> Column:
@@ -292,11 +296,12 @@ def read_parts(given: DataFrame, language: str) -> DataFrame:
     what spoken_islands() says of the island. Distinct islands are read once, whatever the number of texts that hold them."""
     languages = ("english", "russian") if language == "auto" else (language,)
     cut = pieces(given, "_text", language)
-    one = cut.select(_c("_language").alias("language"), F.explode("_islands").alias("island")).select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
+    one = cut.select(_c("_language").alias("language"), F.explode("_clean").alias("island")).select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
     read = spoken_islands(one.dropDuplicates(["id"]), languages)
-    rows = cut.select("_keep", "_language", F.monotonically_increasing_id().alias("_row"), F.arrays_zip(_c("_gaps").alias("gap"), _c("_islands").alias("island")).alias("_parts"))
+    zipped = F.arrays_zip(_c("_gaps").alias("gap"), _c("_islands").alias("island"), _c("_clean").alias("clean"))
+    rows = cut.select("_keep", "_language", F.monotonically_increasing_id().alias("_row"), zipped.alias("_parts"))
     each = rows.select("_keep", "_language", "_row", F.posexplode("_parts").alias("_pos", "_part"))
-    met = each.select("_keep", "_language", "_row", "_pos", "_part.gap", "_part.island", island_id(_c("_language"), _c("_part.island")).alias("id"))
+    met = each.select("_keep", "_language", "_row", "_pos", "_part.*", island_id(_c("_language"), _c("_part.clean")).alias("id"))
     return met.join(read, "id", "left").drop("id")
 
 

@@ -343,6 +343,19 @@ def spans_containing(df):
     return spans.containing(words.distinct(), ranges, "k")
 
 
+_TECHNICAL_SQL = " UNION ALL ".join(f"SELECT doc_id, b, e FROM {_places('documents', 'doc_id', p)}" for p in _CLASS_SQL.values())
+
+
+@query("documents", f"""WITH s AS ({_TECHNICAL_SQL}), w AS (SELECT doc_id, pos, b, e, hit FROM {_places('documents', 'doc_id', _TOKEN_SQL)} WHERE doc_id IN (SELECT doc_id FROM s))
+ SELECT w.doc_id, w.pos::INT AS pos, w.b::BIGINT AS "begin", w.e::BIGINT AS "end", hit AS token, min(s.b)::BIGINT AS range_begin, arg_min(s.e, (s.b, s.e))::BIGINT AS range_end
+ FROM w JOIN s ON s.doc_id = w.doc_id AND s.b <= w.b AND w.e <= s.e GROUP BY ALL""")
+def tokens_in_technical(df):
+    """Word tokens that lie inside of a technical span, with the first span that holds them."""
+    technical = spans.technical_spans(df, "doc_id").select("doc_id", "begin", "end")
+    tokens = spans.token_spans(df.join(technical.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    return spans.containing(tokens, technical, "doc_id").where("range_begin is not null")
+
+
 @query("lineitem", f'SELECT k, min(b) AS "begin", max(e) AS "end" FROM (SELECT *, sum(CASE WHEN last IS NULL OR b >= last THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY b, e DESC ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY b, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM {_LINES})) GROUP BY k, island')
 def spans_united(df):
     """Two streams of spans as one, merged where they overlap."""

@@ -173,3 +173,23 @@ def verbalized_contexts_en(df):
 def verbalized_contexts_ru(df):
     """Russian years in three cases, genitives, money, tails, counted nouns, shares and abbreviations in sentences."""
     return V.verbalise(df.select("o_orderkey", F.expr(_spark(_cases(_RU_CONTEXTS, 0))).alias("written")), ["o_orderkey", "written"], "written", "russian")
+
+
+# Diagnostics
+
+_WHITE = "[ \\t\\n\\r\\x0B\\f\\x{00A0}\\x{202F}]"
+_PLACES = f"""
+, m AS (SELECT r, sum(n) FILTER (pos < start) AS skip, sum(n) FILTER (pos <= fin) AS upto, start FROM (SELECT y.r, y.pos, length(replace(lex, ' ', '')) AS n, q.start, q.fin FROM y JOIN q ON q.r = y.r WHERE q.said IS NULL) GROUP BY r, start, fin),
+ h AS (SELECT r, strlen(ch) AS w, i, NOT regexp_matches(ch, '{_WHITE}') AS solid FROM (SELECT row_number() OVER () AS r, text, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM {{table}}) WHERE r IN (SELECT r FROM m)),
+ j AS (SELECT r, w, sum(w) OVER o AS past, sum(solid::INT) OVER o AS k, solid FROM h WINDOW o AS (PARTITION BY r ORDER BY i)),
+ places AS (SELECT m.r, (a.past - a.w)::BIGINT AS "offset", (z.past - a.past + a.w)::BIGINT AS "length" FROM m JOIN j a ON a.r = m.r AND a.solid AND a.k = coalesce(skip, 0) + 1 JOIN j z ON z.r = m.r AND z.solid AND z.k = upto)
+"""
+
+
+@query("documents", english_sql("documents", "doc_id") + _PLACES.replace("{table}", "documents") + """SELECT doc_id, 'unresolved_number' AS code, "offset", "length" FROM places JOIN d USING (r)
+ UNION ALL SELECT doc_id, 'ambiguous_normalization', 0, strlen(text) FROM documents WHERE regexp_matches(text, '[\\x{0400}-\\x{052F}]') AND regexp_matches(text, '[A-Za-z\\x{00C0}-\\x{024F}]')""")
+def diagnostics_documents(df):
+    """Numbers of documents that stay, as bytes of the text as given."""
+    from vocalis.operators.diagnostics import diagnostics
+
+    return diagnostics(df, ["doc_id"]).select("doc_id", "code", "offset", "length")
