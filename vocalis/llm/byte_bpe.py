@@ -17,10 +17,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.llm.common import need, small_batches, tidy
+from vocalis.llm.common import fresh, need, small_batches, tidy
 
 #: Words remembered in each of two generations (about 100 MB each), bytes of text cut together, and pieces or ids handled
 #: by one query.
@@ -189,8 +189,8 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _added(df: DataFrame, keep: list[str], made: dict[str, str], take: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """The columns kept and new ones, made a batch at a time."""
+def _added(df: DataFrame, source: Column, keep: list[str], made: dict[str, str], take: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns kept, and new ones made of a source column, some batches at a time."""
     if clash := {n.lower() for n in made} & {k.lower() for k in keep}:
         raise ValueError(f"columns {sorted(clash)} are there already")
 
@@ -199,14 +199,14 @@ def _added(df: DataFrame, keep: list[str], made: dict[str, str], take: Callable[
         for batch in chain(batches, [None]):
             if held and (batch is None or sum(b.nbytes for b in held) >= GROUP_BYTES):
                 every = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-                yield pa.RecordBatch.from_arrays([*[every.column(k) for k in keep], *take(every)], names=[*keep, *made])
+                yield pa.RecordBatch.from_arrays([*every.columns[1:], *take(every.column(0))], names=[*keep, *made])
                 held = []
             if batch is not None and batch.num_rows:
                 held.append(batch)
 
     small_batches(df.sparkSession)
-    empty = df.select(*keep).limit(0)
-    return df.mapInArrow(tidy(run), empty.select(*keep, *[F.lit(None).cast(kind).alias(n) for n, kind in made.items()]).schema)
+    shape = df.select(*keep, *[F.lit(None).cast(kind).alias(n) for n, kind in made.items()]).schema
+    return df.select(source.alias(fresh(df, "source")[0]), *keep).mapInArrow(tidy(run), shape)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -223,12 +223,12 @@ def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text: str =
     """
     need(df, text, *keep)
 
-    def take(batch: pa.RecordBatch) -> list[pa.Array]:
+    def take(texts: pa.Array) -> list[pa.Array]:
         coder = codec(path, pattern)
-        rows = coder.encode(batch.column("_text").to_pylist())
+        rows = coder.encode(texts.to_pylist())
         return [_lists(rows), *([pa.array(coder.decode(rows), pa.binary())] if data else [])]
 
-    return _added(df.select(*keep, F.col(text).alias("_text")), keep, {ids: "array<int>", **({data: "binary"} if data else {})}, take)
+    return _added(df, F.col(text), keep, {ids: "array<int>", **({data: "binary"} if data else {})}, take)
 
 
 def decode(df: DataFrame, path: str, pattern: str, keep: list[str], ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -238,9 +238,8 @@ def decode(df: DataFrame, path: str, pattern: str, keep: list[str], ids: str = "
     """
     need(df, ids, *keep)
 
-    def take(batch: pa.RecordBatch) -> list[pa.Array]:
-        lists = batch.column("_ids")
+    def take(lists: pa.Array) -> list[pa.Array]:
         rows = [None if (r := lists[k].values) is None or r.null_count else r.to_numpy() for k in range(len(lists))]
         return [pa.array(codec(path, pattern).decode(rows), pa.binary())]
 
-    return _added(df.select(*keep, F.col(ids).cast("array<int>").alias("_ids")), keep, {data: "binary"}, take)
+    return _added(df, F.col(ids).cast("array<int>"), keep, {data: "binary"}, take)

@@ -86,6 +86,10 @@ def _whole(vectors: pa.ListArray, width: int) -> np.ndarray:
     return np.array([[int(v) * SCALE if abs(v) * SCALE >= EXACT else int(np.floor(v * SCALE)) for v in row] for row in x.tolist()], object)
 
 
+def _clamped(scores: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(scores, -_ENDS - 1), _ENDS)
+
+
 def _kth(values: np.ndarray, k: int) -> float:
     return np.partition(values, len(values) - k)[len(values) - k]
 
@@ -96,6 +100,7 @@ def narrowed(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, rule: C
     most = int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
     kind = np.float64 if most < EXACT else object
     queries = queries.astype(kind)
+    held = _clamped if kind is object else lambda scores: scores
     top = int(np.abs(rows).max(initial=0)).bit_length()
     above, below = queries.clip(min=0).sum(1), queries.clip(max=0).sum(1)
     # the sign plane counts negatively, all others positively
@@ -112,11 +117,11 @@ def narrowed(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, rule: C
             if p < plane:
                 part = part + planes[p][left] @ queries[q] * (1 << p)
             rest = (1 << p) - 1
-            keep = rule(q, part + rest * below[q], part + rest * above[q])
+            keep = rule(q, held(part + rest * below[q]), held(part + rest * above[q]))
             left, part = left[keep], part[keep]
             if not len(left):
                 break
-        yield q, left, part
+        yield q, left, held(part)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -127,10 +132,6 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-def _clamped(scores) -> list[int]:
-    return [max(-_ENDS - 1, min(_ENDS, int(s))) for s in scores]
-
-
 def _meeting(batches: Iterator[pa.RecordBatch], rule_of: Callable, allowed_of: Callable, results: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Each row of a batch is a block of queries beside a chunk of rows."""
     for batch in batches:
@@ -157,7 +158,7 @@ def _find_positives(k: int):
 
     def results(anchor, q, ids, scores, _):
         first = _best(scores, ids, k)
-        return list(zip([anchor] * len(first), ids[first].tolist(), _clamped(scores[first]), strict=True))
+        return list(zip([anchor] * len(first), ids[first].tolist(), map(int, scores[first]), strict=True))
 
     schema = pa.schema([("anchor_id", pa.int64()), ("positive_id", pa.int64()), ("positive_score", pa.int64())])
     return tidy(lambda batches: _meeting(batches, rule_of, allowed_of, results, schema))
@@ -189,7 +190,7 @@ def _find_negatives(k: int, least: int, most: int):
         for positive, said, (low, high) in zip(lists["q_ps"][q], lists["q_scores"][q], bands(lists["q_scores"][q]), strict=True):
             inside = np.flatnonzero((scores >= low) & (scores <= high))
             first = inside[_best(scores[inside], ids[inside], k)]
-            out += zip([anchor] * len(first), [positive] * len(first), [said] * len(first), ids[first].tolist(), _clamped(scores[first]), strict=True)
+            out += zip([anchor] * len(first), [positive] * len(first), [said] * len(first), ids[first].tolist(), map(int, scores[first]), strict=True)
         return out
 
     schema = pa.schema([(n, pa.int64()) for n in ("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score")])
@@ -209,8 +210,8 @@ def hard_negatives(rows: DataFrame, anchors: str = "vec_id % 100 = 0", positives
     the anchor, each component x as floor(256 * x). anchors is an SQL condition on vec_id and label. An anchor's positives
     are the first rows of its label but for itself; each one's negatives are the first rows of other labels whose score is
     between least and most hundredths of the positive's. Higher scores come first, ties by the smaller vec_id; the next in
-    line is never cut off by a tie. Missing components of shorter vectors are zeros; scores beyond 64 bits stay at their
-    ends. See participants() for rows that take no part. An anchor without positives, or a positive without negatives,
+    line is never cut off by a tie. Missing components of shorter vectors are zeros; scores beyond 64 bits count as the
+    largest or least such number. See participants() for rows that take no part. An anchor without positives, or a positive without negatives,
     gives no rows; no rows give none.
     """
     small_batches(rows.sparkSession)
