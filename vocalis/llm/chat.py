@@ -17,7 +17,8 @@ from vocalis.llm.common import need, written
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) -> (conv_id, n_turns, prefixes): hashes of the first turn, the first two, ..."""
     one = F.sha2(F.concat_ws(":", F.length("role").cast("string"), F.col("role"), F.col("text")), 256)
-    each = turns.select("conv_id", F.struct("turn", "role", one.alias("h")).alias("t"))
+    # ties of turn and role go by text, as they are rendered
+    each = turns.select("conv_id", F.struct("turn", "role", "text", one.alias("h")).alias("t"))
     listed = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
 
@@ -41,7 +42,7 @@ def render_chats(conversations: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role, text; extra columns are ignored. Turns go by turn, then role, then text; rows
     repeated whole are turns of their own. Rows with a null conv_id or turn belong to no place and go; a null role or
-    text is empty. One conversation's turn hashes, and of maximal ones its texts, must fit a task. No rows give none.
+    text is empty. One conversation's texts must fit a task. No rows give none.
     """
     need(conversations, "conv_id", "turn", "role", "text")
     turns = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
