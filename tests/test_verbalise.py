@@ -64,6 +64,13 @@ def test_forms_and_surfaces(spark, language, stay, spoken):
     assert {t: got[i] for i, t in enumerate(texts)} == dict(zip(texts, want, strict=True))
 
 
+def test_by_segments_and_foreign_units(spark):
+    texts = {"Use 2 кг.": "Use два килограмма.", "Use 2 кг 3.": "Use два килограмма three.", "Привет 2 kg /3": "Привет 2 kg /3", "Use 2 кг #3.": "Use 2 кг #3.", "Use 2 kg % 3.": "Use 2 kg % 3.", "five 5": "five five", "$5 за 05.06.2024 там": "five dollars за пятое июня две тысячи двадцать четвёртого года там"}
+    assert read(spark, list(texts), "segment") == dict(enumerate(texts.values()))
+    auto = {"Привет 2 kg /3": "Привет 2 kg /3", "Use 2 кг 3.": "Use два килограмма три.", "Use 2 кг % 3.": "Use 2 кг % 3."}
+    assert read(spark, list(auto), "auto") == dict(enumerate(auto.values()))
+
+
 PARTS = ["5", "12", "1999", "2 000", "1,234", "3.5", "$7", "$1.25", "9:30", "1st", "2nd", "%", "kg", "km,", "meters", "/", "#3", "+4", "-6", "from", "to", "in", "May", "7,", "2024.", "the", "word", "a-b", "x/3", "€9", "kg#3", "a@b.co", "http://a.b/1", "...", "8:99", "dollars", "(4)", "=", "* 2", "1.2.3.4", "v2.1", "C#", "é", "д", "5́", "минут"]
 
 
@@ -102,5 +109,6 @@ def test_islands_and_gaps_make_up_the_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for row in lexemes.pieces(df).collect():
         parts = [x for pair in zip(row["_gaps"], [*row["_islands"], ""], strict=True) for x in pair]
-        assert "".join(parts) == row["text"] + "\n"
-    assert df.select(F.size(F.regexp_extract_all(F.lit("a b c d 5 e f g h i j 6 k\n"), F.lit(lexemes.ISLAND), F.lit(0)))).first()[0] == 2
+        assert "".join(parts) == row["text"]
+        assert [x.endswith("\n") for x in row["_clean"]] == [i + 1 == len(row["_islands"]) and row["_gaps"][-1] == "" for i in range(len(row["_islands"]))]
+    assert df.select(F.size(F.regexp_extract_all(F.lit("a b c d 5 e f g h i j 6 k"), F.lit(lexemes.ISLAND), F.lit(0)))).first()[0] == 2

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vocalis.functions.text import clean_spacing, detect_language
+from vocalis.functions.text import clean_spacing, detect_language, dominant_language
 from vocalis.kernel.text import CYRILLIC, LATIN, MARKS
 
 LETTERS = f"{LATIN}{CYRILLIC}{MARKS}_"
@@ -49,7 +49,7 @@ LEXICAL = ("n", "w", "t", "h")
 def pieces(df: DataFrame, text: str = "text", language: str = "auto") -> DataFrame:
     """df with _language, and _gaps, _islands and _clean (an island with its spacing cleaned; a line feed tells that the text
     ends there). gap, island, gap, ..., gap make up the text, so places in a piece are places in the text."""
-    tongue = detect_language(F.col(text)) if language == "auto" else F.lit(language)
+    tongue = {"auto": detect_language, "segment": dominant_language}.get(language, lambda _: F.lit(language))(F.col(text))
     found = df.withColumns({"_language": tongue, "_islands": F.regexp_extract_all(text, F.lit(ISLAND), F.lit(0)), "_gaps": F.split(text, ISLAND, -1)})
     last = F.when(F.element_at("_gaps", -1) == "", F.size("_islands")).otherwise(0)
     return found.withColumn("_clean", F.transform("_islands", lambda x, i: F.concat(clean_spacing(x), F.when(i + 1 == last, "\n").otherwise(""))))

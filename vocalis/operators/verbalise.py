@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import words as N
 from vocalis.functions.text import abbreviations, clean_spacing, detect_language, valid_date
 from vocalis.kernel import english, readers, russian
+from vocalis.kernel.text import CYRILLIC, LATIN
 from vocalis.operators.lexemes import MATRIX, island_id, lexemes, linked, pieces
 
 LIMIT = 999_999_999
@@ -51,7 +52,18 @@ def _yes(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def numbers(links: DataFrame) -> DataFrame:
+def _tongue(mode: str) -> Column:
+    """The language a number is read in: the text's; by segments, that of the word right after it, if that is of one
+    script. Dollars are English, dotted dates Russian, and shares the text's."""
+    if mode != "segment":
+        return _c("language")
+    cyrillic, latin = _like("lex_r1", f"[{CYRILLIC}]"), _like("lex_r1", f"[{LATIN}]")
+    beside = F.when(_is("kind_r1", "w", "t") & (cyrillic != latin), F.when(cyrillic, "russian").otherwise("english")).otherwise(_c("language"))
+    dollar = _no("gap") & _is("lex_l1", "$")
+    return F.when(_c("kind") != "n", _c("language")).when(dollar, "english").when(_c("lex").rlike(DOTTED), "russian").when(_is("lex_r1", "%"), _c("language")).otherwise(beside)
+
+
+def numbers(links: DataFrame, mode: str) -> DataFrame:
     """Lexemes with their neighbours (l1, l2 before; r1, r2, r3 behind), and of numbers the sign, value and whether they
     are candidates: not what is glued to a word, or follows another number's connector."""
     order = W.partitionBy("id").orderBy("pos")
@@ -59,11 +71,12 @@ def numbers(links: DataFrame) -> DataFrame:
     around = {f"{c}_l{n}": F.lag(c, n).over(order) for n in (1, 2) for c in ("kind", "lex", "gap")}
     around |= {f"{c}_r{n}": F.lead(c, n).over(order) for n in (1, 2, 3) for c in ("kind", "lex", "gap", *ends)}
     rows = links.withColumns(around)
+    rows = rows.withColumn("tongue", _tongue(mode))
     glued = _no("gap") & _is("kind_l1", "w", "t", "n", "h")
     behind = _no("gap") & _is("kind_l1", "p", "c", "s") & _no("gap_l1") & _is("kind_l2", "n")
     alone = F.coalesce(_c("gap_l1"), F.lit(True)) | ~_is("kind_l2", "w", "t", "n", "h")
     sign = F.when(_no("gap") & _is("lex_l1", "-", "+", "−") & alone, _c("lex_l1")).otherwise("")
-    of = lambda f: F.when(_c("language") == "russian", f(RU_VALUE)).otherwise(f(EN_VALUE))
+    of = lambda f: F.when(_c("tongue") == "russian", f(RU_VALUE)).otherwise(f(EN_VALUE))
     whole = F.regexp_replace(of(lambda p: F.regexp_extract("lex", p, 1)), "[, ]", "")
     rows = rows.withColumns({"candidate": (_c("kind") == "n") & ~glued & ~behind, "sign": sign, "whole": whole, "fraction": of(lambda p: F.regexp_extract("lex", p, 2)), "valued": of(lambda p: _c("lex").rlike(p))})
     n = F.coalesce(_c("whole").try_cast("bigint"), F.lit(-1))
@@ -118,7 +131,8 @@ def english_forms() -> Column:
         _form("measure", _is("lex_r1", *EN_UNITS) & _c("valued"), before, here + 1, "typed", "r1"),
         _form("number", ~_c("whole_only") & _c("valued"), before, here, "plain"),
         _form("year", four & _yes("gap") & _like("lex_l1", "(?i)^(in|from)$") & _c("n").between(1000, 2099), here, here, "plain"),
-        _form("kept", stem | _like("lex_r1", CURRENCY), before, here + 1, "plain", "r1"),
+        _form("kept", stem, before, here + 1, "typed", "r1"),
+        _form("kept", _like("lex_r1", CURRENCY), before, here + 1, "plain", "r1"),
         _form("number", _c("valued"), before, here, "plain"),
         _form("kept", F.lit(True), before, here, "plain"),
     )
@@ -185,6 +199,7 @@ def russian_forms() -> Column:
         _form("roubles", _is("lex_r1", *ROUBLES), before, here + 1, "typed", "r1"),
         _form("clock", _like("lex", CLOCK), before, here, "plain"),
         _form("measure", _is("lex_r1", *RU_UNITS) & valued & (_c("whole_only") | thirds), before, here + 1, "typed", "r1"),
+        _form("kept", _is("lex_r1", *EN_UNITS) & valued & (_c("typed_end_r1") > here + 1), before, here + 1, "typed", "r1"),
         _form("until", ~_c("whole_only") & thirds & _after("до"), before, here, "plain"),
         _form("decimal", ~_c("whole_only") & thirds, before, here, "plain"),
         _form("kept", _c("bare") & _after("[Пп]осле|[Ии]з") & (_c("counted_end") > here), before, here, "counted"),
@@ -242,32 +257,37 @@ def russian_words() -> dict[str, Column]:
 FORMS = {"english": (english_forms, english_words), "russian": (russian_forms, russian_words)}
 
 
-def chosen_forms(islands: DataFrame, language: str) -> DataFrame:
-    """(id, language, island), ids distinct -> lexeme rows of one language with first, last (the span of the form chosen
-    there, as pos) and said (null: the surface stays); nulls where no span begins with a number.
+def chosen_forms(islands: DataFrame, mode: str) -> DataFrame:
+    """(id, language, island), ids distinct -> lexeme rows with first, last (the span of the form chosen there, as pos) and
+    said (null: the surface stays); nulls where no span begins with a number. mode: a language, whose islands alone are
+    read, or segment: each number in its own.
 
     Every number proposes its first form in rank; a span that begins inside of an earlier one is dropped.
     """
-    forms, words = FORMS[language]
-    rows = numbers(linked(lexemes(islands.where(F.col("language") == language))))
-    proposed = rows.withColumn("_form", F.when(_c("candidate"), forms()))
+    some = islands if mode == "segment" else islands.where(F.col("language") == mode)
+    rows = numbers(linked(lexemes(some)), mode)
+    form = F.when(_c("tongue") == "russian", russian_forms()).otherwise(english_forms()) if mode == "segment" else FORMS[mode][0]()
+    proposed = rows.withColumn("_form", F.when(_c("candidate"), form))
     order = W.partitionBy("id").orderBy("_form.first", "pos")
     reach = F.max("_form.last").over(order.rowsBetween(W.unboundedPreceding, -1))
     free = F.coalesce(reach < _c("_form.first"), _c("_form").isNotNull())
     one = proposed.withColumn("_free", free).withColumn("_form", F.when(_c("_free"), _c("_form"))).withColumns({"name": _c("_form.name"), "first": _c("_form.first"), "last": _c("_form.last")})
-    said = F.lit(None).cast("string")
-    for names, column in words().items():
-        said = F.when(_c("name").isin(*names.split()), column).otherwise(said)
-    spoken = worded(one, language).withColumn("said", F.when(~_c("_form.goes_on"), said))
-    early = F.when(_c("candidate") & _c("bare") & (_c("counted_end") > _c("pos")) & _after("[Пп]осле|[Ии]з"), F.struct(_c("before").alias("first"), _c("counted_end").alias("last"))) if language == "russian" else F.lit(None).cast("struct<first: int, last: int>")
-    return spoken.select("id", "pos", "lex", "gap", "begin", "end", "name", "first", "last", "said", early.alias("early"))
-
-
-def spoken_islands(islands: DataFrame, languages: tuple[str, ...] = ("english", "russian")) -> DataFrame:
+    out = []
+    for language in FORMS if mode == "segment" else (mode,):
+        said = F.lit(None).cast("string")
+        for names, column in FORMS[language][1]().items():
+            said = F.when(_c("name").isin(*names.split()), column).otherwise(said)
+        spoken = worded(one.where(_c("tongue") == language), language).withColumn("said", F.when(~_c("_form.goes_on"), said))
+        early = F.when(_c("candidate") & _c("bare") & (_c("counted_end") > _c("pos")) & _after("[Пп]осле|[Ии]з"), F.struct(_c("before").alias("first"), _c("counted_end").alias("last"))) if language == "russian" else F.lit(None).cast("struct<first: int, last: int>")
+        out.append(spoken.select("id", "pos", "lex", "gap", "begin", "end", "name", "first", "last", "said", early.alias("early")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def spoken_islands(islands: DataFrame, modes: tuple[str, ...] = ("english", "russian")) -> DataFrame:
     """(id, language, island), ids distinct -> id, spoken (the island read aloud), kept (begin, end of the surfaces that
     stay, in code points of the island), early (the same of compound numbers after a word that asks for a case, whatever
     is chosen there)."""
-    chosen = reduce(DataFrame.unionByName, [chosen_forms(islands, language) for language in languages])
+    chosen = reduce(DataFrame.unionByName, [chosen_forms(islands, mode) for mode in modes])
     chosen = chosen.withColumn("raw", F.concat(F.when(_c("gap"), " ").otherwise(""), "lex"))
     listed = chosen.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "raw", "gap", "begin", "end"))).alias("lex"), F.sort_array(F.collect_list(F.struct("first", "last", "said"))).alias("all"), F.sort_array(F.collect_list("early")).alias("early"))
     spans = listed.withColumn("spans", F.filter("all", lambda s: s["first"].isNotNull()))
@@ -294,10 +314,10 @@ def _read_aloud(text: Column, language: Column) -> Column:
 def read_parts(given: DataFrame, language: str) -> DataFrame:
     """(_keep, _text) -> one row for each gap and island of a text: _keep, _text's _row, _language, _pos, gap, island, and
     what spoken_islands() says of the island. Distinct islands are read once, whatever the number of texts that hold them."""
-    languages = ("english", "russian") if language == "auto" else (language,)
+    modes = ("english", "russian") if language == "auto" else (language,)
     cut = pieces(given, "_text", language)
     one = cut.select(_c("_language").alias("language"), F.explode("_clean").alias("island")).select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
-    read = spoken_islands(one.dropDuplicates(["id"]), languages)
+    read = spoken_islands(one.dropDuplicates(["id"]), modes)
     zipped = F.arrays_zip(_c("_gaps").alias("gap"), _c("_islands").alias("island"), _c("_clean").alias("clean"))
     rows = cut.select("_keep", "_language", F.monotonically_increasing_id().alias("_row"), zipped.alias("_parts"))
     each = rows.select("_keep", "_language", "_row", F.posexplode("_parts").alias("_pos", "_part"))
@@ -308,7 +328,8 @@ def read_parts(given: DataFrame, language: str) -> DataFrame:
 def verbalise(df: DataFrame, keep: list[str], text: str = "text", language: str = "auto") -> DataFrame:
     """The columns kept, and normalized_text.
 
-    language: english, russian, or auto (Russian where a text has a Cyrillic letter). A null text gives null, an empty one
+    language: english, russian, auto (Russian where a text has a Cyrillic letter), or segment (in texts with a Cyrillic
+    letter, each number in the language of the word after it, else in the more frequent script's). A null text gives null, an empty one
     is empty; repeated rows stay, and any names of columns may be kept but normalized_text. Texts without a digit are a
     projection; only those with one are put together by row.
     """
@@ -316,7 +337,7 @@ def verbalise(df: DataFrame, keep: list[str], text: str = "text", language: str
         raise ValueError("normalized_text is a column already")
     given = df.select(F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
     numbered = F.coalesce(_c("_text").rlike("[0-9]"), F.lit(False))
-    tongue = detect_language(_c("_text")) if language == "auto" else F.lit(language)
+    tongue = F.lit(language) if language in FORMS else detect_language(_c("_text"))
     whole = given.where(~numbered).select("_keep.*", clean_spacing(_read_aloud(clean_spacing(_c("_text")), tongue)).alias("normalized_text"))
     parts = read_parts(given.where(numbered), language)
     listed = parts.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("_language").alias("_language"), F.sort_array(F.collect_list(F.struct("_pos", "gap", F.coalesce("spoken", F.lit("")).alias("spoken")))).alias("_all"))

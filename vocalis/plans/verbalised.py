@@ -70,7 +70,8 @@ def english_sql(table: str, key: str, text: str = "text") -> str:
         ("measure", f"{_UNITS} IS NOT NULL AND valued", "front", "pos + 1", "r1t"),
         ("number", "fraction <> '' AND valued", "front", "pos", "e_plain"),
         ("year", f"{four} AND g AND lower(l1) IN ('in', 'from') AND n BETWEEN 1000 AND 2099", "pos", "pos", "e_plain"),
-        ("kept", f"({_STEMS}) OR {money('r1')}", "front", "pos + 1", "r1p"),
+        ("kept", _STEMS, "front", "pos + 1", "r1t"),
+        ("kept", money("r1"), "front", "pos + 1", "r1p"),
         ("number", "valued", "front", "pos", "e_plain"),
         ("kept", "true", "front", "pos", "e_plain"),
     ]
@@ -193,3 +194,17 @@ def diagnostics_documents(df):
     from vocalis.operators.diagnostics import diagnostics
 
     return diagnostics(df, ["doc_id"]).select("doc_id", "code", "offset", "length")
+
+
+_MIXED = [
+    (f"'Use ' || cast({_N} as string) || ' кг и ' || cast({_Q} as string) || ' boxes now'", f"'Use ' || {S.ru_counted(_N, ('килограмм', 'килограмма', 'килограммов'))} || ' и ' || {S.en(_Q)} || ' boxes now'"),
+    (f"'Цена $' || cast({_N} as string) || ' за ' || cast({_N} as string) || ' km там'", f"'Цена ' || {S.en_counted(_N, 'dollar')} || ' за ' || {S.en_counted(_N, 'kilometer')} || ' там'"),
+    (f"'Привет ' || cast({_N} as string) || ' kg /' || cast({_Q} as string)", f"'Привет ' || {_N} || ' kg /' || {_Q}"),
+    (f"'Отчёт report ' || cast({_N} as string) || '% и ' || cast({_N} as string) || '. Да'", f"'Отчёт report ' || {S.ru_counted(_N, russian.PERCENT)} || ' и ' || {S.ru(_N)} || '. Да'"),
+]
+
+
+@query("orders", f"SELECT o_orderkey, {_cases(_MIXED, 0)} AS written, {_cases(_MIXED, 1)} AS normalized_text FROM orders")
+def verbalized_contexts_mixed(df):
+    """Sentences in both scripts, each number in the language of the word after it."""
+    return V.verbalise(df.select("o_orderkey", F.expr(_spark(_cases(_MIXED, 0))).alias("written")), ["o_orderkey", "written"], "written", "segment")
