@@ -106,10 +106,11 @@ def byte_offset(text: Column, index: Column) -> Column:
     return F.octet_length(F.substring(text, F.lit(1), index))
 
 
-def ngrams(word: Column, least: int, most: int) -> Column:
+def ngrams(word: Column, least: int | Column, most: int | Column) -> Column:
     """All substrings of the word between < and >, of each length."""
     framed = F.concat(F.lit("<"), word, F.lit(">"))
-    return F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.when(F.length(framed) >= n, F.transform(F.sequence(F.lit(1), F.length(framed) - n + 1), lambda i: F.substring(framed, i, n))).otherwise(F.array().cast("array<string>"))))
+    bound = lambda n: F.lit(n) if isinstance(n, int) else n
+    return F.flatten(F.transform(F.sequence(bound(least), bound(most)), lambda n: F.when(F.length(framed) >= n, F.transform(F.sequence(F.lit(1), F.length(framed) - n + 1), lambda i: F.substring(framed, i, n))).otherwise(F.array().cast("array<string>"))))
 
 
 def softmax(x: Column) -> Column:
