@@ -25,7 +25,8 @@ def warning_counts(texts: DataFrame, ts: str, window: str = "5 minutes", late: s
 def distinct_warnings(texts: DataFrame, ts: str, *key: str, late: str = "10 minutes", text: str = "text", options: Options = Options()) -> DataFrame:
     """(key, ts, code, offset, length): each diagnostic of a text once, however often the text is sent within the watermark.
 
-    The state is one row for each diagnostic seen within the watermark; rows later than it are dropped.
+    The state is one row for each diagnostic seen within the watermark; rows later than it are dropped. Texts
+    without a diagnostic do not move the watermark, as Spark filters them before it.
     """
     each = normalize_stream(texts.withWatermark(ts, late), text, options).select(*key, ts, F.explode("warnings").alias("w"))
     return each.select(*key, ts, "w.code", "w.offset", "w.length").dropDuplicatesWithinWatermark([*key, "code", "offset", "length"])
