@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from vocalis.kernel.frontend import Options, process
+from vocalis.kernel.frontend import Entry, Options, process
 
 RU, EN, AUTO, SEGMENT = Options(language="russian"), Options(language="english"), Options(), Options(mixed="segment")
 
@@ -55,6 +55,18 @@ def test_time_grows_with_the_text(piece, options):
     assert took[1] <= 24 * took[0]
 
 
+@pytest.mark.parametrize("piece", ["C# ", "a@b.co ", "the cat ", "the C++ ", "HTTP/2 the "])
+def test_time_grows_with_text_without_numbers(piece):
+    """Technical spans, dictionary words and readings, and one number at the end."""
+    options = Options(entries=(Entry("the", "thee"),))
+    took = []
+    for n in (1000, 8000):
+        text = piece * n + "7"
+        process(text, options)
+        took.append(min(_timed(text, options) for _ in range(2)))
+    assert took[1] <= 24 * took[0]
+
+
 def _timed(text, options):
     start = time.perf_counter()
     process(text, options)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 from vocalis.kernel import english, readers, russian, technical
 from vocalis.kernel.stress import VOWELS
@@ -90,6 +91,27 @@ def _beside(text: str, end: int, default: str) -> str:
     return "russian" if HAS_CYRILLIC.search(m[0]) else "english"
 
 
+def _reach(text: str) -> tuple[int, int] | None:
+    """Where the first word of a text begins and the last one ends."""
+    first = last = WORD.search(text)
+    for last in WORD.finditer(text):
+        pass
+    return (first.start(), last.end()) if first else None
+
+
+class Cover:
+    """Spans that others may overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def meets(self, begin: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > begin
+
+
 class Reading:
     """One pass over a cleaned text: pieces of output, and the spans that stayed."""
 
@@ -137,12 +159,14 @@ class Reading:
 
     def _read(self) -> None:
         text, at = self.text, 0
+        begin = -1  # the next number, looked for again only once it is passed
         for a, b, spoken in [*self._fixed(), (len(text), len(text), None)]:
             while at < a:
-                m = readers.START.search(text, at)
-                if not m or m.start() >= a:
+                if begin < at:
+                    m = readers.START.search(text, at)
+                    begin = m.start() if m else len(text)
+                if begin >= a:
                     break
-                begin = m.start()
                 if self.language == "russian" and not self.segments and text[begin] == "$":
                     begin += 1  # the sign is no Russian currency; the number is read alone
                 self._copy(at, begin)
@@ -325,12 +349,13 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
         elif options.initialisms and language == "russian" and word in russian.INITIALISMS:
             edits.append((a, b, russian.INITIALISMS[word], "initialism", None))
         k += 1
-    taken = [(a, b) for a, b, *_ in edits]
+    taken = Cover([(a, b) for a, b, *_ in edits])
     if options.use_dictionary and technical.READABLE.search(text):
-        closed = [(a, b) for kind, a, b in technical.by_class(text) if kind in ("url", "email")]
+        closed = Cover([(a, b) for kind, a, b in technical.by_class(text) if kind in ("url", "email")])
+        cyrillic, letters = HAS_CYRILLIC.search(text) is not None, _reach(text)
         for m in technical.READABLE.finditer(text):
             a, b = m.span()
-            if any(x < b and a < y for x, y in taken) or any(x < b and a < y for x, y in closed):
+            if taken.meets(a, b) or closed.meets(a, b):
                 continue
             # a technical token's own entry, or else a phrase's, goes before its reading
             if best := found_word(m[0]) or whole.get(m[0]):
@@ -341,7 +366,7 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
             tongue = language if not auto else None if both and options.mixed == "dominant" else language
             if auto and options.mixed == "segment":
                 tongue = _owner(text, a, b) or options.fallback
-            elif auto and not HAS_CYRILLIC.search(text) and not WORD.search(text[:a] + text[b:]):
+            elif auto and not cyrillic and not (letters and (letters[0] < a or letters[1] > b)):
                 tongue = options.fallback
             if tongue and (reading := READINGS[tongue].get(m[0])):
                 edits.append((a, b, reading, "technical", None))
@@ -362,12 +387,15 @@ def _pronounce(out: Result, options: Options, language: str, auto: bool, both: b
         at = offset.start
         out.words = [(word := text[a:b], word, at[a], None, None, False, False) for a, b in spans]
         return applied
+    order: dict[int, int] = {}
+    for n, r in enumerate(out.replacements):
+        order.setdefault(r[2], n)
     for a, b in spans:
         i = bisect_right(starts, a) - 1
         inside = edits[i] if i >= 0 and a < edits[i][1] else None
         entry = inside[4] if inside else None
         said = text[a:b] if not inside else inside[2] if inside[0] == a else ""
-        number = next((n for n, r in enumerate(out.replacements) if entry and r[2] == offset.start[inside[0]]), None)
+        number = order.get(offset.start[inside[0]]) if entry else None
         stressed = entry.stressed_vowel if entry and options.resolve_stress and options.stress != "disabled" else None
         out.words.append((text[a:b], said, offset.start[a], number, stressed, entry is not None, inside is not None and entry is None))
         if stressed is not None or options.diagnostics:
