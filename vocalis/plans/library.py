@@ -287,16 +287,36 @@ _PHRASES = [e for e in ENTRIES if e.match == "phrase"]
 _GRAMS = " UNION ALL ".join(f"SELECT a.doc_id, a.b, t{n - 1}.e, '{e.pattern}' AS phrase, '{e.pronunciation}' AS pronunciation FROM k a " + " ".join(f"JOIN k t{j} ON t{j}.doc_id = a.doc_id AND t{j}.pos = a.pos + {j} AND t{j}.hit = '{w}' AND t{j}.gap = ' '" for j, w in enumerate(e.pattern.split()) if j) + f" WHERE a.hit = '{e.pattern.split()[0]}'" for e in _PHRASES for n in [len(e.pattern.split())])
 
 
-@query("documents", f"""WITH RECURSIVE k AS (SELECT doc_id, pos, b, e, hit, gap FROM (SELECT doc_id, pos, b, e, hit, gaps[pos + 1] AS gap FROM {_places('documents', 'doc_id', _TOKEN_SQL).replace('hits[i] AS hit', 'hits[i] AS hit, gaps')})),
+_PHRASE_SQL = f"""WITH RECURSIVE k AS (SELECT doc_id, pos, b, e, hit, gap FROM (SELECT doc_id, pos, b, e, hit, gaps[pos + 1] AS gap FROM {_places('documents', 'doc_id', _TOKEN_SQL).replace('hits[i] AS hit', 'hits[i] AS hit, gaps')})),
  h AS (SELECT doc_id, b, max(e) AS e, arg_max(phrase, e) AS phrase, arg_max(pronunciation, e) AS pronunciation FROM ({_GRAMS}) GROUP BY 1, 2),
  c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS i FROM h),
  g AS (SELECT c.*, true AS taken, c.e AS reach FROM c WHERE i = 1 UNION ALL
-   SELECT c.*, c.b >= g.reach, CASE WHEN c.b >= g.reach THEN c.e ELSE g.reach END FROM g JOIN c ON c.doc_id = g.doc_id AND c.i = g.i + 1)
- SELECT doc_id, b::BIGINT AS "begin", e::BIGINT AS "end", phrase, pronunciation FROM g WHERE taken""")
+   SELECT c.*, c.b >= g.reach, CASE WHEN c.b >= g.reach THEN c.e ELSE g.reach END FROM g JOIN c ON c.doc_id = g.doc_id AND c.i = g.i + 1)"""
+
+
+@query("documents", _PHRASE_SQL + """ SELECT doc_id, b::BIGINT AS "begin", e::BIGINT AS "end", phrase, pronunciation FROM g WHERE taken""")
 def dictionary_phrase_join(df):
     return dictionary.match_phrases(df, files.frame(df.sparkSession, ENTRIES), "doc_id")
 
 
+_TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE text IS NOT NULL)"
+
+
+@query("conversations", _PHRASE_SQL.replace("FROM documents", f"FROM {_TURNS}") + f""", z AS (SELECT doc_id, pos, gap, hit, b, e FROM k),
+ c2 AS (SELECT z.doc_id, z.pos, z.gap, z.hit, h.b AS hb, h.pronunciation FROM z LEFT JOIN (SELECT * FROM g WHERE taken) h ON h.doc_id = z.doc_id AND h.b <= z.b AND z.e <= h.e),
+ o AS (SELECT token, min(ord) AS ord FROM (SELECT DISTINCT hit AS token FROM z) JOIN {_DICT} ON match = 'exact' AND token = pattern OR match = 'folded' AND translate(token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = lower(pattern) GROUP BY 1),
+ w AS (SELECT doc_id, pos, CASE WHEN hb IS NOT NULL AND lag(hb) OVER (PARTITION BY doc_id ORDER BY pos) IS NOT DISTINCT FROM hb THEN '' WHEN hb IS NOT NULL THEN gap || c2.pronunciation ELSE gap || coalesce(q.pronunciation, hit) END AS said FROM c2 LEFT JOIN o ON o.token = hit LEFT JOIN {_DICT.replace(' AS d(', ' AS q(')} USING (ord)),
+ r AS (SELECT doc_id, regexp_split_to_array(text, '{_TOKEN_SQL}')[-1] AS tail FROM {_TURNS} x)
+ SELECT (doc_id // 1000)::BIGINT AS conv_id, (doc_id % 1000)::INT AS turn, coalesce(string_agg(said, '' ORDER BY pos), '') || any_value(tail) AS pronunciation_text FROM r LEFT JOIN w USING (doc_id) GROUP BY doc_id""")
+def pronounced_conversations(df):
+    """Turns with what a dictionary of words and phrases says in place of theirs."""
+    from vocalis.operators.pronounce import pronounce
+
+    keyed = df.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
+    out = pronounce(keyed, files.frame(df.sparkSession, ENTRIES), "k")
+    return out.select(F.expr("k div 1000").alias("conv_id"), (F.col("k") % 1000).cast("int").alias("turn"), "pronunciation_text")
+
+
 @query("orders", "SELECT o_orderkey, [" + ",".join(f"'{k}'" for k in russian.INITIALISMS) + ",'ЦБ'][o_orderkey % 8 + 1] AS token, [" + ",".join(f"'{v}'" for v in russian.INITIALISMS.values()) + ", NULL][o_orderkey % 8 + 1] AS spoken, ['C plus plus', NULL][o_orderkey % 2 + 1] AS reading FROM orders")
 def readings(df):
     k = F.col("o_orderkey")
