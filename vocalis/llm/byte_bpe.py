@@ -12,6 +12,7 @@ import base64
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -32,17 +33,17 @@ LONG = 64
 PAIR = "(1::BIGINT << 32)"
 
 _O = "WINDOW o AS (PARTITION BY w ORDER BY pos)"
-#: A round contracts, in each word, the leftmost pair of least rank (m: the rank of a token with the one after it).
+#: A round spreads each word into rows of a token, the one after it and their place (from 0), joins them to the merge
+#: table and contracts the word's leftmost pair of least rank; a word is done when none of its pairs is there. Words that
+#: are tokens themselves never get here, so two tokens are always left.
 ENCODE = f"""
 WITH RECURSIVE t AS (
-  SELECT w, pos, tok, m, min(m * {LONG} + pos) OVER (PARTITION BY w) AS best FROM
-    (SELECT w, pos, tok, lead(tok) OVER o AS following FROM pieces {_O}) p LEFT JOIN merges ON pair = tok * {PAIR} + following
+  SELECT w, list(tok ORDER BY pos) AS toks, 0::BIGINT AS best FROM pieces GROUP BY w
   UNION ALL
-  SELECT w, pos, tok, m, min(m * {LONG} + pos) OVER (PARTITION BY w) AS best FROM (
-    SELECT w, pos, tok, lag(take, 1, false) OVER o AS gone, CASE WHEN take THEN lead(tok, 2) OVER o ELSE lead(tok) OVER o END AS following FROM (
-      SELECT w, pos, best % {LONG} = pos AS take, CASE WHEN best % {LONG} = pos THEN m ELSE tok END AS tok FROM t WHERE best IS NOT NULL) {_O}) p
-  LEFT JOIN merges ON pair = tok * {PAIR} + following WHERE NOT gone)
-SELECT w, list(tok ORDER BY pos) AS toks FROM t WHERE best IS NULL GROUP BY w
+  SELECT w, CASE WHEN best IS NULL THEN toks ELSE toks[:best % {LONG}] || [(best // {LONG})::INT] || toks[best % {LONG} + 3:] END, best FROM (
+    SELECT w, any_value(toks) AS toks, min(m * {LONG} + z[1]) AS best
+    FROM (SELECT w, toks, unnest(list_zip(range(len(toks) - 1), toks[:-2], toks[2:])) AS z FROM t WHERE best IS NOT NULL) LEFT JOIN merges ON pair = z[2] * {PAIR} + z[3] GROUP BY w))
+SELECT w, toks FROM t WHERE best IS NULL
 """
 #: The same for long words. Where no pair with the new token can rank below that token itself (it is steady), the next
 #: pairs of the same rank come next anyway, every other one of a run of overlapping ones, and are contracted at once.
@@ -60,7 +61,7 @@ WITH RECURSIVE t AS (
         WINDOW before AS (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) {_O}) WHERE NOT gone)
 SELECT w, list(tok ORDER BY pos) AS toks FROM t WHERE done GROUP BY w
 """
-DECODE = "SELECT r, unhex(string_agg(v.hex, '' ORDER BY pos)) AS data, bool_and(v.id IS NOT NULL) AS known FROM ids LEFT JOIN vocabulary v USING (id) GROUP BY r"
+DECODE = "SELECT r, unhex(string_agg(v.hex, '' ORDER BY pos)) AS data, count(v.id) = count(*) AS known FROM ids LEFT JOIN vocabulary v USING (id) GROUP BY r"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,7 +133,7 @@ class Codec:
         self._learn(list(words - known))
 
     def _ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.memory.__getitem__, words))
+        return b"".join(itemgetter(*words)(self.memory)) if len(words) > 1 else b"".join(map(self.memory.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none. Small texts are cut together, a long one block by block."""
