@@ -179,6 +179,22 @@ def dominant_language(df):
 _TOKEN_SQL = "(?:[\\x{0400}-\\x{052F}A-Za-z\\x{00C0}-\\x{024F}+#_]|[0-9]+(?:\\.[0-9]+)*)+"
 
 
+_BOTH = "translate(text, 'aeinrstAEINRST', 'аеинрстАЕИНРСТ')"
+
+
+def _stripped(text: str) -> str:
+    for pattern in technical.CLASSES.values():
+        text = f"regexp_replace({text}, '{pattern.replace(chr(92) + 'u0080-' + chr(92) + 'uffff', chr(92) + 'x{0080}-' + chr(92) + 'x{FFFF}')}', ' ', 'g')"
+    return text
+
+
+@query("documents", f"""SELECT doc_id, CASE WHEN c > 0 AND c >= l THEN 'russian' ELSE 'english' END AS dominant FROM (SELECT doc_id, length(regexp_replace(t, '[^\\x{{0400}}-\\x{{052F}}]', '', 'g')) AS c,
+ length(regexp_replace(t, '[^A-Za-z\\x{{00C0}}-\\x{{024F}}]', '', 'g')) AS l FROM (SELECT doc_id, {_stripped(_BOTH)} AS t FROM documents))""")
+def dominant_script(df):
+    """Documents with about half of their letters put into Cyrillic, by the script that most letters outside of technical spans have."""
+    return df.select("doc_id", T.dominant_language(F.expr(_BOTH)).alias("dominant"))
+
+
 @query("conversations", f"SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '{_TOKEN_SQL}')) AS token FROM conversations) GROUP BY 1")
 def token_frequency(df):
     return df.select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
