@@ -23,7 +23,6 @@ RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 LEAST_LENGTH, LEAST_COUNT, FACTOR = 5, 3, 2
 #: Deletions of words up to this length are the keys themselves; those of longer ones are hashed, and pairs verified.
 LONG = 64
-_NEAR = "word string, n_near long, near struct<rank: long, word: string>"
 
 
 def lower_ascii(run: Column) -> Column:
