@@ -34,11 +34,11 @@ TECHNICAL = (
     "C#",
 )
 #: Abbreviations that own their point.
-POINTED = ("руб.", "г.")
-LEXER = f" ?(?:{'|'.join(TECHNICAL)}|{NUMERAL}|руб\\.|г\\.|[{LETTERS}]+|[^ ])"
+POINTED = "руб\\.|г\\."
+LEXER = f" ?(?:{'|'.join(TECHNICAL)}|{NUMERAL}|{POINTED}|[{LETTERS}]+|[^ ])"
 ADDRESS = "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"
 #: Kinds of lexemes: number, word, technical, hash (# with a number), end, others; and connectors: point, compound, sign.
-KINDS = {"n": "^[0-9]", "p": "^[.,:]$", "c": "^[/#$%=*]$", "s": "^[-+‐-―−]$", "h": "^#[0-9]", "e": "^\\n", "w": f"^(?:[{LETTERS}]+|руб\\.|г\\.)$", "t": "^..|^[A-Za-z]"}
+KINDS = {"n": "^[0-9]", "p": "^[.,:]$", "c": "^[/#$%=*]$", "s": "^[-+‐-―−]$", "h": "^#[0-9]", "e": "^\\n", "w": f"^(?:[{LETTERS}]+|{POINTED})$", "t": "^..|^[A-Za-z]"}
 #: The connector matrix: the connectors over which a surface of a kind goes on even where spaces stand around them and a
 #: number follows. Plain numbers; typed ones (with a unit or currency); money, whose own sign begins another amount; and
 #: counted ones (after a word that asks for a case, or with a mark on their digits). Glued connectors bind all kinds.

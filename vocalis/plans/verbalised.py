@@ -122,7 +122,6 @@ def verbalized_documents(df):
 
 _K, _BIG = "o_orderkey", "(o_orderkey * 7919 % 900000 + 100000)"
 _GROUP = f"cast({_BIG} // 1000 as string) || '{{}}' || lpad(cast({_BIG} % 1000 as string), 3, '0')"
-_PRICE = "(cast(o_totalprice * 100 as bigint))"
 
 
 def _cases(rows: list[tuple[str, str]], which: int) -> str:
