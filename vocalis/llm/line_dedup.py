@@ -1,15 +1,17 @@
 """Operator 10: line deduplication by range-partitioned hashes and keep bitmaps. DataFrame functions only.
 
-Line keys become 128-bit hashes; the (key, document, position) rows are range-partitioned and sorted by key, then by
-document from the largest down, so a key that fills a third of the rows spreads over many partitions. Each partition
-streams its runs of a key and document into bitmap words; counts and the first occurrence (the largest document) come
-from partial sums. What leaves is a bitmap of kept lines for each document that loses any, compressed by leaving out
-words without a dropped line; text is only read again where the bitmap is applied.
+Line keys become 128-bit hashes; the (key, document, position) rows are range-partitioned by key and document, so a key
+that fills a third of the rows spreads over many partitions, and sorted there by key, document, position. A window streams
+over that order and marks the first line of each run of a key and document, which is what documents are counted by; runs
+fold into bitmap words in the same partitions. The largest document of a key comes from partial maxima. What leaves is a
+bitmap of kept lines for each document that loses any, compressed by leaving out words without a dropped line; text is
+only read again where the bitmap is applied.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocalis.llm.common import caseless, fresh, need, without, written
@@ -36,10 +38,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     """
     need(docs, "doc_id", "text")
     rows = written(line_keys(docs, min_chars), "line-keys")
-    ranged = rows.repartitionByRange("h1", "h2", F.col("doc_id").desc_nulls_last()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
+    # the window's sort within each range is by key, document, position
+    run = W.partitionBy("h1", "h2", "doc_id").orderBy("pos", "th")
+    ranged = rows.repartitionByRange("h1", "h2", "doc_id").withColumn("first", (F.row_number().over(run) == 1).cast("long"))
     word = F.floor(F.col("pos") / 64).cast("int").alias("word")
-    folded = written(ranged.groupBy("h1", "h2", "doc_id", "th", word).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")), "line-runs")
-    keys = folded.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.max("doc_id").alias("keep"))
+    folded = written(ranged.groupBy("h1", "h2", "doc_id", "th", word).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.sum("first").alias("firsts")), "line-runs")
+    keys = folded.groupBy("h1", "h2").agg(F.sum("firsts").alias("n_docs"), F.count("*").alias("n"), F.max("doc_id").alias("keep"))
     keys = written(keys.where(F.col("n_docs") >= min_docs), "line-common")
     hot_from = max(min_docs, int(folded.count() * HOT_SHARE) + 1)
     hot = keys.where(F.col("n") >= hot_from).select("h1", "h2", F.col("keep").alias("hot_keep"), F.lit(True).alias("hot"))
@@ -61,15 +65,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     from it, which is always.
     """
     docs = without(docs, "n_lines", "n_dropped", "keep_words")
-    d, h, m = fresh(docs, "_d", "_h", "_m")
+    d, h = fresh(docs, "_d", "_h")
     drops = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("words").alias("keep_words"))
     out = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keep = f"filter(split(text, '\\n', -1), (x, i) -> (coalesce(try_element_at({m}, int(i div 64)), -1L) & shiftleft(1L, i % 64)) <> 0)"
+    # a lambda's argument is worked out once a row: all words of the bitmap, by which each line then finds its own at once
+    by_word = F.map_from_entries("keep_words")
+    bound = F.transform(F.array(F.struct(lines.alias("ls"), by_word.alias("m"))), lambda x: F.struct(x["ls"].alias("ls"), F.transform(F.sequence(F.lit(0), F.floor((F.size(x["ls"]) - 1) / 64).cast("int")), lambda w: F.coalesce(F.try_element_at(x["m"], w), F.lit(-1).cast("long"))).alias("ws")))
+    kept = F.transform(bound, lambda x: F.array_join(F.filter(x["ls"], lambda _, i: F.get(x["ws"], F.floor(i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) != 0), "\n"))
     return (
         out.withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.aggregate("keep_words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(F.bitwise_not(w["bits"]))), F.lit(0)).cast("long"))
-        .withColumn(m, F.map_from_entries("keep_words"))
-        .withColumn("text", F.when(F.col("keep_words").isNull(), F.col("text")).otherwise(F.array_join(F.expr(keep), "\n")))
-        .drop(d, h, m)
+        .withColumn("text", F.when(F.col("keep_words").isNull(), F.col("text")).otherwise(kept[0]))
+        .drop(d, h)
     )

@@ -14,7 +14,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalis.llm.line_dedup import dedup_lines
 
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    bitmap = F.array_join(F.transform("keep_words", lambda w: F.concat_ws(":", w["word"].cast("string"), w["bits"].cast("string"))), ",")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.coalesce(bitmap, F.lit("")).alias("keep_bitmap"))
 
 
 OP10_SQL = f"""
@@ -22,10 +23,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text,
 l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {A_Z}) AS key FROM l),
 c AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.r, k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.keep AS gone FROM k LEFT JOIN c USING (key))
+m AS (SELECT k.r, k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.keep AS gone FROM k LEFT JOIN c USING (key)),
+w AS (SELECT r, pos // 64 AS word, 18446744073709551615 - sum(CASE WHEN gone THEN 1::HUGEINT << (pos % 64)::INT ELSE 0 END) AS kept FROM m GROUP BY 1, 2 HAVING bool_or(gone)),
+b AS (SELECT r, string_agg(word || ':' || (CASE WHEN kept >= 9223372036854775808 THEN kept - 18446744073709551616 ELSE kept END), ',' ORDER BY word) AS bitmap FROM w GROUP BY r)
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY r
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256, coalesce(any_value(bitmap), '') AS keep_bitmap
+FROM m LEFT JOIN b USING (r) GROUP BY r
 """
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
