@@ -394,7 +394,7 @@ def test_distrust_flows_backwards(spark):
         now = {h: seeds.get(h, (0, 0))[way] // 2 for e in edges for h in e}
         for _ in range(200):
             out = {h: sum(1 for a, _ in links if a == h) for h in now}
-            now = {h: (50 * seeds.get(h, (0, 0))[way] + 50 * sum(now[a] * (1_000_000 // out[a]) // 1_000_000 for a, b in links if b == h)) // 100 for h in now}
+            now = {h: (15 * seeds.get(h, (0, 0))[way] + 85 * sum(now[a] * (1_000_000 // out[a]) // 1_000_000 for a, b in links if b == h)) // 100 for h in now}
         want[way] = now
     assert all(v == (want[0][h], want[1][h]) for h, v in scores.items())
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -73,10 +73,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    """Scores only rise and have come to rest long before 40 steps at the size that the SQL is run at."""
-    step = """s{k} AS (SELECT z.way, z.host, z.seed, (50 * z.seed + 50 * coalesce(g.given, 0)) // 100 AS score FROM z LEFT JOIN
+    """Scores only rise and have come to rest long before 100 steps at the size that the SQL is run at."""
+    step = """s{k} AS (SELECT z.way, z.host, z.seed, (15 * z.seed + 85 * coalesce(g.given, 0)) // 100 AS score FROM z LEFT JOIN
   (SELECT s.way, e.dst AS host, sum(s.score * e.share // 1000000)::BIGINT AS given FROM s{j} s JOIN e ON s.way = e.way AND s.host = e.src GROUP BY 1, 2) g ON z.way = g.way AND z.host = g.host)"""
-    steps = ",\n".join(step.format(k=k, j=k - 1) for k in range(1, 41))
+    steps = ",\n".join(step.format(k=k, j=k - 1) for k in range(1, 101))
     return f"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html,
   translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), {A_Z}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -94,10 +94,10 @@ e AS (SELECT way, src, dst, (weight * 1000000 // sum(weight) OVER (PARTITION BY
 c AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' GROUP BY 1),
 v AS (SELECT k.host, coalesce(good * 100000 // n, 0)::BIGINT AS trust, coalesce(bad * 100000 // n, 0)::BIGINT AS distrust FROM known k LEFT JOIN c USING (host)),
 z AS (SELECT host, 't' AS way, trust AS seed FROM v UNION ALL SELECT host, 'd', distrust FROM v),
-s0 AS (SELECT way, host, seed, 50 * seed // 100 AS score FROM z),
+s0 AS (SELECT way, host, seed, 15 * seed // 100 AS score FROM z),
 {steps},
-f AS (SELECT host, sum(score) FILTER (way = 't') AS t, sum(score) FILTER (way = 'd') AS d FROM s40 GROUP BY 1)
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d > t AND d >= 5000 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN f ON j.host = f.host
+f AS (SELECT host, sum(score) FILTER (way = 't') AS t, sum(score) FILTER (way = 'd') AS d FROM s100 GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d > t AND d >= 1500 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN f ON j.host = f.host
 """
 
 

@@ -17,9 +17,9 @@ from vocalis.llm.common import discard, need, written
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with its own.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Score of a host all of whose pages are seeds; per cent kept by seeds each step; parts of a host's outgoing weight.
-SEED, RESTART, PARTS = 100_000, 50, 1_000_000
-#: A host is blocked if its distrust exceeds its trust and reaches this.
-LEAST_DISTRUST = SEED // 20
+SEED, RESTART, PARTS = 100_000, 15, 1_000_000
+#: A host is blocked if its distrust exceeds its trust and reaches a tenth of what a host of blocked pages starts with.
+LEAST_DISTRUST = SEED * RESTART // 1000
 #: The host of a link with an address or none but a host, in quotes or bare.
 HREF = "(?i)\\bhref\\s*+=\\s*+[\"']?+\\s*+(?:[a-z][a-z0-9+.-]*+:)?//([^/?#\"'<>\\s]++)"
 
