@@ -338,7 +338,9 @@ def verbalise(df: DataFrame, keep: list[str], text: str = "text", language: str
     given = df.select(F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
     numbered = F.coalesce(_c("_text").rlike("[0-9]"), F.lit(False))
     tongue = F.lit(language) if language in FORMS else detect_language(_c("_text"))
-    whole = given.where(~numbered).select("_keep.*", clean_spacing(_read_aloud(clean_spacing(_c("_text")), tongue)).alias("normalized_text"))
+    plain = clean_spacing(_c("_text"))
+    spelled = F.when((tongue == "russian") & plain.rlike("т\\.[дп]\\."), clean_spacing(_read_aloud(plain, tongue))).otherwise(plain)
+    whole = given.where(~numbered).select("_keep.*", spelled.alias("normalized_text"))
     parts = read_parts(given.where(numbered), language)
     listed = parts.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("_language").alias("_language"), F.sort_array(F.collect_list(F.struct("_pos", "gap", F.coalesce("spoken", F.lit("")).alias("spoken")))).alias("_all"))
     joined = F.array_join(F.transform("_all", lambda p: F.concat(p["gap"], p["spoken"])), "")
