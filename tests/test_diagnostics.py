@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vocalis.operators import spans
-from vocalis.operators.diagnostics import COMPOUND, diagnostics, superseded
+from vocalis.operators.diagnostics import COMPOUND, diagnostics, original_bytes, superseded
 
 
 def found(spark, texts, language="auto"):
@@ -59,3 +59,10 @@ def test_interval_index_against_all_pairs(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert spans.containing(spark.createDataFrame(words, schema + ", i int"), spark.createDataFrame([], schema), "k").where(F.col("range_begin").isNotNull()).isEmpty()
+
+
+def test_places_in_long_islands(spark):
+    """A group counted by a greedy quantifier overflows Java's stack here."""
+    island = "ab  " * 50_000 + "9"
+    df = spark.createDataFrame([(" ".join(island.split()), island)], "clean string, island string")
+    assert df.select(original_bytes(F.col("clean"), F.col("island"), F.lit(150_001))).first()[0] == len(island)

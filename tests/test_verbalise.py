@@ -112,3 +112,16 @@ def test_islands_and_gaps_make_up_the_text(spark):
         assert "".join(parts) == row["text"]
         assert [x.endswith("\n") for x in row["_clean"]] == [i + 1 == len(row["_islands"]) and row["_gaps"][-1] == "" for i in range(len(row["_islands"]))]
     assert df.select(F.size(F.regexp_extract_all(F.lit("a b c d 5 e f g h i j 6 k"), F.lit(lexemes.ISLAND), F.lit(0)))).first()[0] == 2
+
+
+def test_parts_are_islands_with_their_gaps(spark):
+    """No row without an island, whose null key would bring one row of each text to one task; each text is cut once."""
+    texts = ["a b c d 5 e f g h i j 6 k", "5", "1 a 2 b c d e f 3 ", "x y z w 7 a b c d"]
+    got = lexemes.parts(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ["i"])
+    filters = [line for line in got.where("clean is not null")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("regexp_extract_all" in line for line in filters)
+    for i, text in enumerate(texts):
+        rows = got.where(F.col("i") == i).orderBy("_pos").collect()
+        assert "".join(r["gap"] + r["island"] + (r["tail"] or "") for r in rows) == text
+        assert [r["tail"] is not None for r in rows] == [False] * (len(rows) - 1) + [True]
+        assert [r["clean"].endswith("\n") for r in rows] == [r["tail"] == "" for r in rows]

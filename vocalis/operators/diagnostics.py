@@ -17,9 +17,10 @@ COMPOUND = "Unable to inflect a compound numeric surface"
 
 def original_bytes(clean: Column, island: Column, at: Column) -> Column:
     """Bytes of an island before the place that is code point at of its cleaned form: cleaning changes spaces only, so
-    it is found by the number of other characters before it."""
+    it is found by the number of other characters before it. The counted group is possessive: Java steps through it in a
+    loop, where others call themselves once a character and overflow the stack."""
     before = F.length(F.replace(F.substring(clean, F.lit(1), at), F.lit(" ")))
-    prefix = F.regexp_substr(island, F.concat(F.lit(f"^(?:[{_S}]*+[^{_S}]){{"), before.cast("string"), F.lit("}")))
+    prefix = F.regexp_substr(island, F.concat(F.lit(f"^(?:[{_S}]*+[^{_S}]){{"), before.cast("string"), F.lit("}+")))
     return F.octet_length(F.when(clean.startswith(island), F.substring(island, F.lit(1), at)).otherwise(prefix))
 
 

@@ -46,15 +46,34 @@ MATRIX = {"plain": "", "typed": "/#$%=*", "money": "/#%=*", "counted": "/#$%=*+-
 LEXICAL = ("n", "w", "t", "h")
 
 
+def _cut(df: DataFrame, text: str, language: str) -> DataFrame:
+    tongue = {"auto": detect_language, "segment": dominant_language}.get(language, lambda _: F.lit(language))(F.col(text))
+    return df.withColumns({"_language": tongue, "_islands": F.regexp_extract_all(text, F.lit(ISLAND), F.lit(0)), "_gaps": F.split(text, ISLAND, -1)})
+
+
 def pieces(df: DataFrame, text: str = "text", language: str = "auto") -> DataFrame:
     """df with _language, and _gaps, _islands and _clean (an island with its spacing cleaned; a line feed tells that the text
     ends there). gap, island, gap, ..., gap make up the text, so places in a piece are places in the text."""
-    tongue = {"auto": detect_language, "segment": dominant_language}.get(language, lambda _: F.lit(language))(F.col(text))
-    found = df.withColumns({"_language": tongue, "_islands": F.regexp_extract_all(text, F.lit(ISLAND), F.lit(0)), "_gaps": F.split(text, ISLAND, -1)})
+    found = _cut(df, text, language)
     last = F.when(F.element_at("_gaps", -1) == "", F.size("_islands")).otherwise(0)
     return found.withColumn("_clean", F.transform("_islands", lambda x, i: F.concat(clean_spacing(x), F.when(i + 1 == last, "\n").otherwise(""))))
 
 
+def parts(df: DataFrame, keep: list[str], text: str = "text", language: str = "auto") -> DataFrame:
+    """The same as rows: the columns kept, _language, _row (of a text), _pos, gap, island, clean, and tail, what stands behind
+    the last island (else null).
+
+    The arrays are exploded as they are cut, and islands are cleaned as rows: Spark would push a filter made of whole
+    expressions below an explode of cleaned ones, and cut each text again for every island. An outer explode has none.
+    """
+    cut = _cut(df, text, language).select(*keep, "_language", F.monotonically_increasing_id().alias("_row"), "_islands", "_gaps")
+    each = cut.select(*keep, "_language", "_row", "_gaps", F.size("_islands").alias("_n"), F.posexplode_outer("_islands").alias("_pos", "island"))
+    at = F.coalesce("_pos", F.lit(0))
+    tail = F.when(at + 1 >= F.col("_n"), F.element_at("_gaps", -1))
+    placed = each.select(*keep, "_language", "_row", at.alias("_pos"), F.when(F.col("_n") > 0, F.get("_gaps", at)).otherwise("").alias("gap"), "island", tail.alias("tail"))
+    return placed.withColumn("clean", F.concat(clean_spacing(F.col("island")), F.when(F.col("tail") == "", "\n").otherwise("")))
+
+
 def island_id(language: Column, island: Column) -> Column:
     return F.sha2(F.concat(F.substring(language, 1, 1), island), 256)
 

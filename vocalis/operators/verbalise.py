@@ -17,7 +17,7 @@ from vocalis.functions import words as N
 from vocalis.functions.text import abbreviations, clean_spacing, detect_language, valid_date
 from vocalis.kernel import english, readers, russian
 from vocalis.kernel.text import CYRILLIC, LATIN
-from vocalis.operators.lexemes import MATRIX, island_id, lexemes, linked, pieces
+from vocalis.operators.lexemes import MATRIX, island_id, lexemes, linked, parts
 
 LIMIT = 999_999_999
 CURRENCY = "^[$€£¥₽]$"
@@ -312,16 +312,15 @@ def _read_aloud(text: Column, language: Column) -> Column:
 
 
 def read_parts(given: DataFrame, language: str) -> DataFrame:
-    """(_keep, _text) -> one row for each gap and island of a text: _keep, _text's _row, _language, _pos, gap, island, and
-    what spoken_islands() says of the island. Distinct islands are read once, whatever the number of texts that hold them."""
+    """(_keep, _text) -> one row for each island of a text with the gap before it: _keep, _text's _row, _language, _pos, gap,
+    island, tail (behind the last one), and what spoken_islands() says of the island. Distinct islands are read once,
+    whatever the number of texts that hold them."""
     modes = ("english", "russian") if language == "auto" else (language,)
-    cut = pieces(given, "_text", language)
-    one = cut.select(_c("_language").alias("language"), F.explode("_clean").alias("island")).select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
+    each = parts(given, ["_keep"], "_text", language)
+    known = each.select(_c("_language").alias("language"), _c("clean").alias("island")).where(_c("island").isNotNull())
+    one = known.select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
     read = spoken_islands(one.dropDuplicates(["id"]), modes)
-    zipped = F.arrays_zip(_c("_gaps").alias("gap"), _c("_islands").alias("island"), _c("_clean").alias("clean"))
-    rows = cut.select("_keep", "_language", F.monotonically_increasing_id().alias("_row"), zipped.alias("_parts"))
-    each = rows.select("_keep", "_language", "_row", F.posexplode("_parts").alias("_pos", "_part"))
-    met = each.select("_keep", "_language", "_row", "_pos", "_part.*", island_id(_c("_language"), _c("_part.clean")).alias("id"))
+    met = each.withColumn("id", F.coalesce(island_id(_c("_language"), _c("clean")), F.concat(F.lit("row "), _c("_row"))))
     return met.join(read, "id", "left").drop("id")
 
 
@@ -341,7 +340,7 @@ def verbalise(df: DataFrame, keep: list[str], text: str = "text", language: str
     plain = clean_spacing(_c("_text"))
     spelled = F.when((tongue == "russian") & plain.rlike("т\\.[дп]\\."), clean_spacing(_read_aloud(plain, tongue))).otherwise(plain)
     whole = given.where(~numbered).select("_keep.*", spelled.alias("normalized_text"))
-    parts = read_parts(given.where(numbered), language)
-    listed = parts.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("_language").alias("_language"), F.sort_array(F.collect_list(F.struct("_pos", "gap", F.coalesce("spoken", F.lit("")).alias("spoken")))).alias("_all"))
-    joined = F.array_join(F.transform("_all", lambda p: F.concat(p["gap"], p["spoken"])), "")
+    read = read_parts(given.where(numbered), language)
+    listed = read.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("_language").alias("_language"), F.sort_array(F.collect_list(F.struct("_pos", "gap", F.coalesce("spoken", F.lit("")).alias("spoken"), F.coalesce("tail", F.lit("")).alias("tail")))).alias("_all"))
+    joined = F.array_join(F.transform("_all", lambda p: F.concat(p["gap"], p["spoken"], p["tail"])), "")
     return whole.unionByName(listed.select("_keep.*", clean_spacing(_read_aloud(joined, _c("_language"))).alias("normalized_text")))
