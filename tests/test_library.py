@@ -238,3 +238,10 @@ def test_sweeps_equal_joins(spark):
     joined = spans.merge_streams(left, right, "k").collect()
     assert {(k, p) for k, a, b in joined for p in range(a, b)} == cells
     assert all((k, a - 1) not in cells and (k, b) not in cells for k, a, b in joined)
+
+
+def test_only_wanted_fields_leave_the_normaliser(spark):
+    df = spark.createDataFrame([("I have 5 cats",), (None,), ("",)], "text string")
+    got = df.select(normalize(F.col("text"), fields=("normalized_text", "n_words", "warnings")).alias("r"))
+    assert got.schema["r"].dataType.names == ["normalized_text", "n_words", "warnings"]
+    assert [r["r"] and tuple(r["r"]) for r in got.collect()] == [("I have five cats", 4, []), None, ("", 0, [])]

@@ -462,8 +462,9 @@ _audit_query("snapshot_diff", _snapshot_diff, f""", s AS ({_snap("c")}), d AS (S
 
 @query("documents")
 def normalize_documents(df):
-    r = normalize(F.col("text"))
-    return df.select("doc_id", r.alias("r")).select("doc_id", "r.normalized_text", "r.pronunciation_text", F.size("r.words").alias("n_words"), F.size("r.warnings").alias("n_warnings"))
+    r = normalize(F.col("text"), fields=("normalized_text", "pronunciation_text", "n_words", "n_warnings"))
+    counts = [F.coalesce(f"r.{c}", F.size(F.lit(None).cast("array<int>"))).alias(c) for c in ("n_words", "n_warnings")]
+    return df.select("doc_id", r.alias("r")).select("doc_id", "r.normalized_text", "r.pronunciation_text", *counts)
 
 
 @query("conversations")
@@ -474,7 +475,7 @@ def normalize_conversations(df):
 @query("documents")
 def document_warnings(df):
     """Every diagnostic as a row; each range is reported once a code."""
-    each = df.select("doc_id", normalize(F.col("text")).alias("r")).select("doc_id", F.explode("r.warnings").alias("w"))
+    each = df.select("doc_id", normalize(F.col("text"), fields=("warnings",)).alias("r")).select("doc_id", F.explode("r.warnings").alias("w"))
     return each.select("doc_id", "w.code", F.col("w.offset").alias("offset"), F.col("w.length").alias("length")).dropDuplicates()
 
 

@@ -38,17 +38,45 @@ def _lists(rows: list, fields: tuple) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, names=[n for n, _ in fields]))
 
 
-def normalize(text: Column, options: Options = Options()) -> Column:
-    """The full result as one struct; null for a null text. The column may be binary: bytes that are not UTF-8 give an
-    empty result with one diagnostic."""
+_TEXTS = {"original_text": "original", "normalized_text": "normalized", "pronunciation_text": "pronunciation"}
+_OF = dict(zip(_NAMES[3:], _LISTS, strict=True))
 
-    @F.arrow_udf(f"struct<{', '.join(p.replace(' ', ': ', 1) for p in _split(RESULT))}>")
+
+def _type(field: str) -> str:
+    """The DDL type of a field of the result; n_ and a list's name is its length."""
+    if field.startswith("n_") and field[2:] in _OF:
+        return "int"
+    return next(t for name, t in (p.split(" ", 1) for p in _split(RESULT)) if name == field)
+
+
+def _take(result, field: str):
+    if field in _TEXTS:
+        return getattr(result, _TEXTS[field])
+    return getattr(result, _OF[field]) if field in _OF else len(getattr(result, _OF[field[2:]]))
+
+
+def _column(values: list, field: str) -> pa.Array:
+    return _lists(values, _LISTS[_OF[field]]) if field in _OF else pa.array(values, pa.string() if field in _TEXTS else pa.int32())
+
+
+def normalize(text: Column, options: Options = Options(), fields: tuple[str, ...] = _NAMES) -> Column:
+    """The result as one struct; null for a null text. The column may be binary: bytes that are not UTF-8 give an empty
+    result with one diagnostic.
+
+    fields: what of the result is wanted, n_words and the like for the length of a list. Spark cannot prune what a Python
+    function gives, and words are many times their text in memory, so each text's result is dropped but for these.
+    """
+    types = [f"{f}: {_type(f)}" for f in fields]
+
+    @F.arrow_udf(f"struct<{', '.join(types)}>")
     def run(texts: pa.Array) -> pa.Array:
         one = process_bytes if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else process
-        got = [one(t, options) if t is not None else None for t in texts.to_pylist()]
-        cols = [pa.array([getattr(g, n) if g else None for g in got], pa.string()) for n in ("original", "normalized", "pronunciation")]
-        cols += [_lists([getattr(g, n) if g else None for g in got], f) for n, f in _LISTS.items()]
-        return pa.StructArray.from_arrays(cols, names=list(_NAMES), mask=pa.array([g is None for g in got]))
+        taken: list[list] = [[] for _ in fields]
+        for t in texts:
+            got = one(t.as_py(), options, "words" not in fields) if t.is_valid else None
+            for values, field in zip(taken, fields, strict=True):
+                values.append(None if got is None else _take(got, field))
+        return pa.StructArray.from_arrays([_column(v, f) for v, f in zip(taken, fields, strict=True)], names=list(fields), mask=texts.is_null())
 
     return run(text)
 
@@ -67,7 +95,7 @@ def _split(ddl: str) -> list[str]:
 def _kernel_text(options: Options):
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([process(t, options).normalized if t is not None else None for t in texts.to_pylist()], pa.string())
+        return pa.array([process(t, options, True).normalized if t is not None else None for t in texts.to_pylist()], pa.string())
 
     return run
 
