@@ -49,6 +49,11 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return kept.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
+def _apart(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the vocabulary: never broadcast, which would bring it through the driver."""
+    return side.hint("merge")
+
+
 def _best(near: DataFrame) -> DataFrame:
     return near.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("near").alias("near"))
 
@@ -67,7 +72,7 @@ def short_links(words: DataFrame) -> DataFrame:
     cuts = some.select("word", "n", F.inline(F.transform(place, lambda i: F.struct(i.alias("place"), key(i).alias("key"), new(i).alias("new")))))
     # letters of a run leave the same word, which is emitted once; it meets the word that is the key itself
     whole = some.select(F.col("word").alias("key"), F.col("n").alias("key_n"))
-    joined = cuts.where("new").join(whole, "key").where(F.levenshtein("word", "key", 1) == 1)
+    joined = cuts.where("new").join(_apart(whole), "key").where(F.levenshtein("word", "key", 1) == 1)
     inserted = joined.select(F.inline(F.array(_side("word", "key", "key_n"), _side("key", "word", "n"))))
     # under one key and place stand words that differ in this place's letter, each once
     met = cuts.groupBy("key", "place").agg(F.sort_array(F.collect_list(F.struct(F.negative("n").alias("rank"), "word"))).alias("all")).where(F.size("all") > 1)
@@ -110,12 +115,12 @@ def long_links(words: DataFrame) -> DataFrame:
     some = words.where(F.char_length("word") > LONG).withColumn("id", F.sha2("word", 256))
     keys = some.select("id", "word").mapInArrow(_rolling, "id string, key long, place int, new boolean")
     cuts, whole = keys.where("place > 0"), keys.where("place = 0").select(F.col("id").alias("other"), "key")
-    pairs = cuts.where("new").join(whole, "key").select("id", "other", "place", F.lit(True).alias("shorter"))
+    pairs = cuts.where("new").join(_apart(whole), "key").select("id", "other", "place", F.lit(True).alias("shorter"))
     same = cuts.select(F.col("id").alias("other"), "key", "place")
-    pairs = pairs.unionByName(cuts.join(same, ["key", "place"]).where("id < other").select("id", "other", "place", F.lit(False).alias("shorter")))
+    pairs = pairs.unionByName(cuts.join(_apart(same), ["key", "place"]).where("id < other").select("id", "other", "place", F.lit(False).alias("shorter")))
     ours, theirs = some.select("id", "word", "n"), some.select(F.col("id").alias("other"), F.col("word").alias("word_2"), F.col("n").alias("n_2"))
     cut = lambda w: F.concat(F.substring(F.col(w), F.lit(1), F.col("place") - 1), F.substring(F.col(w), F.col("place") + 1, F.char_length(F.col(w))))
-    real = pairs.join(ours, "id").join(theirs, "other").where((F.char_length("word") > LONG + 1) & (cut("word") == F.when(F.col("shorter"), F.col("word_2")).otherwise(cut("word_2"))))
+    real = pairs.join(_apart(ours), "id").join(_apart(theirs), "other").where((F.char_length("word") > LONG + 1) & (cut("word") == F.when(F.col("shorter"), F.col("word_2")).otherwise(cut("word_2"))))
     return real.select(F.inline(F.array(_side("word", "word_2", "n_2"), _side("word_2", "word", "n"))))
 
 
@@ -129,14 +134,14 @@ def variants(words: DataFrame) -> DataFrame:
     need(words, "word", "n")
     near = _best(short_links(words).unionByName(long_links(words)))
     form = F.when(F.negative("near.rank") >= FACTOR * F.col("n"), F.col("near"))
-    found = words.select("word", "n").join(near, "word", "left").withColumn("form", form)
+    found = words.select("word", "n").join(_apart(near), "word", "left").withColumn("form", form)
     named = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form.word").alias("form"), F.negative("form.rank").alias("form_n")), "word-forms")
     roots = written(named.where("form is not null").select("word", F.col("form").alias("root")), "word-roots")
     while True:
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = written(roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")), "word-roots")
+        moved = written(roots.join(_apart(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")), "word-roots")
         discard(roots)
         roots = moved
         if roots.where("on").isEmpty():
             break
-    return named.join(roots.select("word", "root"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return named.join(_apart(roots.select("word", "root")), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
