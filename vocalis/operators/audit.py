@@ -27,8 +27,10 @@ def diversity(cases: DataFrame) -> DataFrame:
 
 def snapshot(cases: DataFrame) -> DataFrame:
     """cases (id, category, outcome, observed) as tagged rows: tag, key, value."""
-    total = cases.agg(F.lit("cases").alias("tag"), F.lit("").alias("key"), F.count("*").cast("string").alias("value"))
-    by = cases.groupBy("outcome").count().select(F.lit("outcome").alias("tag"), F.col("outcome").alias("key"), F.col("count").cast("string").alias("value"))
+    counted = cases.groupBy("outcome").count()
+    # the total is made of the counts, whose shuffle both read: the cases are not judged once more
+    total = counted.agg(F.lit("cases").alias("tag"), F.lit("").alias("key"), F.coalesce(F.sum("count"), F.lit(0)).cast("string").alias("value"))
+    by = counted.select(F.lit("outcome").alias("tag"), F.col("outcome").alias("key"), F.col("count").cast("string").alias("value"))
     off = cases.where(F.col("outcome").isin(*OUTCOMES[2:])).select(F.lit("mismatch").alias("tag"), F.col("id").alias("key"), F.concat_ws(":", "category", "outcome").alias("value"))
     return total.unionByName(by).unionByName(off)
 
