@@ -245,3 +245,11 @@ def test_only_wanted_fields_leave_the_normaliser(spark):
     got = df.select(normalize(F.col("text"), fields=("normalized_text", "n_words", "warnings")).alias("r"))
     assert got.schema["r"].dataType.names == ["normalized_text", "n_words", "warnings"]
     assert [r["r"] and tuple(r["r"]) for r in got.collect()] == [("I have five cats", 4, []), None, ("", 0, [])]
+
+
+def test_owners_are_found_inside_of_rows(spark):
+    """No shuffle, so no task holds more than its own rows; rows with one key do not meet."""
+    df = spark.createDataFrame([(1, "два 2. 3 for 4"), (1, "5"), (2, None)], "k int, text string")
+    got = spans.owners(df, "k")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["number"], r["owner"]) for r in got.collect()) == [("2", "russian"), ("3", "english"), ("4", "english"), ("5", None)]

@@ -32,16 +32,27 @@ def detect_language(text: Column) -> Column:
 
 def script_counts(text: Column) -> tuple[Column, Column]:
     """Numbers of Cyrillic and of Latin letters."""
-    return tuple(F.length(F.regexp_replace(text, f"[^{s}]", "")) for s in (CYRILLIC, LATIN))
+    return tuple(F.length(F.regexp_replace(text, f"[^{s}]+", "")) for s in (CYRILLIC, LATIN))
+
+
+def technical_marked(text: Column, name: str) -> Column:
+    """A text has the characters that a technical class cannot do without."""
+    marks = {"url": ("://",), "email": ("@",), "http": ("HTTP/",), "model": ("RTX", "CUDA", "GPU", "API"), "identifier": ("#", "-", "+", "$"), "cpp": ("C++",), "csharp": ("C#",), "version": ("v", "V"), "ipv4": (".",)}
+    return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks[name]])
 
 
 def dominant_language(text: Column) -> Column:
     """The more frequent script outside technical spans decides; ties are Russian."""
+
+    def without(name: str):
+        # what is replaced leaves spaces only, so a class that has no marks in the text has none in the rest
+        return lambda r: F.when(technical_marked(text, name), F.regexp_replace(r, technical_pattern(name), " ")).otherwise(r)
+
     rest = text
     for name in technical.CLASSES:
-        rest = F.regexp_replace(rest, technical_pattern(name), " ")
-    cyrillic, latin = script_counts(rest)
-    return F.when((cyrillic > 0) & (cyrillic >= latin), "russian").otherwise("english")
+        rest = let(rest, without(name))
+    count = lambda r: F.struct(*[n.alias(s) for n, s in zip(script_counts(r), ("cyrillic", "latin"), strict=True)])
+    return let(let(rest, count), lambda n: F.when((n["cyrillic"] > 0) & (n["cyrillic"] >= n["latin"]), "russian").otherwise("english"))
 
 
 def technical_pattern(name: str) -> str:
@@ -113,10 +124,14 @@ def ngrams(word: Column, least: int | Column, most: int | Column) -> Column:
     return F.flatten(F.transform(F.sequence(bound(least), bound(most)), lambda n: F.when(F.length(framed) >= n, F.transform(F.sequence(F.lit(1), F.length(framed) - n + 1), lambda i: F.substring(framed, i, n))).otherwise(F.array().cast("array<string>"))))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) where use names it several times, also inside of lambdas: it is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    each = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(each, lambda v: v / F.aggregate(each, F.lit(0.0), lambda a, b: a + b))
+    over = lambda each: let(F.aggregate(each, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(each, lambda v: v / total))
+    return let(F.array_max(x), lambda top: let(F.transform(x, lambda v: F.exp(v - top)), over))
 
 
 def argmax(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vocalis.functions.text import TOKEN, technical_pattern
+from vocalis.functions.text import TOKEN, let, technical_marked, technical_pattern
 from vocalis.kernel import technical
 from vocalis.kernel.text import CYRILLIC, LATIN, MARKS
 
@@ -23,7 +23,7 @@ def match_spans(text: Column, pattern: str, maybe: Column | None = None) -> Colu
     pattern can match."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    pairs = let(hits, lambda found: F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
 
     def step(acc: Column, both: Column) -> Column:
         begin = acc["at"] + F.octet_length(both["gap"])
@@ -39,22 +39,17 @@ def token_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, begin, end, token) of each word token. Texts have many tokens, so places are running sums over the
     exploded tokens of a row and not a fold over one array."""
     hits, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.octet_length(g).alias("gap"), h.alias("token")))
+    pairs = let(hits, lambda found: F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(F.octet_length(g).alias("gap"), h.alias("token"))))
     each = df.select(key, F.monotonically_increasing_id().alias("_row"), pairs.alias("_p")).select(key, "_row", F.posexplode("_p").alias("pos", "_p"))
     end = F.sum(F.col("_p.gap") + F.octet_length("_p.token")).over(W.partitionBy("_row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     return each.select(key, "pos", (end - F.octet_length("_p.token")).alias("begin"), end.alias("end"), F.col("_p.token").alias("token"))
 
 
-def _marked(text: Column, name: str) -> Column:
-    """A text has the characters that a technical class cannot do without."""
-    marks = {"url": ("://",), "email": ("@",), "http": ("HTTP/",), "model": ("RTX", "CUDA", "GPU", "API"), "identifier": ("#", "-", "+", "$"), "cpp": ("C++",), "csharp": ("C#",), "version": ("v", "V"), "ipv4": (".",)}
-    return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks[name]])
-
-
 def technical_spans(df: DataFrame, key: str, text: str = "text", classes: tuple[str, ...] = tuple(technical.CLASSES)) -> DataFrame:
     """(key, class, begin, end, surface) of each class's matches; classes may overlap."""
-    named = F.array(*[F.struct(F.lit(c).alias("class"), match_spans(F.col(text), technical_pattern(c), _marked(F.col(text), c)).alias("found")) for c in classes])
-    each = df.select(key, F.explode(named).alias("c")).select(key, "c.class", F.explode("c.found").alias("s"))
+    named = F.array(*[F.struct(F.lit(c).alias("class"), match_spans(F.col(text), technical_pattern(c), technical_marked(F.col(text), c)).alias("found")) for c in classes])
+    # the outer explode keeps Spark from filtering by the whole array first, which would match every class twice
+    each = df.select(key, F.explode_outer(named).alias("c")).select(key, "c.class", F.explode("c.found").alias("s"))
     return each.select(key, "class", "s.begin", "s.end", F.col("s.hit").alias("surface"))
 
 
@@ -105,8 +100,9 @@ def indexed(ranges: DataFrame, key: str) -> DataFrame:
     return some.withColumn("_bucket", F.explode(touched))
 
 
-def containing(words: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+def containing(words: DataFrame, ranges: DataFrame, key: str, held: bool = False) -> DataFrame:
     """Each word with the first range of its key (by begin, then end) that holds it: adds range_begin, range_end or nulls.
+    held: only words that a range holds; the others leave at the join.
 
     An equi-join of key, level and bucket with the interval index, then the exact test: a key that holds most of all spans
     is spread by its buckets, and a word meets only ranges about its place. An empty word at the end of a range is outside
@@ -116,12 +112,14 @@ def containing(words: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     index = indexed(ranges, key)
     levels = sorted(r["_level"] for r in index.select("_level").distinct().collect())
     if not levels:
+        words = words.limit(0) if held else words
         return words.withColumns({"range_begin": F.lit(None).cast("bigint"), "range_end": F.lit(None).cast("bigint")})
     probes = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.shiftright(F.col("_at"), n).alias("_bucket")) for n in levels]))
     numbered = words.select(F.struct(*words.columns).alias("_word"), F.col(key).alias("_k"), F.col("begin").cast("bigint").alias("_at"), F.col("end").alias("_to"), F.monotonically_increasing_id().alias("_id"))
     probing = numbered.select("_word", "_k", "_at", "_to", "_id", probes.alias("_p")).select("_word", "_k", "_at", "_to", "_id", "_p.*")
-    met = probing.join(index, ["_k", "_level", "_bucket"], "left")
+    met = probing.join(index, ["_k", "_level", "_bucket"], "inner" if held else "left")
     holds = (F.col("range_begin") <= F.col("_at")) & (F.col("_to") <= F.col("range_end"))
+    met = met.where(holds) if held else met
     first = met.groupBy("_id").agg(F.first("_word").alias("_word"), F.min(F.when(holds, F.struct("range_begin", "range_end"))).alias("_range"))
     return first.select("_word.*", "_range.range_begin", "_range.range_end")
 
@@ -138,16 +136,32 @@ def segments(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def owners(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Each number with the language of the nearest word of one script in its segment (the left one in ties), or null.
 
-    A two-way as-of join without a join: the last word before and the first after come from window frames.
+    A two-way as-of join inside of each row: one fold over its lexemes carries the last word along, another from the end
+    the next one, and a boundary forgets it. Nothing is shuffled or sorted.
     """
-    cyrillic, latin = F.col("hit").rlike(f"[{CYRILLIC}]"), F.col("hit").rlike(f"[{LATIN}]")
-    tongue = F.when((F.col("kind") == "word") & (cyrillic != latin), F.when(cyrillic, "russian").otherwise("english"))
-    rows = segments(df, key, text).withColumn("tongue", tongue)
-    word = F.when(F.col("tongue").isNotNull(), F.struct("begin", "end", "tongue"))
-    order = W.partitionBy(key, "segment").orderBy("begin")
-    left = F.last(word, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    right = F.first(word, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    near = rows.withColumns({"left": left, "right": right}).where("kind = 'number'")
+    word_type, number_type = "struct<begin: bigint, end: bigint, tongue: string>", "begin: bigint, end: bigint, hit: string"
+
+    def told(h: Column) -> Column:
+        cyrillic, latin = h["hit"].rlike(f"[{CYRILLIC}]"), h["hit"].rlike(f"[{LATIN}]")
+        number, boundary = h["hit"].rlike("^[0-9]"), h["hit"].rlike(f"^[{BOUNDARY}]")
+        kind = F.when(number, "number").when(boundary, "boundary").otherwise("word")
+        tongue = F.when(~number & ~boundary & (cyrillic != latin), F.when(cyrillic, "russian").otherwise("english"))
+        return F.struct(h["begin"].alias("begin"), h["end"].alias("end"), h["hit"].alias("hit"), kind.alias("kind"), tongue.alias("tongue"))
+
+    def carried(hits: Column) -> Column:
+        """The numbers in the order of the hits, each with the last word before it."""
+        start = F.struct(F.lit(None).cast(word_type).alias("word"), F.array().cast(f"array<struct<{number_type}, word: {word_type}>>").alias("out"))
+
+        def step(acc: Column, h: Column) -> Column:
+            word = F.when(h["kind"] == "boundary", F.lit(None).cast(word_type)).when(h["tongue"].isNotNull(), F.struct(h["begin"].alias("begin"), h["end"].alias("end"), h["tongue"].alias("tongue"))).otherwise(acc["word"])
+            number = F.struct(h["begin"].alias("begin"), h["end"].alias("end"), h["hit"].alias("hit"), acc["word"].alias("word"))
+            return F.struct(word.alias("word"), F.when(h["kind"] == "number", F.concat(acc["out"], F.array(number))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(hits, start, step, lambda acc: acc["out"])
+
+    both = lambda hits: F.zip_with(carried(hits), F.reverse(carried(F.reverse(hits))), lambda a, b: F.struct(a["begin"].alias("begin"), a["end"].alias("end"), a["hit"].alias("hit"), a["word"].alias("left"), b["word"].alias("right")))
+    found = let(F.transform(match_spans(F.col(text), f"{LEXICAL}|[0-9]+|[{BOUNDARY}]"), told), both)
+    near = df.select(key, F.explode_outer(found).alias("_n")).where("_n is not null").select(key, "_n.*")
     nearer = F.when(F.col("right").isNull() | (F.col("begin") - F.col("left.end") <= F.col("right.begin") - F.col("end")), F.col("left.tongue")).otherwise(F.col("right.tongue"))
     return near.select(key, "begin", "end", F.col("hit").alias("number"), F.when(F.col("left").isNull(), F.col("right.tongue")).otherwise(nearer).alias("owner"))
 

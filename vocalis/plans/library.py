@@ -389,7 +389,7 @@ def tokens_in_technical(df):
     """Word tokens that lie inside of a technical span, with the first span that holds them."""
     technical = spans.technical_spans(df, "doc_id").select("doc_id", "begin", "end")
     tokens = spans.token_spans(df.join(technical.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    return spans.containing(tokens, technical, "doc_id").where("range_begin is not null")
+    return spans.containing(tokens, technical, "doc_id", held=True)
 
 
 @query("lineitem", f'SELECT k, min(b) AS "begin", max(e) AS "end" FROM (SELECT *, sum(CASE WHEN last IS NULL OR b >= last THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY b, e DESC ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY b, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM {_LINES})) GROUP BY k, island')
