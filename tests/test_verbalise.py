@@ -125,3 +125,20 @@ def test_parts_are_islands_with_their_gaps(spark):
         assert "".join(r["gap"] + r["island"] + (r["tail"] or "") for r in rows) == text
         assert [r["tail"] is not None for r in rows] == [False] * (len(rows) - 1) + [True]
         assert [r["clean"].endswith("\n") for r in rows] == [r["tail"] == "" for r in rows]
+
+
+def test_cutting_runs_to_the_next_digit(spark):
+    """Gaps and islands are those of ISLAND alone, whose search would try every word of a long text without digits."""
+    r = random.Random(29)
+    texts = ["".join(r.choice(["a", "bc", "7", "12", "1,5", " ", " ", " ", "  ", "\n", "\u00a0", "x9", "Ж.", "\x01" if i % 9 == 0 else "$1"]) for _ in range(r.randrange(60))) for i in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " ", "7", " a 7 "]], "text string").select("text", F.regexp_extract_all("text", F.lit(lexemes.ISLAND), F.lit(0)).alias("islands"), F.split("text", lexemes.ISLAND, -1).alias("gaps"))
+    for row in lexemes.pieces(df).collect():
+        assert (row["_islands"], row["_gaps"]) == (row["islands"], row["gaps"]), row["text"]
+    parts = lexemes.parts(df.withColumn("n", F.monotonically_increasing_id()).where("text rlike '[0-9]'"), ["n", "islands", "gaps"])
+    for row in parts.collect():
+        at = row["_pos"]
+        assert row["gap"] == row["gaps"][at] and row["island"] == row["islands"][at] and row["tail"] == (row["gaps"][-1] if at + 1 == len(row["islands"]) else None)
+    long = spark.range(40).select(F.repeat(F.lit("word "), 200_000).alias("text"), F.lit(1).alias("n")).withColumn("text", F.concat("text", F.lit("7")))
+    began = time.perf_counter()
+    assert lexemes.parts(long, ["n"]).where("island = 'word word 7'").count() == 40
+    assert time.perf_counter() - began < 10

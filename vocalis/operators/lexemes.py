@@ -46,15 +46,31 @@ MATRIX = {"plain": "", "typed": "/#$%=*", "money": "/#%=*", "counted": "/#$%=*+-
 LEXICAL = ("n", "w", "t", "h")
 
 
+#: A gap and its island, from where the last island ended. ISLAND alone would try each word of a gap; this runs to the
+#: next digit and steps back by two words, or begins with the first word if there are fewer.
+NEXT = f"\\G(?=[^0-9]*+[0-9])([^0-9]*(?<![^{_S}])(?=(?:{_COLD}[{_S}]++){{2}}{_HOT})|[{_S}]*+)({ISLAND})"
+#: Stands around islands while a text is cut.
+BORDER = "\x01"
+
+
 def _cut(df: DataFrame, text: str, language: str) -> DataFrame:
+    """df with _language and _cut: gap, island, gap, ..., gap.
+
+    Spark compiles a pattern it splits by for each row, but keeps one it replaces by, so islands get borders in one pass
+    and the split is by a letter. Texts that hold that letter are cut by the pattern itself.
+    """
     tongue = {"auto": detect_language, "segment": dominant_language}.get(language, lambda _: F.lit(language))(F.col(text))
-    return df.withColumns({"_language": tongue, "_islands": F.regexp_extract_all(text, F.lit(ISLAND), F.lit(0)), "_gaps": F.split(text, ISLAND, -1)})
+    marked = F.split(F.regexp_replace(text, NEXT, f"$1{BORDER}$2{BORDER}"), BORDER, -1)
+    found, gaps = F.regexp_extract_all(text, F.lit(ISLAND), F.lit(0)), F.split(text, ISLAND, -1)
+    slow = F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(found), F.array(g, F.get(found, i))).otherwise(F.array(g))))
+    return df.withColumns({"_language": tongue, "_cut": F.when(F.contains(text, F.lit(BORDER)), slow).otherwise(marked)})
 
 
 def pieces(df: DataFrame, text: str = "text", language: str = "auto") -> DataFrame:
     """df with _language, and _gaps, _islands and _clean (an island with its spacing cleaned; a line feed tells that the text
     ends there). gap, island, gap, ..., gap make up the text, so places in a piece are places in the text."""
-    found = _cut(df, text, language)
+    every = lambda since: F.filter("_cut", lambda x, i: i % 2 == since)
+    found = _cut(df, text, language).withColumns({"_islands": every(1), "_gaps": every(0)}).drop("_cut")
     last = F.when(F.element_at("_gaps", -1) == "", F.size("_islands")).otherwise(0)
     return found.withColumn("_clean", F.transform("_islands", lambda x, i: F.concat(clean_spacing(x), F.when(i + 1 == last, "\n").otherwise(""))))
 
@@ -63,19 +79,23 @@ def parts(df: DataFrame, keep: list[str], text: str = "text", language: str = "a
     """The same as rows: the columns kept, _language, _row (of a text), _pos, gap, island, clean, and tail, what stands behind
     the last island (else null).
 
-    The arrays are exploded as they are cut, and islands are cleaned as rows: Spark would push a filter made of whole
+    Pieces are exploded as they are cut, and islands are cleaned as rows: Spark would push a filter made of whole
     expressions below an explode of cleaned ones, and cut each text again for every island. An outer explode has none.
     """
-    cut = _cut(df, text, language).select(*keep, "_language", F.monotonically_increasing_id().alias("_row"), "_islands", "_gaps")
-    each = cut.select(*keep, "_language", "_row", "_gaps", F.size("_islands").alias("_n"), F.posexplode_outer("_islands").alias("_pos", "island"))
-    at = F.coalesce("_pos", F.lit(0))
-    tail = F.when(at + 1 >= F.col("_n"), F.element_at("_gaps", -1))
-    placed = each.select(*keep, "_language", "_row", at.alias("_pos"), F.when(F.col("_n") > 0, F.get("_gaps", at)).otherwise("").alias("gap"), "island", tail.alias("tail"))
+    cut = _cut(df, text, language).select(*keep, "_language", F.monotonically_increasing_id().alias("_row"), "_cut")
+    count = F.floor(F.size("_cut") / 2).cast("int")  # of islands
+    at = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+    each = cut.select(*keep, "_language", "_row", "_cut", F.explode_outer(at).alias("_at"))
+    pos = F.coalesce("_at", F.lit(0))
+    tail = F.when(F.size("_cut") <= 2 * pos + 3, F.element_at("_cut", -1))
+    gap = F.when(F.col("_at").isNull(), "").otherwise(F.get("_cut", 2 * pos))
+    placed = each.select(*keep, "_language", "_row", pos.alias("_pos"), gap.alias("gap"), F.get("_cut", 2 * F.col("_at") + 1).alias("island"), tail.alias("tail"))
     return placed.withColumn("clean", F.concat(clean_spacing(F.col("island")), F.when(F.col("tail") == "", "\n").otherwise("")))
 
 
 def island_id(language: Column, island: Column) -> Column:
-    return F.sha2(F.concat(F.substring(language, 1, 1), island), 256)
+    """128 bits of a cryptographic hash: half of what rows weigh while they are shuffled was its full hexadecimal form."""
+    return F.unhex(F.substring(F.sha2(F.concat(F.substring(language, 1, 1), island), 256), 1, 32))
 
 
 def lexemes(islands: DataFrame) -> DataFrame:

@@ -317,10 +317,11 @@ def read_parts(given: DataFrame, language: str) -> DataFrame:
     whatever the number of texts that hold them."""
     modes = ("english", "russian") if language == "auto" else (language,)
     each = parts(given, ["_keep"], "_text", language)
-    known = each.select(_c("_language").alias("language"), _c("clean").alias("island")).where(_c("island").isNotNull())
-    one = known.select(island_id(_c("language"), _c("island")).alias("id"), "language", "island")
-    read = spoken_islands(one.dropDuplicates(["id"]), modes)
-    met = each.withColumn("id", F.coalesce(island_id(_c("_language"), _c("clean")), F.concat(F.lit("row "), _c("_row"))))
+    # equal islands are told by themselves: texts are no buffers of a hash aggregate, and first() of them would sort all
+    known = each.select(_c("_language").alias("language"), _c("clean").alias("island")).where(_c("island").isNotNull()).distinct()
+    one = known.select(island_id(_c("language"), _c("island")).alias("id"), "language", "island").repartition("id")
+    read = spoken_islands(one, modes)
+    met = each.withColumn("id", F.coalesce(island_id(_c("_language"), _c("clean")), F.encode(F.concat(F.lit("row "), _c("_row")), "UTF-8")))
     return met.join(read, "id", "left").drop("id")
 
 
