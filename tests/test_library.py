@@ -253,3 +253,12 @@ def test_owners_are_found_inside_of_rows(spark):
     got = spans.owners(df, "k")
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["number"], r["owner"]) for r in got.collect()) == [("2", "russian"), ("3", "english"), ("4", "english"), ("5", None)]
+
+
+@pytest.mark.parametrize("name", ["normalize_synthetic_en", "normalize_synthetic_ru"])
+def test_short_rows_are_dealt_before_python(spark, tmp_path, name):
+    """One file of one row group is one task; the readers of its rows are not."""
+    spark.range(2000).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size", "id + 0.25 AS p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES[name](spark, str(tmp_path))
+    tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 2000 and len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks) <= 2000 // 8
