@@ -262,3 +262,29 @@ def test_short_rows_are_dealt_before_python(spark, tmp_path, name):
     got = QUERIES[name](spark, str(tmp_path))
     tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(tasks) == 2000 and len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks) <= 2000 // 8
+
+
+def test_pipeline_settles_the_driver(spark, monkeypatch):
+    """What ended queries hold in the driver goes before each stage: frames in cycles too, without waiting for Python."""
+    import gc
+    import weakref
+
+    import corpus_pipeline
+    from vocalis.llm.common import settle
+
+    gc.disable()
+    try:
+        df = spark.range(3)
+        df.itself, alive = df, weakref.ref(df)
+        del df
+        assert alive() is not None
+        settle(spark)
+        assert alive() is None
+    finally:
+        gc.enable()
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "settle", calls.append)
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "web", 20) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("lines", "packing"):
+        getattr(corpus_pipeline, name)(spark, docs, "/root/testdata/sf0.001")
+    assert len(calls) == 2
