@@ -288,3 +288,21 @@ def test_pipeline_settles_the_driver(spark, monkeypatch):
     for name in ("lines", "packing"):
         getattr(corpus_pipeline, name)(spark, docs, "/root/testdata/sf0.001")
     assert len(calls) == 2
+
+
+def test_pipeline_settles_executors(spark, monkeypatch):
+    """Where executors are not the driver, their collectors are asked as well."""
+    from types import SimpleNamespace
+
+    from vocalis.llm import common
+
+    jvm = spark.sparkContext._jvm
+    full = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    before = full()
+    common.settle_executors(spark)
+    assert full() > before
+    calls = []
+    monkeypatch.setattr(common, "settle_executors", calls.append)
+    for master in ("local[8]", "local-cluster[3,2,3000]", "yarn"):
+        common.settle(SimpleNamespace(sparkContext=SimpleNamespace(master=master, _jvm=jvm)))
+    assert len(calls) == 2
