@@ -1,6 +1,7 @@
 """The verbalising plan: written forms in context, surfaces that stay whole, SQL over whole texts, awkward rows."""
 
 import random
+import re
 import time
 
 import duckdb
@@ -142,3 +143,33 @@ def test_cutting_runs_to_the_next_digit(spark):
     began = time.perf_counter()
     assert lexemes.parts(long, ["n"]).where("island = 'word word 7'").count() == 40
     assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("name", ["verbalized_contexts_en", "verbalized_contexts_ru", "verbalized_contexts_mixed"])
+def test_contexts_are_cut_on_all_cores(spark, tmp_path, name):
+    """A file of one row group is one task, however long its texts take to cut."""
+    from vocalis.plans.library import QUERIES
+
+    spark.range(40).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange RoundRobinPartitioning" in plan
+
+
+def test_dominant_language_with_and_without_marks(spark):
+    """Texts that no technical mark is in are counted at once, with the same result."""
+    from vocalis.functions.text import dominant_language
+    from vocalis.kernel import technical
+    from vocalis.kernel.text import CYRILLIC, LATIN
+
+    rng = random.Random(7)
+    some = ["дом ", "слово ", "word ", "tea ", "v1.2 ", "1.2.3.4 ", "V 2. ", "GPU 5 ", "C++ ", "C# ", "#12 ", "a-b ", "a@b.co ", "HTTP/2 ", "https://ab.cd/ef ", "12 ", "3.5 ", "$4 ", "cost+x "]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 6))) for _ in range(300)]
+
+    def wanted(text: str) -> str:
+        for pattern in technical._COMPILED.values():
+            text = pattern.sub(" ", text)
+        cyrillic, latin = (len(re.findall(f"[{s}]", text)) for s in (CYRILLIC, LATIN))
+        return "russian" if cyrillic and cyrillic >= latin else "english"
+
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", dominant_language(F.col("text")).alias("said")).collect()
+    assert [r["said"] for r in got] == [wanted(r["text"]) for r in got]

@@ -41,6 +41,10 @@ def technical_marked(text: Column, name: str) -> Column:
     return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks[name]])
 
 
+#: Without one of these a text has no technical span of any class: addresses and versions need a point between digits.
+MARKED = "[@#$+-]|://|HTTP/|[0-9]\\.[0-9]|RTX|CUDA|GPU|API"
+
+
 def dominant_language(text: Column) -> Column:
     """The more frequent script outside technical spans decides; ties are Russian."""
 
@@ -51,6 +55,7 @@ def dominant_language(text: Column) -> Column:
     rest = text
     for name in technical.CLASSES:
         rest = let(rest, without(name))
+    rest = F.when(text.rlike(MARKED), rest).otherwise(text)
     count = lambda r: F.struct(*[n.alias(s) for n, s in zip(script_counts(r), ("cyrillic", "latin"), strict=True)])
     return let(let(rest, count), lambda n: F.when((n["cyrillic"] > 0) & (n["cyrillic"] >= n["latin"]), "russian").otherwise("english"))
 

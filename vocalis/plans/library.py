@@ -487,7 +487,7 @@ def normalize_pages(df):
 
 
 def _dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """These columns, rows dealt evenly over all cores: a file of short rows is few tasks, whatever a row costs in Python."""
+    """These columns, rows dealt evenly over all cores: a file of short rows is few tasks, whatever a row costs."""
     spark = df.sparkSession
     return df.select(*columns).repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 

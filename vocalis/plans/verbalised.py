@@ -8,7 +8,7 @@ from vocalis.kernel import english, readers, russian
 from vocalis.operators import lexemes as L
 from vocalis.operators import verbalise as V
 from vocalis.plans import sql_words as S
-from vocalis.plans.library import _SP, query
+from vocalis.plans.library import _SP, _dealt, query
 
 
 def _re2(pattern: str) -> str:
@@ -166,13 +166,13 @@ _RU_CONTEXTS = [
 @query("orders", f"SELECT o_orderkey, {_cases(_EN_CONTEXTS, 0)} AS written, {_cases(_EN_CONTEXTS, 1)} AS normalized_text FROM orders")
 def verbalized_contexts_en(df):
     """English years, spans of years, dates, groups, money, tails, ordinals, shares, clocks and decimals in sentences."""
-    return V.verbalise(df.select("o_orderkey", F.expr(_spark(_cases(_EN_CONTEXTS, 0))).alias("written")), ["o_orderkey", "written"], "written", "english")
+    return V.verbalise(_dealt(df, "o_orderkey").select("o_orderkey", F.expr(_spark(_cases(_EN_CONTEXTS, 0))).alias("written")), ["o_orderkey", "written"], "written", "english")
 
 
 @query("orders", f"SELECT o_orderkey, {_cases(_RU_CONTEXTS, 0)} AS written, {_cases(_RU_CONTEXTS, 1)} AS normalized_text FROM orders")
 def verbalized_contexts_ru(df):
     """Russian years in three cases, genitives, money, tails, counted nouns, shares and abbreviations in sentences."""
-    return V.verbalise(df.select("o_orderkey", F.expr(_spark(_cases(_RU_CONTEXTS, 0))).alias("written")), ["o_orderkey", "written"], "written", "russian")
+    return V.verbalise(_dealt(df, "o_orderkey").select("o_orderkey", F.expr(_spark(_cases(_RU_CONTEXTS, 0))).alias("written")), ["o_orderkey", "written"], "written", "russian")
 
 
 # Diagnostics
@@ -206,4 +206,4 @@ _MIXED = [
 @query("orders", f"SELECT o_orderkey, {_cases(_MIXED, 0)} AS written, {_cases(_MIXED, 1)} AS normalized_text FROM orders")
 def verbalized_contexts_mixed(df):
     """Sentences in both scripts, each number in the language of the word after it."""
-    return V.verbalise(df.select("o_orderkey", F.expr(_spark(_cases(_MIXED, 0))).alias("written")), ["o_orderkey", "written"], "written", "segment")
+    return V.verbalise(_dealt(df, "o_orderkey").select("o_orderkey", F.expr(_spark(_cases(_MIXED, 0))).alias("written")), ["o_orderkey", "written"], "written", "segment")
