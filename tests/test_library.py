@@ -1,6 +1,7 @@
 """Functions, operators, sources, Arrow functions, streaming, and every query against its SQL."""
 
 import random
+import re
 
 import duckdb
 import pyarrow.dataset as ds
@@ -306,3 +307,25 @@ def test_pipeline_settles_executors(spark, monkeypatch):
     for master in ("local[8]", "local-cluster[3,2,3000]", "yarn"):
         common.settle(SimpleNamespace(sparkContext=SimpleNamespace(master=master, _jvm=jvm)))
     assert len(calls) == 2
+
+
+def test_pipeline_lines_run_no_python(spark, small, monkeypatch):
+    """The stage of lines is DataFrame functions only, and so is what is run on a cluster's executors before it."""
+    import corpus_pipeline
+
+    def ran(stage, docs):
+        store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+        known = lambda: {e.executionId(): e.physicalPlanDescription() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+        bus.waitUntilEmpty(30_000)
+        before = known()
+        stage(spark, docs, small).write.format("noop").mode("overwrite").save()
+        bus.waitUntilEmpty(30_000)
+        plans = [p for k, p in known().items() if k not in before]
+        return [p for p in plans if "java.lang.System" in p], [p for p in plans if re.search("Python|Pandas|Arrow", p)]
+
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    asked, python = ran(corpus_pipeline.lines, docs)
+    assert len(asked) == 1 and not python
+    asked, python = ran(corpus_pipeline.benchmark, docs)
+    assert len(asked) == 1 and any("_settled(" in p for p in python)  # workers are settled where Python runs
